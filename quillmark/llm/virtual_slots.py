@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_of, with_position
+from quillmark.llm.common import bucket_of
 
 SLOTS = 4096
 
@@ -114,14 +114,18 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     now = SlotMap.of(shards, slots)
     before = now.version
     now.grow()
-    # two versions of a map of fixed size: `slots` rows
-    table = now.table(spark).where(F.col("version") >= before).groupBy(F.col("slot").alias("virtual_slot")).pivot("version", [before, before + 1]).agg(F.first("shard"))
-    table = F.broadcast(table.toDF("virtual_slot", "shard", "grown_shard"))
+    old, new = now.versions[-2:]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = slotted(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "doc_id", slots)
-    placed = with_position(rows.join(table, "virtual_slot"), "shard", "virtual_slot", ["doc_id", "text_crc32"], "slot")
-    sized = placed.join(slot_bytes(rows), "virtual_slot")
-    return sized.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes", F.lit(before).alias("map_version"))
+    filled = sorted(slot_bytes(rows).collect())  # a row for each slot: `slots` rows at most
+    at, table = [0] * shards, []
+    for slot, size, count in filled:
+        table.append((slot, old[slot], new[slot], size, at[old[slot]]))
+        at[old[slot]] += count
+    known = F.broadcast(spark.createDataFrame(table, "virtual_slot int, shard int, grown_shard int, slot_bytes long, __from long"))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")))
+    placed = ranked.join(known, "virtual_slot").withColumn("slot", (F.col("__from") + F.col("__rank") - 1).cast("long"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes", F.lit(before).alias("map_version"))
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
