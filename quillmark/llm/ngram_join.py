@@ -205,7 +205,7 @@ WITH RECURSIVE texts AS (
     SELECT k, regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') AS w FROM texts
 ), grams AS (
     SELECT DISTINCT k, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
     FROM words
 ), sizes AS (
     SELECT k, count(*) AS n FROM grams GROUP BY k

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillmark.llm.attention_lm import op4_attention_lm
 from quillmark.llm.bitsliced import OP3_SQL, op3_bitsliced_topk
 from quillmark.llm.length_buckets import op9_length_buckets
 from quillmark.llm.lsh_search import op1_lsh_search
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_lsh_search": op1_lsh_search,
     "op2_ngram_join": op2_ngram_join,
     "op3_bitsliced_topk": op3_bitsliced_topk,
+    "op4_attention_lm": op4_attention_lm,
     "op5_page_text": op5_page_text,
     "op6_quote_threads": op6_quote_threads,
     "op7_virtual_slots": op7_virtual_slots,
