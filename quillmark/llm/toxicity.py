@@ -84,37 +84,37 @@ class Model:
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     """Gradient descent (Adam) on the noisy-or likelihood of the documents' labels."""
-    ids, sentences, docs, n_sentences = [], [], [], 0
-    for group, parts in pieces(texts, PUNCT):
-        f, s, part, _, _ = features(parts)
-        ids.append(f)
-        sentences.append(s + n_sentences)
-        docs.append(np.asarray(group)[part])
-        n_sentences += len(part)
-    f = np.concatenate(ids) if ids else np.zeros((0, 1 + len(STEMS)), np.int32)
-    sentence = np.concatenate(sentences) if sentences else np.zeros(0, np.int64)
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
     y = labels.astype(float)
     out = np.zeros(1 << BITS, np.float32)
-    if not len(f) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
         return Model(out, float(np.log(max(rate, 1e-4) / max(1 - rate, 1e-4))) - 3)
-    home = doc
     # a feature counts if the labels of the documents that hold it differ from chance by RARE standard errors
-    held = np.unique(f.astype(np.int64) * len(y) + doc[sentence][:, None])
-    n = np.bincount(held // len(y), minlength=1 << BITS)
-    hits = np.bincount(held // len(y), y[held % len(y)], minlength=1 << BITS)
+    n, hits = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for group, parts in pieces(texts, PUNCT):
+        f, s, part, _, _ = features(parts)
+        held = np.unique(f.astype(np.int64) * len(y) + np.asarray(group)[part][s][:, None]) if len(f) else np.zeros(0, np.int64)
+        n += np.bincount(held // len(y), minlength=1 << BITS)
+        hits += np.bincount(held // len(y), y[held % len(y)], minlength=1 << BITS)
     rate = y.mean()
     weigh = np.abs(hits - n * rate) >= RARE * np.sqrt(n * rate * (1 - rate) + 1)
     used = np.flatnonzero(weigh)
-    slot = (np.cumsum(weigh, dtype=np.int32) - 1)[f]
-    row = np.broadcast_to(sentence[:, None], f.shape)[weigh[f]]
-    slot = slot[weigh[f]]
-    del f, held
+    number = np.cumsum(weigh, dtype=np.int32) - 1
     # sentences without such a feature are alike: only their number in each document matters
-    loud, row = np.unique(row, return_inverse=True)
-    plain = np.bincount(home, minlength=len(y)) - np.bincount(home[loud], minlength=len(y))
-    home = home[loud]
+    rows, slots, homes, loud_so_far = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    plain = np.zeros(len(y), dtype=np.int64)
+    for group, parts in pieces(texts, PUNCT):
+        f, s, part, _, _ = features(parts)
+        keep = weigh[f]
+        loud, row = np.unique(np.broadcast_to(s[:, None], f.shape)[keep], return_inverse=True)
+        home = np.asarray(group)[part]
+        plain += np.bincount(home, minlength=len(y)) - np.bincount(home[loud], minlength=len(y))
+        rows.append(row + loud_so_far)
+        slots.append(number[f[keep]])
+        homes.append(home[loud])
+        loud_so_far += len(loud)
+    row, slot, home = (np.concatenate(x) for x in (rows, slots, homes))
+    loud = home
     w, m, v = (np.zeros(len(used)) for _ in range(3))
     bias, bm, bv = -6.0, 0.0, 0.0
     for step in range(1, EPOCHS + 1):
