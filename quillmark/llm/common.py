@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; bounds memory at about 40 bytes for each.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WHITE = np.zeros(256, dtype=bool)
@@ -109,12 +111,27 @@ def as_bytes(texts: pd.Series, lower: bool = False) -> list[bytes]:
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task shouldn't hold what its last one needed."""
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(pdf: pd.DataFrame, column: str, most: int = PIECE * 8) -> Iterator[pd.DataFrame]:
     """The rows of a batch in runs of bounded text size."""
     sizes = pdf[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy(dtype=np.int64)
     run = np.cumsum(sizes) // most if len(sizes) else sizes
     for _, part in pdf.groupby(run, sort=True):
         yield part
+    give_back()
 
 
 def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -173,15 +190,18 @@ def bucket_of(column: Column, n: int) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("bigint") % n).cast("int")
 
 
-def with_position(df: DataFrame, group: str, cell: str, order: list[str], out: str) -> DataFrame:
+def with_position(df: DataFrame, group: str, cell: str, order: list[str], out: str, bounded: bool = False) -> DataFrame:
     """Add a gapless long position from 0 within each group: cells in order, then rows of a cell by order.
 
     Only the cells' counts are added up per group, so a group that holds most rows is still
-    sorted cell by cell in many tasks. Nulls are ordinary values of group and cell.
+    sorted cell by cell in many tasks. Nulls are ordinary values of group and cell. bounded: the
+    caller bounds the numbers of groups and cells, so their counts may be sent everywhere.
     """
     counts = df.groupBy(F.col(group).alias("__g"), F.col(cell).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__g", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__before"))
+    if bounded:
+        counts = F.broadcast(counts)
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(group, cell).orderBy(*order)).cast("long"))
     joined = ranked.join(counts, ranked[group].eqNullSafe(counts["__g"]) & ranked[cell].eqNullSafe(counts["__c"]))
     return joined.withColumn(out, F.col("__before") + F.col("__rank") - 1).drop("__g", "__c", "__before", "__rank")

@@ -59,11 +59,11 @@ def boundaries(longest: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return out[::-1]
 
 
-def pack(rows: DataFrame, cell: str, order: list[str], buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(rows: DataFrame, cell: str, order: list[str], buckets: int, budget: int, bounded: bool = False) -> DataFrame:
     """Every row of (length, ...) with bucket, padded (the bucket's boundary), batch (gapless from 0 in a bucket) and place.
 
     A batch holds budget // padded rows, one at least: a row longer than the budget is a batch of
-    its own, whole. An empty table gives an empty result.
+    its own, whole. bounded: there are few cells, whatever the number of rows. An empty table gives an empty result.
     """
     binned = rows.groupBy(bin_of(F.col("length")).alias("bin")).agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"))
     histogram = binned.orderBy("bin").collect()  # EXACT + 128 rows for each doubling of the longest text
@@ -73,7 +73,7 @@ def pack(rows: DataFrame, cell: str, order: list[str], buckets: int = BUCKETS, b
         bucket = F.when(F.col("length") <= ends[b], b).otherwise(bucket)
         padded = F.when(F.col("length") <= ends[b], ends[b]).otherwise(padded)
     held = rows.withColumn("bucket", bucket.cast("int")).withColumn("padded", padded.cast("long"))
-    at = with_position(held, "bucket", cell, order, "__at")
+    at = with_position(held, "bucket", cell, order, "__at", bounded)
     most = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded"), F.lit(1)))).cast("long")
     return at.withColumn("batch", F.floor(F.col("__at") / most).cast("long")).withColumn("place", (F.col("__at") % most).cast("int")).drop("__at")
 
@@ -86,7 +86,7 @@ def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET
     """
     rows = docs.select("doc_id", tokens(F.col("text")).alias("length"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("__h"))
     rows = rows.withColumn("__cell", (F.col("__h") % CELLS).cast("int"))
-    return pack(rows, "__cell", ["__h", "doc_id"], buckets, budget).select("doc_id", "length", "bucket", "padded", "batch", "place")
+    return pack(rows, "__cell", ["__h", "doc_id"], buckets, budget, bounded=True).select("doc_id", "length", "bucket", "padded", "batch", "place")
 
 
 def pack_in_order(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

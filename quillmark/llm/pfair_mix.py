@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     table = spark.createDataFrame(plan, "__i int, __first long, __many long, __each long, __from long, __period long, __slots array<int>")
     dealt = docs.join(at, docs["source"].eqNullSafe(at["__source"]), "left").withColumn("__stratum", pick).drop("__source")
     dealt = dealt.withColumn("__h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).withColumn("__cell", (F.col("__h") % CELLS).cast("int"))
-    placed = with_position(dealt, "__stratum", "__cell", ["__h", "doc_id"], "__at")
+    placed = with_position(dealt, "__stratum", "__cell", ["__h", "doc_id"], "__at", bounded=True)  # SOURCES strata of CELLS cells
     placed = placed.withColumn("block", F.floor(F.col("__at") / block).cast("long")).withColumn("place", (F.col("__at") % block).cast("int"))
     inside = (F.col("__stratum") == F.col("__i")) & (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__first") + F.col("__many"))
     placed = placed.join(F.broadcast(table), inside)  # at most 2 * SOURCES phases of SOURCES rows
@@ -130,10 +130,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs in mixed order: a range of slots in each partition, sorted."""
+    """The rows of docs in mixed order: partition by partition, and in each row by row.
+
+    Slots run gapless from 0, so partitions take equal ranges of them without a sample of the rows.
+    """
     names = docs.columns
-    whole = docs.select(F.struct(*names).alias("__row"), "doc_id", "text", "source")
-    return mix(whole.select("__row", F.col("doc_id"), F.xxhash64("text").alias("text"), "source"), weights).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("__row.*")
+    whole = docs.select(F.struct(*names).alias("__row"), "doc_id", "source", F.xxhash64("text").alias("text"))
+    rows = mix(whole, weights)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).agg(F.sum("n")).first()[0] or 1
+    # strata may share a source's last block, so there are `last` slots at most
+    part = F.least(F.lit(n - 1), F.floor(F.col("slot") * n / last)).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions("slot", "place").select("__row.*")
 
 
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
