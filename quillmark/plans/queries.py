@@ -557,6 +557,16 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzed(spark, sf_dir).select(*names.split())
 
 
+@query("f11_replay", O.full("SELECT paper_id, ai_probability AS ai, (100 - statistical_risk)::INTEGER AS risk_score, grade, verdict FROM credibility"))
+def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.replay(analyzed(spark, sf_dir)).select("paper_id", F.col("ai_detection.score").alias("ai"), "statistics.risk_score", "writing.grade", "overall.verdict")
+
+
+@query("f14_methodology", "SELECT * FROM (VALUES ('ai_detection', 0.25::DOUBLE, 'weight'), ('plagiarism', 0.2::DOUBLE, 'weight'), ('citation_validity', 0.25::DOUBLE, 'weight'), ('statistical_integrity', 0.1::DOUBLE, 'weight'), ('writing_standards', 0.2::DOUBLE, 'weight'), ('Credible', 75::DOUBLE, 'least score'), ('Needs review', 50::DOUBLE, 'least score'), ('High risk', 0::DOUBLE, 'least score')) AS t(module, weight, policy)")
+def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.methodology(spark)
+
+
 @query("f12_bands", O.full("SELECT paper_id, CASE WHEN statistical_risk < 30 THEN 'low' WHEN statistical_risk < 60 THEN 'medium' ELSE 'high' END AS risk_band, CASE WHEN credibility >= 70 THEN 'good' WHEN credibility >= 45 THEN 'fair' ELSE 'poor' END AS gauge, CASE WHEN ai_probability < 38 THEN 'human' WHEN ai_probability > 62 THEN 'ai' ELSE 'uncertain' END AS ai_panel FROM credibility"))
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bands(analyzed(spark, sf_dir))
