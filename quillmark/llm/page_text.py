@@ -191,7 +191,7 @@ def main_parts(top: Node) -> tuple[list[Node], set[int]]:
 def candidates(page: str) -> tuple[Node, list[Node], set[int], list[Node]]:
     """The tree, its article elements, the elements dropped by their own word, and those whose recurrence counts.
 
-    Inside an article a plain element (without class, id or role) is the author's and never
+    Only blocks count, as a word in bold that recurs is part of its sentence. Inside an article a plain element (without class, id or role) is the author's and never
     template, as authors repeat passages; outside, and where no article is marked, any is.
     """
     top = parse(page)
@@ -211,7 +211,7 @@ def candidates(page: str) -> tuple[Node, list[Node], set[int], list[Node]]:
     count, stack = [], [top]
     while stack:
         n = stack.pop()
-        if id(n) not in own and n.tag not in ("html", "body", "head") and (id(n) not in inner or (n.attributes and n.tag in BLOCK and names(n))):
+        if id(n) not in own and n.tag in BLOCK and n.tag not in ("html", "body") and (id(n) not in inner or (n.attributes and names(n))):
             count.append(n)
         if id(n) not in out:  # what is inside goes with it
             stack.extend(x for x in n.inside if not isinstance(x, str))

@@ -125,7 +125,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     inside = (F.col("__stratum") == F.col("__i")) & (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__first") + F.col("__many"))
     placed = placed.join(F.broadcast(table), inside)  # at most 2 * SOURCES phases of SOURCES rows
     step = F.col("block") - F.col("__first")
-    slot = F.col("__from") + F.floor(step / F.col("__each")).cast("long") * F.col("__period") + F.element_at("__slots", (step % F.col("__each") + 1).cast("int"))
+    slot = F.col("__from") + F.floor(step / F.col("__each")).cast("long") * F.col("__period") + F.get("__slots", (step % F.col("__each")).cast("int"))
     return placed.withColumn("slot", slot.cast("long")).select(*docs.columns, "block", "slot", "place")
 
 

@@ -115,14 +115,14 @@ def test_toxicity_without_labels(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><nav><a href="/">Home</a></nav><div class="box7">Shared words of {host}</div>
 <div class="txt"><h1>Title {n}</h1><p>First &amp; own {n}<p>Second   <b>bold</b>
-line<br>here</div><div id="comments"><p>Nice!</p></div><footer>&copy; {host}</footer><script>if (a < b) {{ "</p>" }}</script></body></html>"""
+line<br>{n}</div><div id="comments"><p>Nice!</p></div><footer>&copy; {host}</footer><script>if (a < b) {{ "</p>" }}</script></body></html>"""
 
 
 def test_template_of_a_host_goes(spark):
     rows = [(n, f"http://a.org/{n}", PAGE.format(n=n, host="a.org")) for n in range(20)] + [(99, "http://b.org/1", PAGE.format(n=99, host="b.org")), (50, None, None), (None, "http://a.org/x", "plain text"), (51, "", "")]
     found = {r.page_id: r for r in page_text.extract(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host long")).collect()}
-    assert found[3].text == "Title 3\nFirst & own 3\nSecond bold line here"
-    assert found[99].text == "Shared words of b.org\nTitle 99\nFirst & own 99\nSecond bold line here"
+    assert found[3].text == "Title 3\nFirst & own 3\nSecond bold line 3"
+    assert found[99].text == "Shared words of b.org\nTitle 99\nFirst & own 99\nSecond bold line 99"
     assert found[50].text == found[51].text == "" and found[None].text == "plain text" and found[3].n_chars == len(found[3].text)
 
 
