@@ -41,7 +41,9 @@ def fit(corpus: DataFrame) -> DataFrame:
 
 def weighed(rows: DataFrame, ids: list[str], idf: DataFrame) -> DataFrame:
     """(*ids, term, weight): (1 + ln tf) * idf, each text's weights of length 1. idf has TERMS rows at most, so it is sent everywhere."""
-    raw = counted(rows, ids).join(F.broadcast(idf), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    # terms that the corpus doesn't know go before anything is shuffled
+    known = rows.select(*ids, F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(idf), "term")
+    raw = known.groupBy(*ids, "term", "idf").agg(F.count(F.lit(1)).alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     return raw.select(*ids, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))).alias("weight"))
 
 
