@@ -16,11 +16,13 @@ K = 20
 TABLES = 2
 #: Chance, for a true neighbour as near as the sample lets expect, that some table's probes reach it.
 TARGET = 0.97
+#: Chance that a query's k-th neighbour is as near as is expected, at least.
+SURE = 0.99
 #: Width of a hash's slots, in standard deviations of a projection.
 WIDTH = 1.0
 #: Rows of a bucket that the number of hashes aims at, of a task's part of the tables, and queries of a lane.
 BUCKET, PART, LANE = 128, 8192, 4096
-#: Vectors that the fit takes: those with the smallest hash of vec_id.
+#: Vectors that the fit takes: those of the smallest hashes of vec_id.
 SAMPLE = 4096
 #: Hashes of a table at most, and slots of each that probes may leave out as too unlikely.
 MOST_HASHES = 12
@@ -58,9 +60,9 @@ class Hashes:
     """Hash functions of all tables. A vector x of length up to `longest` is put on a sphere by one more component, so
     that the nearest by distance is the one with the largest inner product; a query is stretched onto it, with 0 there."""
 
-    def __init__(self, dims: int, longest: float, hashes: int, near: float, seed: int = 11):
+    def __init__(self, dims: int, longest: float, hashes: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.dims, self.longest, self.hashes, self.near = dims, longest, hashes, near
+        self.dims, self.longest, self.hashes = dims, longest, hashes
         self.a = rng.standard_normal((dims + 1, TABLES * hashes))
         self.b = rng.uniform(0, WIDTH, TABLES * hashes)
         self.odd = mix(np.arange(1, TABLES * (hashes + 1) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
@@ -77,7 +79,7 @@ class Hashes:
         slots = np.floor((p + self.b) / WIDTH)
         return [self.names(slots[:, t * self.hashes : (t + 1) * self.hashes], t) for t in range(TABLES)]
 
-    def probes(self, q: np.ndarray) -> list[np.ndarray]:
+    def probes(self, q: np.ndarray, near: float) -> list[np.ndarray]:
         """For each table the buckets to visit for one query, in order of estimated success.
 
         A neighbour of cosine `near` projects to near * p plus normal noise, which gives each slot's
@@ -86,12 +88,12 @@ class Hashes:
         """
         share = 1 - (1 - TARGET) ** (1 / TABLES)
         p = np.append(q / np.linalg.norm(q), 0.0) @ self.a
-        noise = math.sqrt(max(1e-9, 1 - self.near**2))
+        noise = math.sqrt(max(1e-9, 1 - near**2))
         out = []
         for t in range(TABLES):
             slots, chance = np.zeros((1, 0)), np.ones(1)
             for h in range(t * self.hashes, (t + 1) * self.hashes):
-                centre = self.near * p[h]
+                centre = near * p[h]
                 low, high = (math.floor((centre + d * 4.5 * noise + self.b[h]) / WIDTH) for d in (-1, 1))
                 s = np.arange(low, high + 1)
                 edges = phi(((np.append(s, high + 1) * WIDTH - self.b[h]) - centre) / noise)
@@ -109,11 +111,35 @@ class Hashes:
         return out
 
 
-def fit(vectors: DataFrame, k: int) -> tuple[Hashes, int]:
-    """Hash functions for these vectors, and how many vectors take part.
+class Expected:
+    """How near a query's k-th neighbour is, from the query's own inner products with a sample of the vectors.
 
-    Counts and the greatest length are those of all rows; how near a query's k-th neighbour is to
-    be expected comes from inner products within a sample of SAMPLE vectors.
+    Of the k nearest the sample holds a binomial number. The sample's vector one place beyond all that this may be (but
+    for 1 - SURE) is no nearer than the k-th neighbour, whatever the other queries' neighbours are like.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, share: float, k: int):
+        self.ids, self.x = ids, (x / longest).astype(np.float32)
+        chance = np.cumsum([math.comb(k, b) * share**b * (1 - share) ** (k - b) for b in range(k + 1)])
+        self.place = min(k, 1 + int(np.searchsorted(chance, SURE)))
+
+    def near(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """For each query a cosine that its k-th neighbour has at least."""
+        out = np.zeros(len(ids))
+        for at in range(0, len(ids), 256):
+            some = q[at : at + 256]
+            cosine = (some / np.linalg.norm(some, axis=1, keepdims=True)).astype(np.float32) @ self.x.T
+            cosine[ids[at : at + 256, None] == self.ids] = -1
+            place = min(self.place, cosine.shape[1])
+            if place:
+                out[at : at + 256] = -np.partition(-cosine, place - 1, axis=1)[:, place - 1]
+        return np.clip(out, -0.99, 0.99)
+
+
+def fit(vectors: DataFrame, k: int) -> tuple[Hashes, Expected, int]:
+    """Hash functions for these vectors, what nearness to expect, and how many vectors take part.
+
+    Counts and the greatest length are those of all rows; the sample has SAMPLE vec_ids, each once.
     """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,22 +149,13 @@ def fit(vectors: DataFrame, k: int) -> tuple[Hashes, int]:
 
     total = vectors.mapInPandas(measure, "n long, dims long, longest double").agg(F.sum("n"), F.max("dims"), F.max("longest")).first()
     n, dims, longest = total[0] or 0, total[1] or 1, total[2] or 1.0
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    _, rows = parsed(sample["embedding"], sample["vec_id"])
-    near = 0.0
-    if len(rows) > 2:
-        x = matrix(rows, dims)
-        q = x[:256] / np.linalg.norm(x[:256], axis=1, keepdims=True)
-        cosine = q @ (x / longest).T
-        np.fill_diagonal(cosine, np.nan)
-        mean, spread = np.nanmean(cosine), np.nanstd(cosine)
-        # of n normal values the k-th largest lies about so many standard deviations up
-        tail = min(0.5, k / max(n, 2 * k))
-        t = math.sqrt(-2 * math.log(tail))
-        z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
-        near = float(min(0.99, max(0.0, mean + z * spread)))
+    every = vectors.select("vec_id").where("vec_id is not null").distinct()
+    some = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = vectors.join(F.broadcast(some), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toPandas()  # SAMPLE rows at most
+    ids, rows = parsed(sample["embedding"], sample["vec_id"])
+    expected = Expected(ids, matrix(rows, dims), longest, min(1.0, len(sample) / max(1, every.count())), k)
     hashes = int(min(MOST_HASHES, max(0, round(math.log2(max(1, n / BUCKET)) / 2.05))))
-    return Hashes(dims, longest * (1 + 1e-12), hashes, near), n
+    return Hashes(dims, longest * (1 + 1e-12), hashes), expected, n
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -150,7 +167,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     as queries the first in order of its components counts.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    made, n = fit(vectors, k)
+    made, expected, n = fit(vectors, k)
+    sent = vectors.sparkSession.sparkContext.broadcast(expected)
     parts = max(1, -(-n * TABLES // PART))
     hot_rows = max(PART // 4, n // 1000)
 
@@ -182,8 +200,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, rows = parsed(pdf["embedding"], pdf["vec_id"])
-            for own, q in zip(ids.tolist(), matrix(rows, made.dims), strict=True):
-                wanted = np.concatenate(made.probes(q))
+            asked = matrix(rows, made.dims)
+            for own, q, near in zip(ids.tolist(), asked, sent.value.near(ids, asked).tolist(), strict=True):
+                wanted = np.concatenate(made.probes(q, near))
                 many = np.array([hot.get(b, 1) for b in wanted.tolist()])
                 wanted, at = np.repeat(wanted, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 part = part_of(wanted, at)

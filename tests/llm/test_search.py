@@ -53,6 +53,20 @@ def test_nearest_neighbours_of_the_given_table(spark):
     assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in rows) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.02])
+def test_queries_outside_a_hot_group_have_recall(spark, spread):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((6000, 64))
+    hot = np.arange(6000) % 3 == 1
+    x[hot] = x[1] + spread * rng.standard_normal((hot.sum(), 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in lsh_search.search(vectors(spark, x)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: {i for i, _ in v} for q, v in brute(x, 20, 20).items() if not hot[q]}
+    assert sum(len(found[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_ties_and_hot_vector(spark):
     x = np.concatenate([np.tile([1.0, 0.0, 0.0], (900, 1)), np.random.default_rng(2).standard_normal((300, 3)) * 0.1])
     rows = lsh_search.search(vectors(spark, x)).where("query_id = 40").orderBy("rank").collect()
