@@ -177,7 +177,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             ids, rows = parsed(pdf["embedding"], pdf["vec_id"])
             x = matrix(rows, made.dims)
             for bucket in made.buckets(x):
-                yield pd.DataFrame({"bucket": bucket, "vec_id": ids, "vector": [r.tobytes() for r in x]})
+                # a vec_id that repeats a vector needs it once
+                yield pd.DataFrame({"bucket": bucket, "vec_id": ids, "vector": [r.tobytes() for r in x]}).drop_duplicates(["vec_id", "vector"])
 
     tables, _ = stored(vectors.mapInPandas(table_rows, "bucket long, vec_id long, vector binary"))
     # a bucket of more than hot_rows is divided; there are fewer than 1000 * TABLES of them
@@ -219,11 +220,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if rows.empty or asked.empty:
             return empty
-        rows = rows.sort_values(["bucket", "vec_id"], kind="stable")
+        rows = rows.drop_duplicates(["bucket", "vec_id", "vector"]).sort_values(["vec_id", "bucket"], kind="stable")
         ids, bucket = rows["vec_id"].to_numpy(), rows["bucket"].to_numpy()
         x = np.frombuffer(b"".join(rows["vector"]), dtype=np.float64).reshape(len(rows), -1)
-        names, first = np.unique(bucket, return_index=True)
-        place = np.repeat(np.arange(len(names)), np.diff(np.append(first, len(bucket))))
+        names, place = np.unique(bucket, return_inverse=True)
+        own_rows = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         out = []
         for at in range(0, len(asked), 256):
             some = asked.iloc[at : at + 256]
@@ -236,8 +237,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 found[found < len(names)] = np.where(names[found[found < len(names)]] == wanted[found < len(names)], found[found < len(names)], len(names))
                 visited[r, found] = True
             score = np.where(visited[:, place] & (ids[None, :] != own[:, None]), q @ x.T, -np.inf)
-            if len(ids) > 2 * k:  # two tables may hold a row twice
-                bar = -np.partition(-score, 2 * k, axis=1)[:, 2 * k]
+            if len(own_rows) > k:  # k different ids, however many rows each has
+                each = np.maximum.reduceat(score, own_rows, axis=1)
+                bar = -np.partition(-each, k - 1, axis=1)[:, k - 1]
                 keep = score >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None]
             else:
                 keep = np.ones(score.shape, dtype=bool)

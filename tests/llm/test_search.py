@@ -67,6 +67,17 @@ def test_queries_outside_a_hot_group_have_recall(spark, spread):
     assert sum(len(found[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
 
 
+def test_repeated_rows_leave_room_for_other_neighbours(spark):
+    x = np.random.default_rng(9).standard_normal((600, 16))
+    x[300] *= 3
+    rows = [(i, v.tolist(), "x", 1, "y") for i, v in enumerate(x)]
+    several = spark.createDataFrame(3 * rows + 30 * [rows[300]], SCHEMA)  # one id with many rows, near to many queries
+    rank = lambda found: sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
+    want = {(q, n + 1, i) for q, v in brute(x, 20, 20).items() for n, (i, _) in enumerate(v)}
+    got = rank(lsh_search.search(several))
+    assert len(got) == len(want) and len({(q, i) for q, _, i in got} & {(q, i) for q, _, i in want}) >= 0.95 * len(want)
+
+
 def test_ties_and_hot_vector(spark):
     x = np.concatenate([np.tile([1.0, 0.0, 0.0], (900, 1)), np.random.default_rng(2).standard_normal((300, 3)) * 0.1])
     rows = lsh_search.search(vectors(spark, x)).where("query_id = 40").orderBy("rank").collect()
