@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import heapq
-
+import math
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import with_position
+from quillmark.llm.common import stored, with_position
 
 #: Rows of a source that are scheduled together.
 BLOCK = 16
-#: Slots after which the schedule of a phase repeats.
+#: Slots of the schedule that are built at a time.
 PERIOD = 2048
+#: Binary digits of times after the point, and how many of them tell a time from a whole slot.
+DIGITS, TELLING = 96, 48
 #: Sources with a weight of their own; the others share one weight and are scheduled as one source.
 SOURCES = 256
 #: Default weights are row counts to this power.
@@ -21,7 +31,7 @@ CELLS = 1024
 
 
 def shares(weights: dict[int, float], period: int = PERIOD) -> dict[int, int]:
-    """Slots of each period that each source gets: in proportion to its weight by largest remainder, one at least; they add up to period."""
+    """Whole slots of a period, for a schedule that has to repeat; mix() goes by exact weights. In proportion to its weight by largest remainder, one at least; they add up to period."""
     total = sum(weights.values())
     exact = {i: w / total * (period - len(weights)) for i, w in weights.items()}
     out = {i: 1 + int(x) for i, x in exact.items()}
@@ -30,62 +40,84 @@ def shares(weights: dict[int, float], period: int = PERIOD) -> dict[int, int]:
     return out
 
 
-def serve(share: dict[int, int], period: int = PERIOD) -> list[int]:
-    """The source of each slot of a period.
+def schedule(blocks: dict[int, int], weights: dict[int, float]) -> Iterator[int]:
+    """The source of each slot until all blocks have one.
 
-    Block j of a source with k slots may run from floor(j * period / k) and must before
-    ceil((j + 1) * period / k). As the shares add up to one processor, serving the earliest
-    deadline first meets them all, so each source is always less than one block from its share.
+    In the fluid schedule every source with something left gets its exact weight's part of each slot, and the others
+    share the weight of one that has ended. Block j of a source may run from the floor of the time when the fluid
+    schedule starts it (j / w until a source ends) and must before the ceiling of the time when that ends it ((j + 1) / w).
+    Serving the earliest deadline first meets them all, so each source is always less than one block from the fluid
+    schedule. Weights are the rational numbers that they are written as, so no error adds up with the slots.
     """
-    due = {i: 0 for i in share}
-    later = [(0, i) for i in sorted(share)]
+    left = {i: n for i, n in blocks.items() if n}
+    exact = {i: Fraction(str(weights[i])) for i in left}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    size = {i: int(x * scale) for i, x in exact.items()}
+    rest = total = sum(size.values())
+
+    # virtual time runs like time until a source ends, then faster; from each end on: virtual time, time, weight left
+    begin, time, weight = [0], [0], [total]
+    for end, i in sorted(((n * total << DIGITS) // size[i], i) for i, n in left.items()):
+        time.append(time[-1] + (end - begin[-1]) * rest // total)
+        begin.append(end)
+        rest -= size[i]
+        weight.append(rest)
+
+    def reached(i: int, j: int) -> int:
+        v = (j * total << DIGITS) // size[i]
+        k = max(0, bisect_left(begin, v) - 1)
+        return time[k] + (v - begin[k]) * weight[k] // total
+
+    close = 1 << (DIGITS - TELLING)
+    done, ends = dict.fromkeys(left, 0), {i: reached(i, 1) for i in left}
+    later = [(0, i) for i in sorted(left)]
     ready: list[tuple[int, int]] = []
-    out = []
-    for slot in range(period):
-        while later and later[0][0] <= slot:
+    for slot in range(sum(left.values())):
+        while later and (later[0][0] <= slot or not ready):
             _, i = heapq.heappop(later)
-            heapq.heappush(ready, (-(-(due[i] + 1) * period // share[i]), i))
+            heapq.heappush(ready, (-((close - ends[i]) >> DIGITS), i))
         _, i = heapq.heappop(ready)
-        out.append(i)
-        due[i] += 1
-        if due[i] < share[i]:
-            heapq.heappush(later, (due[i] * period // share[i], i))
-    return out
+        yield i
+        done[i] += 1
+        if done[i] < left[i]:
+            heapq.heappush(later, ((ends[i] + close) >> DIGITS, i))
+            ends[i] = reached(i, done[i] + 1)
 
 
-def phases(blocks: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """Rows (source, first block, blocks, blocks a period, first slot, period, slots in the period).
+def serve(share: dict[int, int], period: int = PERIOD) -> list[int]:
+    """The source of each slot of a period in which each source has its share."""
+    return list(islice(schedule(share, share), period))
 
-    A phase lasts until a source has no block left; the others then share its weight, so no row
-    is dropped or repeated. There are as many phases as sources at most, twice with the odd ends.
-    """
-    left, done, at, out = {i: n for i, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        share = shares({i: weights[i] for i in left}, period)
-        order = serve(share, period)
-        slots: dict[int, list[int]] = {i: [] for i in left}
-        for slot, i in enumerate(order):
+
+def phases(blocks: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> Iterator[tuple[int, int, int, int, int, int, list[int]]]:
+    """Rows (source, first block, blocks, blocks, first slot, period, slots after the first) of each stretch of `period` slots, built one at a time."""
+    order, at, done = schedule(blocks, weights), 0, dict.fromkeys(blocks, 0)
+    while some := list(islice(order, period)):
+        slots: dict[int, list[int]] = defaultdict(list)
+        for slot, i in enumerate(some):
             slots[i].append(slot)
-        if whole := min(left[i] // share[i] for i in left):
-            for i in left:
-                out.append((i, done[i], whole * share[i], share[i], at, period, slots[i]))
-                done[i] += whole * share[i]
-                left[i] -= whole * share[i]
-            at += whole * period
-        else:
-            took = dict.fromkeys(left, 0)
-            for n, i in enumerate(order, 1):
-                took[i] += 1
-                if took[i] == left[i]:
-                    break
-            for i in left:
-                if took[i]:
-                    out.append((i, done[i], took[i], took[i], at, period, slots[i][: took[i]]))
-                    done[i] += took[i]
-                    left[i] -= took[i]
-            at += n
-        left = {i: n for i, n in left.items() if n}
-    return out
+        for i, where in slots.items():
+            yield i, done[i], len(where), len(where), at, period, where
+            done[i] += len(where)
+        at += len(some)
+
+
+def planned(spark: SparkSession, blocks: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> DataFrame:
+    """(__i, __block, __slot) of every block, as a table: one task carries the state from stretch to stretch and keeps none of them."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            found, n = [], 0
+            for i, first, many, _, at, _, where in phases(blocks, weights, period):
+                found.append((np.full(many, i), first + np.arange(many), at + np.array(where)))
+                n += many
+                if n >= 1 << 16:
+                    yield pd.DataFrame(dict(zip(("__i", "__block", "__slot"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                    found, n = [], 0
+            if found:
+                yield pd.DataFrame(dict(zip(("__i", "__block", "__slot"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    return stored(spark.range(0, 1, 1, 1).mapInPandas(rows, "__i int, __block long, __slot long"))[0]
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -116,17 +148,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         wanted = {i: n**TEMPERATURE for i, n in rows.items()}
     else:
         wanted = {i: weights[named[i]] if i < rest else min(weights.values(), default=1.0) for i in rows}
-    plan = phases({i: -(-n // block) for i, n in rows.items()}, wanted, period)
-    table = spark.createDataFrame(plan, "__i int, __first long, __many long, __each long, __from long, __period long, __slots array<int>")
+    plan = planned(spark, {i: -(-n // block) for i, n in rows.items()}, wanted, period)
     dealt = docs.join(at, docs["source"].eqNullSafe(at["__source"]), "left").withColumn("__stratum", pick).drop("__source")
     dealt = dealt.withColumn("__h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).withColumn("__cell", (F.col("__h") % CELLS).cast("int"))
     placed = with_position(dealt, "__stratum", "__cell", ["__h", "doc_id"], "__at", bounded=True)  # SOURCES strata of CELLS cells
     placed = placed.withColumn("block", F.floor(F.col("__at") / block).cast("long")).withColumn("place", (F.col("__at") % block).cast("int"))
-    inside = (F.col("__stratum") == F.col("__i")) & (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__first") + F.col("__many"))
-    placed = placed.join(F.broadcast(table), inside)  # at most 2 * SOURCES phases of SOURCES rows
-    step = F.col("block") - F.col("__first")
-    slot = F.col("__from") + F.floor(step / F.col("__each")).cast("long") * F.col("__period") + F.get("__slots", (step % F.col("__each")).cast("int"))
-    return placed.withColumn("slot", slot.cast("long")).select(*docs.columns, "block", "slot", "place")
+    # grows with the blocks, so Spark chooses how to join; a block has few rows
+    placed = placed.join(plan, (F.col("__stratum") == F.col("__i")) & (F.col("block") == F.col("__block")))
+    return placed.withColumn("slot", F.col("__slot")).select(*docs.columns, "block", "slot", "place")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -95,6 +96,41 @@ def test_schedule_stays_within_a_block(weights):
     assert done == share
 
 
+@pytest.mark.parametrize("weights", [{0: 0.7, 1: 0.3}, {0: 0.9, **{i: 0.002 for i in range(1, 51)}}, {0: 1, 1: 2.5, 2: 1e-4}])
+def test_schedule_stays_within_a_block_of_the_weights_over_many_periods(weights):
+    exact = {i: Fraction(str(w)) / sum(Fraction(str(v)) for v in weights.values()) for i, w in weights.items()}
+    done, t, slots = Counter(), 0, {}
+    for i, first, many, each, at, period, where in pfair_mix.phases(dict.fromkeys(weights, 400_000), weights):
+        if at >= 60 * pfair_mix.PERIOD:
+            break
+        slots.update((at + b // each * period + where[b % each], i) for b in range(many))
+    for t in range(60 * pfair_mix.PERIOD):
+        done[slots[t]] += 1
+        w = exact[slots[t]]
+        assert abs(done[slots[t]] * w.denominator - w.numerator * (t + 1)) < w.denominator
+        if t % 97 == 0:
+            assert all(abs(done[j] - w * (t + 1)) < 1 for j, w in exact.items())
+
+
+def test_sources_that_end_leave_the_others_within_a_block():
+    blocks = {i: 1 + (i * 7919) % 400 for i in range(60)}
+    weights = {i: 1 + i % 7 for i in blocks}
+    fluid, done = dict.fromkeys(blocks, Fraction(0)), Counter()
+    for i in pfair_mix.schedule(blocks, weights):
+        done[i] += 1
+        over = Fraction(1)
+        while over:  # one slot of the fluid schedule
+            on = [j for j in blocks if fluid[j] < blocks[j]]
+            total = sum(weights[j] for j in on)
+            step = min(over, *((blocks[j] - fluid[j]) * total / weights[j] for j in on))
+            for j in on:
+                fluid[j] += step * weights[j] / total
+            over -= step
+        assert all(abs(done[j] - fluid[j]) < 1 for j in blocks)
+        if sum(done.values()) == 1500:
+            break
+
+
 def test_phases_hold_each_block_once():
     blocks = {0: 5000, 1: 17, 2: 1, 3: 333}
     seen, slots = defaultdict(list), []
