@@ -23,7 +23,7 @@ BLOCK = 16
 PERIOD = 2048
 #: Binary digits of times after the point, and how many of them tell a time from a whole slot.
 DIGITS, TELLING = 96, 48
-#: Sources with a weight of their own; the others share one weight and are scheduled as one source.
+#: With so many sources at most, their names and their cells' counts are sent to every task; beyond, Spark joins them as it sees fit.
 SOURCES = 256
 #: Default weights are row counts to this power.
 TEMPERATURE = 0.5
@@ -124,8 +124,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     """Every row of docs with its block (of its source), slot (of the schedule, one block each) and place (in the block).
 
     Order by slot and place. weights: of sources by name, any positive numbers; sources without
-    one, beyond the SOURCES - 1 largest where no weights are given, are one source together. By
-    default weights are row counts to the power TEMPERATURE. Null is a source like others. A
+    one are one source together. By default every source has its own weight, its row count to the
+    power TEMPERATURE. The plan is made from one entry for each source. Null is a source like others. A
     source's rows come in order of a hash of doc_id and text. The last block of a source may be short.
     Columns named block, slot and place are replaced.
     """
@@ -133,14 +133,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     docs = docs.drop("block", "slot", "place")
     known = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        named = [r.source for r in known.orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(SOURCES - 1).collect()]
+        named = [r.source for r in known.orderBy(F.desc("n"), F.asc_nulls_last("source")).collect()]
     else:
-        if len(weights) >= SOURCES or min(weights.values(), default=1) <= 0:
-            raise ValueError(f"fewer than {SOURCES} weights, all positive")
+        if min(weights.values(), default=1) <= 0:
+            raise ValueError("weights must be positive")
         named = list(weights)
     rest = len(named)
-    strata = spark.createDataFrame([(s, i) for i, s in enumerate(named)], "__source string, __stratum int")
-    at = F.broadcast(strata)  # fewer than SOURCES rows
+    few = rest <= SOURCES
+    strata = spark.createDataFrame(pd.DataFrame({"__source": pd.Series(named, dtype=object), "__stratum": np.arange(rest, dtype=np.int32)}), "__source string, __stratum int")
+    at = F.broadcast(strata) if few else strata
     pick = F.coalesce(F.col("__stratum"), F.lit(rest))
     sizes = known.join(at, known["source"].eqNullSafe(at["__source"]), "left").groupBy(pick.alias("i")).agg(F.sum("n").alias("n"))
     rows = {r.i: r.n for r in sizes.collect()}
@@ -151,7 +152,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     plan = planned(spark, {i: -(-n // block) for i, n in rows.items()}, wanted, period)
     dealt = docs.join(at, docs["source"].eqNullSafe(at["__source"]), "left").withColumn("__stratum", pick).drop("__source")
     dealt = dealt.withColumn("__h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).withColumn("__cell", (F.col("__h") % CELLS).cast("int"))
-    placed = with_position(dealt, "__stratum", "__cell", ["__h", "doc_id"], "__at", bounded=True)  # SOURCES strata of CELLS cells
+    placed = with_position(dealt, "__stratum", "__cell", ["__h", "doc_id"], "__at", bounded=few)  # SOURCES strata of CELLS cells
     placed = placed.withColumn("block", F.floor(F.col("__at") / block).cast("long")).withColumn("place", (F.col("__at") % block).cast("int"))
     # grows with the blocks, so Spark chooses how to join; a block has few rows
     placed = placed.join(plan, (F.col("__stratum") == F.col("__i")) & (F.col("block") == F.col("__block")))

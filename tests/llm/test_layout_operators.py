@@ -154,6 +154,19 @@ def test_mix(spark):
     assert pfair_mix.mix(docs(spark, [])).count() == 0 and pfair_mix.mixed(docs(spark, [])).count() == 0
 
 
+def test_each_of_many_sources_has_its_own_weight(spark):
+    rows = [(i, f"t{i}", None if i % 400 == 7 else f"s{i % 400}") for i in range(4000)] + [(9000 + i, "x", "big") for i in range(1000)]
+    found = pfair_mix.mix(docs(spark, rows), block=1).select("source", "block", "slot").collect()
+    total = 400 * 10**0.5 + 1000**0.5
+    assert len(found) == len({r.slot for r in found}) == len(rows) == max(r.slot for r in found) + 1
+    assert {r.source for r in found if r.block == 0} == {r.source for r in found} and sum(r.block == 0 for r in found) == 401
+    for t in (500, 2000, 4000):
+        done = Counter(r.source for r in found if r.slot < t)
+        assert all(abs(done[s] - t * (1000 if s == "big" else 10) ** 0.5 / total) < 1 for s in {r.source for r in found})
+    weights = {f"s{i}": 1 + i % 3 for i in range(300)}
+    assert pfair_mix.mix(docs(spark, rows), weights, block=1).count() == len(rows)
+
+
 def test_mixed_rows_keep_their_columns_and_order(spark):
     rows = [(i, f"t{i}", f"s{i % 5}") for i in range(300)]
     d = docs(spark, rows)
