@@ -5,16 +5,17 @@ from __future__ import annotations
 import base64
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ASCII_LOWER, PIECE, mix, slices, stored, word_hashes
+from quillmark.llm.common import ASCII_LOWER, PIECE, slices, stored, word_hashes
 
 #: Where the tokenizer's ranks are, on every machine.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -28,8 +29,8 @@ STEP = WINDOW - CONTEXT
 #: Size of vectors, of the hidden layer, and of each of the three levels of the output: BRANCH ** 3 subwords.
 SIZE, HIDDEN, BRANCH = 16, 32, 16
 SUBWORDS = BRANCH**3
-#: Rounds of training; in each, every training document gives one stretch of SPAN subwords to one of TRAINERS, which start from the mean of the last round.
-ROUNDS, SPAN, TRAINERS = 3, 2 * STEP + CONTEXT, 64
+#: Rounds of training, which share all windows of all training documents; in each, TRAINERS start from the mean of the last round.
+ROUNDS, TRAINERS = 3, 64
 BATCH, LEAST_STEPS, RATE = 64, 200, 0.01
 #: Counts that the chance without its condition stands for, where a condition is rare.
 PRIOR = 8.0
@@ -342,44 +343,62 @@ class Attention:
         np.add.at(g["embed"], x.reshape(-1), de.reshape(-1, SIZE))
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, rate: float, seed: int) -> None:
-        """Adam over the windows in random order, LEAST_STEPS batches at least."""
+    def train(self, runs: Iterable[tuple[np.ndarray, np.ndarray]], expected: int, rate: float, seed: int) -> int:
+        """Adam over the windows of all runs, some runs' in random order at a time; LEAST_STEPS batches at least. Returns how many windows there were.
+
+        The rate falls as if `expected` windows came.
+        """
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(p) for k, p in self.w.items()} for _ in range(2))
-        step, steps = 0, max(LEAST_STEPS, -(-len(x) // BATCH))
-        while step < steps:
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), BATCH):
-                if step == steps:
-                    break
-                step += 1
-                some = order[at : at + BATCH]
-                now = rate * (1 - 0.9 * step / steps)
-                for k, g in self.gradients(x[some], y[some]).items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.w[k] -= np.float32(now) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + np.float32(1e-8))
+        step, seen, steps = 0, 0, max(LEAST_STEPS, -(-expected // BATCH))
+        for x, y in gathered(runs, LEAST_STEPS * BATCH):
+            again = False
+            while not again or step < LEAST_STEPS:
+                order = rng.permutation(len(x))
+                for at in range(0, len(x), BATCH):
+                    if again and step >= LEAST_STEPS:
+                        break
+                    step += 1
+                    some = order[at : at + BATCH]
+                    now = rate * (1 - 0.9 * min(1.0, step / steps))
+                    for k, g in self.gradients(x[some], y[some]).items():
+                        m[k] += 0.1 * (g - m[k])
+                        v[k] += 0.01 * (g * g - v[k])
+                        self.w[k] -= np.float32(now) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + np.float32(1e-8))
+                again = True
+            seen += len(x)
+        return seen
+
+
+def gathered(runs: Iterable[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of runs together, `least` or more but for the last."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for run in runs:
+        kept.append(run)
+        if sum(len(x) for x, _ in kept) >= least:
+            yield tuple(np.concatenate(z) for z in zip(*kept, strict=True))
+            kept = []
+    if sum(len(x) for x, _ in kept):
+        yield tuple(np.concatenate(z) for z in zip(*kept, strict=True))
 
 
 def stretches(ids: np.ndarray, n: np.ndarray, held: np.ndarray, turn: int, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) of windows from one stretch of SPAN ids of each training document, elsewhere in each round."""
-    begin = np.cumsum(n) - n
-    use = np.flatnonzero(~held)
-    draw = mix(np.arange(len(n), dtype=np.uint64) * np.uint64(ROUNDS) + np.uint64(turn) + ids[:1].astype(np.uint64).sum())
-    from_ = np.where(n > SPAN, (draw % (np.maximum(n - SPAN, 0) + 1).astype(np.uint64)).astype(np.int64), 0)[use]
-    take = np.minimum(n[use], SPAN)
-    at = np.repeat(begin[use] + from_, take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-    flat, k = subwords.spread(ids[at], take)
-    x, y, doc = windows(flat, k)
-    # a stretch from the middle starts with context, not with start marks; what follows it isn't the end
-    begins = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
-    keep = ~(begins & (from_[doc] > 0))
-    y = np.where((y == END) & ((from_ + take)[doc] < n[use][doc])[:, None], -1, y)
-    return x[keep], y[keep]
+    """(inputs, targets) of every ROUNDS-th window of each training document, others in each round, so that the rounds cover all."""
+    flat, k = subwords.spread(ids[np.repeat(~held, n)], n[~held])
+    edge = np.concatenate(([0], np.cumsum(k)))
+    xs, ys, at = [np.zeros((0, WINDOW), np.int32)], [np.zeros((0, STEP), np.int32)], 0
+    while at < len(k):  # some documents at a time
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + PIECE // 4, side="right")) - 1)
+        x, y, doc = windows(flat[edge[at] : edge[to]], k[at:to])
+        keep = (np.arange(len(doc)) - np.searchsorted(doc, doc) + doc + at) % ROUNDS == turn
+        xs.append(x[keep])
+        ys.append(y[keep])
+        at = to
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def fit(table: DataFrame, tokenizer: str) -> tuple[Subwords, Attention]:
-    """Train on the stored blocks: counts of all training documents, then ROUNDS of training whose results are averaged."""
+    """Train on the stored blocks: counts of all training documents, then ROUNDS of training on all their windows, whose results are averaged."""
     spark = table.sparkSession
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,19 +435,24 @@ def fit(table: DataFrame, tokenizer: str) -> tuple[Subwords, Attention]:
         known.follow, known.leaf = both[: len(known.follow)], both[len(known.follow) :]
     model = Attention(known.tables(), subwords.turned)
     sent = spark.sparkContext.broadcast((subwords, model.bias))
+    table_of_ids = table.select("ids", "n_ids", "held").coalesce(TRAINERS)
+
+    def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum(int((-(-(np.frombuffer(r.n_ids, np.int32)[~np.frombuffer(r.held, bool)] + 1) // STEP)).sum()) for pdf in batches for r in pdf.itertuples(index=False))
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [total]})
+
+    sizes = {r.part: r.n for r in table_of_ids.mapInPandas(size, "part int, n long").collect()}  # TRAINERS rows at most
     for turn in range(ROUNDS):
         now = model.pack()
 
         def train(batches: Iterator[pd.DataFrame], turn: int = turn, now: bytes = now) -> Iterator[pd.DataFrame]:
             sub, bias = sent.value
             own = Attention(bias, sub.turned, Attention.unpack(np.frombuffer(now, np.float32)))
-            found = [stretches(restored(r.ids, np.uint16), np.frombuffer(r.n_ids, np.int32).astype(np.int64), np.frombuffer(r.held, bool), turn, sub) for pdf in batches for r in pdf.itertuples(index=False)]
-            if sum(len(x) for x, _ in found):
-                x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-                own.train(x, y, RATE / (1 + turn), turn)
-                yield pd.DataFrame({"n": [len(x)], "weights": [own.pack()]})
+            found = (stretches(restored(r.ids, np.uint16), np.frombuffer(r.n_ids, np.int32).astype(np.int64), np.frombuffer(r.held, bool), turn, sub) for pdf in batches for r in pdf.itertuples(index=False))
+            if n := own.train(found, sizes.get(TaskContext.get().partitionId(), 0) // ROUNDS, RATE / (1 + turn), turn):
+                yield pd.DataFrame({"n": [n], "weights": [own.pack()]})
 
-        done = table.select("ids", "n_ids", "held").coalesce(TRAINERS).mapInPandas(train, "n long, weights binary").collect()  # TRAINERS rows at most
+        done = table_of_ids.mapInPandas(train, "n long, weights binary").collect()  # TRAINERS rows at most
         if done:
             share = np.array([r.n for r in done], dtype=np.float64)
             mean = sum(np.frombuffer(r.weights, np.float32) * (s / share.sum()) for r, s in zip(done, share, strict=True))

@@ -198,6 +198,18 @@ def test_windows_hold_each_target_once(lengths):
         at += k
 
 
+def test_rounds_of_training_cover_every_window_of_the_training_documents():
+    rng = np.random.default_rng(3)
+    n = np.array([0, 5, 24, 1000, 70, 300_000, 3, 47])
+    held = np.array([False, False, True, False, False, False, True, False])
+    ids = rng.integers(0, 256, n.sum())
+    subwords = attention_lm.Subwords(np.zeros(attention_lm.IDS, np.int64), attention_lm.TOKENIZER)
+    _, want, _ = attention_lm.windows(*subwords.spread(ids[np.repeat(~held, n)], n[~held]))
+    rounds = [attention_lm.stretches(ids, n, held, turn, subwords)[1] for turn in range(attention_lm.ROUNDS)]
+    assert sorted(map(bytes, np.concatenate(rounds))) == sorted(map(bytes, want))
+    assert max(map(len, rounds)) - min(map(len, rounds)) < len(n)
+
+
 def test_language_model_beats_its_subword_frequencies(spark):
     rows = [(i, " ".join("the cat sat on the mat and the dog ran to the red barn".split()[(i + j) % 14] for j in range(60))) for i in range(200)]
     found = attention_lm.score(docs(spark, rows)).where("held_out").agg(F.sum("score") / F.sum("n_subwords")).first()[0]
