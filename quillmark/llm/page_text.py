@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import stored
 
-#: A subtree is template if it is on this share of a host's pages, and on so many at least.
+#: A subtree is template if it is on this share of a host's pages, and on so many at least; or on so many different pages, however large the host.
 SHARE = 0.1
 LEAST = 4
+MANY = 20
 
 # Fixed values of HTML: elements by how they are parsed and what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,33 +256,34 @@ def host(url: Column) -> Column:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(k, host, digest) of each page's different subtrees that may be template; equal pages of one id count once."""
+    """(k, host, page, digest) of each page's different subtrees that may be template; page is a hash of its html."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ks, hosts, ds = [], [], []
-            for k, h, page in zip(pdf["__k"], pdf["__host"], pdf["html"], strict=True):
+            ks, hosts, own_pages, ds = [], [], [], []
+            for k, h, same, page in zip(pdf["__k"], pdf["__host"], pdf["__page"], pdf["html"], strict=True):
                 own = {n.digest for n in candidates(page)[3]}
                 ks += [k] * len(own)
                 hosts += [h] * len(own)
+                own_pages += [same] * len(own)
                 ds += own
-            yield pd.DataFrame({"k": pd.Series(ks, dtype="int64"), "host": pd.Series(hosts, dtype="int64"), "digest": pd.Series(ds, dtype="int64")})
+            yield pd.DataFrame({"k": pd.Series(ks, dtype="int64"), "host": pd.Series(hosts, dtype="int64"), "page": pd.Series(own_pages, dtype="int64"), "digest": pd.Series(ds, dtype="int64")})
 
-    rows = _keyed(pages).select("__k", F.xxhash64(host(F.col("url"))).alias("__host"), "html")
-    return rows.mapInPandas(found, "k long, host long, digest long")
+    rows = _keyed(pages).select("__k", F.xxhash64(host(F.col("url"))).alias("__host"), F.xxhash64("html").alias("__page"), "html")
+    return rows.mapInPandas(found, "k long, host long, page long, digest long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Every row of pages as page_id, url, text, n_chars.
 
-    A host's template is what recurs on SHARE of its pages, LEAST at least; these subtrees are
+    A host's template is what recurs on SHARE of its pages, LEAST at least, or on MANY pages of different html; these subtrees are
     deleted, as are elements that by tag, class, id or role aren't an article's. A null html is an
     empty one and gives an empty text; a null url belongs to a nameless host; equal rows all stay.
     """
     found, _ = stored(subtrees(pages))
     sizes = _keyed(pages).select(F.xxhash64(host(F.col("url"))).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = found.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
-    template = counts.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "digest")
+    counts = found.groupBy("host", "digest", "page").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).where(F.col("n") >= LEAST)
+    template = counts.join(sizes, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("different") >= MANY)).select("host", "digest")
     flags = found.join(template, ["host", "digest"]).groupBy("k").agg(F.collect_set("digest").alias("__flags"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -126,6 +126,15 @@ def test_template_of_a_host_goes(spark):
     assert found[50].text == found[51].text == "" and found[None].text == "plain text" and found[3].n_chars == len(found[3].text)
 
 
+def test_template_of_one_design_of_a_large_host_goes(spark):
+    page = "<body>{menu}<div><p>Own words {n}</div></body>"
+    menu = "<div><p>Menu of one design</div>"
+    rows = [(n, f"http://a.org/{n}", page.format(menu=menu if n < 25 else "", n=n)) for n in range(400)]
+    rows += [(1000 + n, f"http://a.org/{n}", "<body><div><p>Copied page</div></body>") for n in range(25)]
+    found = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "Own words 3" and found[300] == "Own words 300" and found[1003] == "Copied page"
+
+
 def test_article_keeps_its_repeated_paragraphs(spark):
     page = '<body><header><p>Site</p></header><article><header><h1>T{n}</h1></header><p>Same in all</p><div class="share">Share</div><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article><aside>x</aside></body>'
     rows = [(n, "http://a.org/", page.format(n=n)) for n in range(10)]
