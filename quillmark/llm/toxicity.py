@@ -23,8 +23,8 @@ EPOCHS = 300
 RARE = 3.0
 #: Weight of the sum of absolute weights.
 L1 = 2e-4
-#: Score from which a text is predicted toxic, and the one from which clean() rejects it: a filter must spare clean texts.
-THRESHOLD, REJECT = 0.3, 0.5
+#: Score from which a text is predicted toxic, and clean() rejects it.
+THRESHOLD = 0.3
 
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -172,8 +172,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is under REJECT, unchanged."""
-    return score(docs.withColumn("__row", F.struct(*docs.columns)).select("text", "__row"), fit(docs, labels)).where(F.col("score") < REJECT).select("__row.*")
+    """The documents whose score is under THRESHOLD, unchanged."""
+    return score(docs.withColumn("__row", F.struct(*docs.columns)).select("text", "__row"), fit(docs, labels)).where(F.col("score") < THRESHOLD).select("__row.*")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,12 @@ def test_toxicity_is_learned_from_documents_and_placed_in_sentences(spark):
     assert set(toxicity.clean(d, table).columns) == set(d.columns)
 
 
+def test_pipeline_rejects_what_the_operator_calls_toxic(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score", lambda d, _: d.withColumn("score", F.col("text").cast("double")))
+    assert [r.text for r in toxicity.clean(docs(spark, [(1, "0.29"), (2, "0.3"), (3, "0.49"), (4, "0.5")]), None).collect()] == ["0.29"]
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, [(1, "a text")])
     assert toxicity.clean(d, spark.createDataFrame([], "doc_id long, toxic int")).count() == 1
