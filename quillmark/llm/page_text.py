@@ -1,4 +1,4 @@
-"""Main text of HTML pages: subtrees that recur across a host's pages are its template and go, as do parts that say they are."""
+"""Main text of HTML pages: subtrees that recur across a host's different pages are its template and go, as do parts that HTML or their names mark as no article."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import stored
+from quillmark.llm.common import slices, stored
 
-#: A subtree is template if it is on this share of a host's pages, and on so many at least; or on so many different pages, however large the host.
+#: A subtree is template if it is on this share of a host's different pages, and on so many at least; or on so many, however large the host.
 SHARE = 0.1
 LEAST = 4
 MANY = 20
+#: Levels of elements; deeper ones stand beside each other, as in browsers.
+DEPTH = 512
 
 # Fixed values of HTML: elements by how they are parsed and what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,26 +34,32 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that name a part which isn't the article.
+#: Tags whose class, id or role may say that they are no part of the article; the id of a heading or paragraph only repeats its words.
+HOLDERS = frozenset("div section ul ol article table td".split())
+#: Whole ids, roles and classes, and last words of a class, of such parts where no article is marked.
 OTHER = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup "
-    "sidebar sidenav nav navbar navigation menu submenu menubar breadcrumb breadcrumbs masthead topbar footer comment comments commentlist discussion disqus replies respond reactions related recommended "
-    "share sharing social popup modal overlay widget toolbar pagination pager login search skip copyright complementary contentinfo form dialog".split()
+    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert newsletter subscribe signup "
+    "sidebar sidenav nav navbar navigation menu submenu menubar breadcrumb breadcrumbs masthead topbar footer comment comments commentlist disqus "
+    "share sharing social popup modal toolbar pagination pager login complementary contentinfo".split()
 )
+#: Whole ids and classes of adverts and readers' comments inside a marked article, where nothing else goes by its name.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist".split())
 TITLES = frozenset({"header", "banner"})
-NAMED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 TOKEN = re.compile(
-    r"<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*+>|/([a-zA-Z][^\s/>]*+)[^>]*+>|([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([a-zA-Z][^\s/>]*+)([^>]*+)>)", re.S
+    r"<(?:!--(?:-?>|.*?--!?>|.*\Z)|[!?][^>]*+>|/([a-zA-Z][^\s/>]*+)[^>]*+>|([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([a-zA-Z][^\s/>]*+)([^>]*+)>)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "inside", "digest")
+    __slots__ = ("tag", "attributes", "parent", "inside", "digest", "depth", "in_p")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
+        self.depth: int = parent.depth + 1 if parent else 0
+        self.in_p: bool = tag == "p" or (parent is not None and parent.in_p)
         self.inside: list[Node | str] = []
         self.digest = 0
 
@@ -63,14 +71,17 @@ def parse(page: str) -> Node:
     """The tree of a page; end tags that the page leaves out are put where HTML puts them, stray ones are ignored."""
     top = now = Node("#page", "", None)
     at, length = 0, len(page)
+    last_tag = page.rfind(">") + 1  # beyond, there are no tags to look for
     while at < length:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last_tag)
         if m is None:
             now.inside.append(page[at:])
             break
         if m.start() > at:
             now.inside.append(page[at : m.start()])
         at = m.end()
+        if page.startswith("<!--", m.start()) and not page.startswith(("-->", "--!>"), at - 3 - (page[at - 2] == "!")):
+            break  # a comment without an end
         if end := m[1]:
             end = end.lower()
             up: Node | None = now
@@ -86,7 +97,7 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         attributes = (m[3] if m[2] else m[5]) or ""
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and now.in_p:
             up = now
             while up.tag not in ("p", "#page", "td", "th", "button", "object"):
                 up = up.parent
@@ -105,6 +116,8 @@ def parse(page: str) -> Node:
             if tag == "br":
                 now.inside.append(" ")
             continue
+        if now.depth >= DEPTH:
+            now = now.parent
         node = Node(tag, attributes.strip(), now)
         now.inside.append(node)
         if tag in VOID or (node.attributes.endswith("/") and tag in ("svg", "math")):
@@ -140,13 +153,8 @@ def digests(all_nodes: list[Node]) -> None:
         n.digest = xxhash.xxh64_intdigest("\x01".join(parts)) - (1 << 63)
 
 
-def names(n: Node) -> set[str]:
-    a = n.get()
-    return {w.lower() for k in ("class", "id", "role", "data-role") if k in a for w in NAMED.findall(a[k])}
-
-
 def foreign(n: Node, inside: bool) -> bool:
-    """Whether an element says of itself that it isn't part of an article. inside: it stands in one."""
+    """Whether an element is no part of an article, by its tag or by its own word. inside: it stands in a marked article."""
     if n.tag in DROPPED:
         return True
     header = n.tag == "header"
@@ -154,148 +162,134 @@ def foreign(n: Node, inside: bool) -> bool:
         a = n.get()
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
             return True
-        if n.tag not in ("html", "body", "main"):
-            own = names(n)
-            if own & OTHER and not (n.tag == "article" and not own & {"comment", "comments", "ad", "ads", "sponsored", "promo", "related"}):
-                return True
-            header = header or bool(own & TITLES)
+        if n.tag in HOLDERS:
+            whole = {x.lower() for k in ("class", "id", "role") for x in a.get(k, "").split()}
+            if inside or n.tag == "article":
+                if whole & FOREIGN:
+                    return True
+            else:
+                last = {w[-1].lower() for c in a.get("class", "").split() if (w := WORD.findall(c))}
+                if (whole | last) & OTHER:
+                    return True
+                header = header or bool(whole & TITLES)
     if header:
         return not (inside and any(x.tag in HEADINGS for x in nodes(n)))
     return False
 
 
 def main_parts(top: Node) -> tuple[list[Node], set[int]]:
-    """The elements that hold the article, and the ids of elements that aren't part of it by their own word."""
+    """The elements that hold the text, in page order, and the ids of elements that aren't part of it.
+
+    All outermost articles, and all main parts without one; if neither is marked, the whole page.
+    """
     out: set[int] = set()
-    articles: list[Node] = []
-    mains: list[Node] = []
-    stack = [(top, False)]
+    found: list[Node] = []
+    mains: set[int] = set()
+    holding: set[int] = set()
+    stack: list[tuple[Node, bool, Node | None]] = [(top, False, None)]
     while stack:
-        n, inside = stack.pop()
+        n, inside, main = stack.pop()
         if n.parent is not None and foreign(n, inside):
             out.add(id(n))
             continue
-        role = n.attributes and n.get()
-        if not inside and (n.tag == "article" or (role and role.get("itemprop") == "articleBody")):
-            articles.append(n)
-            inside = True
-        elif n.tag == "main" or (role and role.get("role") == "main"):
-            mains.append(n)
-        stack.extend((x, inside) for x in reversed(n.inside) if not isinstance(x, str))
-    if len(articles) == 1:
-        return articles, out
-    if mains:
-        return mains[:1], out
-    return articles or [top], out
-
-
-def candidates(page: str) -> tuple[Node, list[Node], set[int], list[Node]]:
-    """The tree, its article elements, the elements dropped by their own word, and those whose recurrence counts.
-
-    Only blocks count, as a word in bold that recurs is part of its sentence. Inside an article a plain element (without class, id or role) is the author's and never
-    template, as authors repeat passages; outside, and where no article is marked, any is.
+        if not inside:
+            role = n.attributes and n.get()
+            if n.tag == "article" or (role and role.get("itemprop") == "articleBody"):
+                found.append(n)
+                inside = True
+                if main:
+                    holding.add(id(main))
+            elif main is None and (n.tag == "main" or (role and role.get("role") == "main")):
+                found.append(n)
+                mains.add(id(n))
+                main = n
+        stack.extend((x, inside, main) for x in reversed(n.inside) if not isinstance(x, str))
+    return [n for n in found if id(n) not in holding] or [top], out
+
+
+def lines(page: str) -> list[tuple[str, list[int]]]:
+    """The blocks of the page's text in page order, each with the digests of the subtrees around it that may be template.
+
+    Only blocks count, as a word in bold that recurs is part of its sentence. Inside an article a
+    plain element (without class, id or role) is the author's and never template, as authors
+    repeat passages; where no article is marked, any is.
     """
     top = parse(page)
-    every = nodes(top)
-    digests(every)
+    digests(nodes(top))
     roots, out = main_parts(top)
-    own = {id(top)}
-    for r in roots:
-        up: Node | None = r
-        while up is not None:
-            own.add(id(up))
-            up = up.parent
-    inner = set()
-    if roots != [top]:
-        for r in roots:
-            inner.update(id(n) for n in nodes(r))
-    count, stack = [], [top]
-    while stack:
-        n = stack.pop()
-        if id(n) not in own and n.tag in BLOCK and n.tag not in ("html", "body") and (id(n) not in inner or (n.attributes and names(n))):
-            count.append(n)
-        if id(n) not in out:  # what is inside goes with it
-            stack.extend(x for x in n.inside if not isinstance(x, str))
-    return top, roots, out, count
-
-
-def text_of(roots: list[Node], out: set[int], template: set[int], count: list[Node]) -> str:
-    """Blocks of the article, one line each, without dropped and template elements."""
-    gone = out | {id(n) for n in count if n.digest in template}
-    blocks: list[str] = []
+    marked = roots != [top]
+    found: list[tuple[str, list[int]]] = []
     line: list[str] = []
+    around: list[int] = []
 
     def end() -> None:
         if text := " ".join(entities.unescape("".join(line)).split()):
-            blocks.append(text)
+            found.append((text, list(around)))
         line.clear()
 
     for r in roots:
-        stack: list[Node | str | None] = [r]
+        stack: list[Node | str | bool] = [r]
         while stack:
             n = stack.pop()
-            if n is None:
+            if isinstance(n, bool):
                 end()
+                if n:
+                    around.pop()
             elif isinstance(n, str):
                 line.append(n)
-            elif id(n) not in gone:
+            elif id(n) not in out:
                 if n.tag in BLOCK or n.tag == "#page":
                     end()
-                    stack.append(None)
+                    counts = n is not r and n.tag not in ("html", "body", "main") and (not marked or (n.attributes != "" and not {"class", "id", "role"}.isdisjoint(n.get())))
+                    if counts:
+                        around.append(n.digest)
+                    stack.append(counts)
                 stack.extend(reversed(n.inside))
         end()
-    return "\n".join(blocks)
-
-
-def _keyed(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("__k", F.xxhash64("page_id", "url", "html"))
+    return found
 
 
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """(k, host, page, digest) of each page's different subtrees that may be template; page is a hash of its html."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """(row, page_id, url, host, content, lines) of each row: its blocks of text with the digests around them; content is a hash of all the blocks."""
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ks, hosts, own_pages, ds = [], [], [], []
-            for k, h, same, page in zip(pdf["__k"], pdf["__host"], pdf["__page"], pdf["html"], strict=True):
-                own = {n.digest for n in candidates(page)[3]}
-                ks += [k] * len(own)
-                hosts += [h] * len(own)
-                own_pages += [same] * len(own)
-                ds += own
-            yield pd.DataFrame({"k": pd.Series(ks, dtype="int64"), "host": pd.Series(hosts, dtype="int64"), "page": pd.Series(own_pages, dtype="int64"), "digest": pd.Series(ds, dtype="int64")})
+            for part in slices(pdf, "html"):
+                found = [lines(page) for page in part["html"]]
+                content = [xxhash.xxh64_intdigest("\n".join(t for t, _ in x).encode("utf-8", "replace")) - (1 << 63) for x in found]
+                own = part.drop(columns="html")
+                own["content"] = pd.Series(content, index=own.index, dtype="int64")
+                own["lines"] = pd.Series([[{"text": t, "around": d} for t, d in x] for x in found], index=own.index, dtype=object)
+                yield own
 
-    rows = _keyed(pages).select("__k", F.xxhash64(host(F.col("url"))).alias("__host"), F.xxhash64("html").alias("__page"), "html")
-    return rows.mapInPandas(found, "k long, host long, page long, digest long")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.xxhash64(host(F.col("url"))).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    schema = "page_id string, url string, host long, content long, lines array<struct<text: string, around: array<long>>>"
+    return rows.mapInPandas(read, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Every row of pages as page_id, url, text, n_chars.
 
-    A host's template is what recurs on SHARE of its pages, LEAST at least, or on MANY pages of different html; these subtrees are
-    deleted, as are elements that by tag, class, id or role aren't an article's. A null html is an
-    empty one and gives an empty text; a null url belongs to a nameless host; equal rows all stay.
+    A host's template is what recurs on SHARE of its different pages, LEAST at least, or on MANY of
+    them; pages of equal text are one page, however many rows, urls or mirrors they have. These
+    subtrees are deleted, as are elements that by tag, class, id or role aren't an article's. A
+    null html is an empty one and gives an empty text; a null url belongs to a nameless host;
+    equal rows all stay.
     """
-    found, _ = stored(subtrees(pages))
-    sizes = _keyed(pages).select(F.xxhash64(host(F.col("url"))).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = found.groupBy("host", "digest", "page").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).where(F.col("n") >= LEAST)
-    template = counts.join(sizes, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("different") >= MANY)).select("host", "digest")
-    flags = found.join(template, ["host", "digest"]).groupBy("k").agg(F.collect_set("digest").alias("__flags"))
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for page, flags in zip(pdf["html"], pdf["__flags"], strict=True):
-                _, roots, out, count = candidates(page)
-                texts.append(text_of(roots, out, set() if flags is None else {int(x) for x in flags}, count))
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": pd.Series(texts, dtype=object), "n_chars": pd.Series([len(t) for t in texts], dtype="int64")})
-
-    rows = _keyed(pages.select("page_id", "url", "html")).join(flags, F.col("__k") == F.col("k"), "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "__flags")
-    return rows.mapInPandas(write, "page_id string, url string, text string, n_chars long").select(F.col("page_id").cast("long").alias("page_id"), "url", "text", "n_chars")
+    table, _ = stored(parsed(pages))
+    found = table.select("row", "host", "content", F.explode(F.array_distinct(F.flatten("lines.around"))).alias("digest"))
+    sizes = table.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = found.select("host", "digest", "content").distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    template = counts.join(sizes, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("n") >= MANY)).select("host", "digest")
+    flags = found.join(template, ["host", "digest"]).groupBy("row").agg(F.collect_set("digest").alias("flags"))
+    kept = F.filter("lines", lambda x: F.col("flags").isNull() | ~F.arrays_overlap(x["around"], F.col("flags")))
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
+    rows = table.select("row", "page_id", "url", "lines").join(flags, "row", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", text.alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

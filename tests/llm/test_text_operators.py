@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -149,6 +150,82 @@ def test_article_keeps_its_repeated_paragraphs(spark):
     assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, rows):
+    return page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def test_an_article_keeps_what_its_ids_and_classes_call_like_a_part_of_a_site(spark):
+    body = '<article><h1>T</h1><p>Intro.</p><section id="discussion"><p>A</p></section><section id="related-work"><p>B</p></section><h2 id="menu-costs">C</h2><p class="search-methods">D</p><div id="comments"><p>Nice!</div></article>'
+    pages = [body, "<main><p>a</main><main><p>b</main>", "<main><p>a</main><article>b</article><article>c</article>", "<main><p>x<article>c</article></main>", '<div class="site-footer">x</div><p>y<div class="ad">z</div>']
+    found = extracted(spark, [(i, f"http://h{i}.org/", p) for i, p in enumerate(pages)]).orderBy("page_id").collect()
+    assert [r.text for r in found] == ["T\nIntro.\nA\nB\nC\nD", "a\nb", "a\nb\nc", "c", "y"]
+
+
+def test_equal_rows_and_mirrors_are_one_page(spark):
+    page = "<body><div><p>Own words {}</div><p>more {}</body>"
+    rows = [(n, f"http://a.org/{n}", page.format(n, n)) for n in range(2, 8)] + 4 * [(1, "http://a.org/1", page.format(1, 1))]
+    rows += [(100 + n, f"http://b.org/{n}", f"<body><script>t({n})</script><div><p>Mirror</div></body>") for n in range(4)]
+    found = extracted(spark, rows).collect()
+    assert len(found) == len(rows) and all(r.text == (f"Own words {r.page_id}\nmore {r.page_id}" if r.page_id < 100 else "Mirror") for r in found)
+
+
+def test_very_long_and_deep_pages(spark):
+    rows = [(1, "http://a.org/", "<div>" * 100_000 + "deep"), (2, "http://a.org/", "<body>" + "<p>word " * 100_000), (3, "http://a.org/", "a <!" * 100_000), (4, "http://a.org/", "a<!-- x > y <p>z"), (5, "http://a.org/", "a<!-->b")]
+    found = {r.page_id: r for r in extracted(spark, rows).collect()}
+    assert found[1].text == "deep" and found[2].text == "\n".join(["word"] * 100_000) and found[3].n_chars == 400_000 and found[4].text == "a" and found[5].text == "ab"
+
+
+class Plain(HTMLParser):
+    """Text of the only article of a page, by the parser of Python's library."""
+
+    def __init__(self):
+        super().__init__()
+        self.on, self.out, self.line = False, [], ""
+
+    def handle_starttag(self, tag, attrs):
+        self.on = self.on or tag == "article"
+        self.line += " " if tag == "br" else ""
+        if tag not in ("b", "br"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag != "b":
+            self.end()
+        self.on = self.on and tag != "article"
+
+    def handle_data(self, data):
+        self.line += data if self.on else ""
+
+    def end(self):
+        if self.line.split():
+            self.out.append(" ".join(self.line.split()))
+        self.line = ""
+
+
+def test_page_text_of_the_given_table(spark):
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    found = {r.page_id: r.text for r in QUERIES["op5_page_text"](spark, DATA).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        plain = Plain()
+        plain.feed(r.html)
+        assert found[r.page_id] == "\n".join(plain.out)
+
+
+def test_template_equals_a_count_by_hand(spark):
+    rng = np.random.default_rng(8)
+    parts = [f"<div><p>Part {k}</p></div>" for k in range(30)]
+    rows, held = [], {}
+    for i in range(120):
+        some = [k for k in range(30) if rng.random() < (k + 1) / 60]
+        held[i] = (i % 3, some)
+        rows.append((i, f"http://h{i % 3}.org/{i}", "<body>" + "".join(parts[k] for k in some) + f"<p>own {i}</body>"))
+    on = Counter((h, k) for h, some in held.values() for k in some)
+    for r in extracted(spark, rows).collect():
+        h, some = held[r.page_id]
+        assert r.text == "\n".join([*(f"Part {k}" for k in some if not (on[h, k] >= 4 and on[h, k] >= 0.1 * 40)), f"own {r.page_id}"])
+
+
 def test_base_score_is_the_unigram_model(spark):
     rows = [(i, f"Common word{i % 7} and word{i % 3}\tIS\nhere Ünï") for i in range(60)] + [(100, None), (101, ""), (102, "x" * 50_000 + " " + "y z " * 5000), (103, "never seen words")]
     found = {r.doc_id: r for r in attention_lm.score(docs(spark, [*rows, (None, "no id")])).collect()}
