@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -96,6 +99,30 @@ def test_exact_topk_with_odd_rows_and_ties(spark):
     assert found == want
 
 
+def test_exact_topk_of_large_components(spark):
+    rows = [(50, [1.0, 1.0]), (1, [70000.0, 1.0]), (2, [1.0, 2.0]), (3, [1e9, -1e9]), (4, [-1e9, 3.0]), (100, [-1000.0, 0.25]), (5, [1e30, -1e30]), (6, [2.5, 1.5]), (150, [0.0, 0.0]), (7, [70000.0]), (6, [9.0, 9.0])]
+    table = spark.createDataFrame([(i, v, "x", 1, "y") for i, v in rows], SCHEMA)
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in bitsliced.search(table.where("vec_id <> 5")).collect())
+    whole = {n: [math.floor(Fraction(256) * Fraction(c)) for c in v] for n, (_, v) in enumerate(rows)}
+    want = []
+    for n, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(whole[n], whole[m], strict=False)), i) for m, (i, _) in enumerate(rows) if i not in (q, 5))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert max(abs(r[3]) for r in want) < 2**63 and found == sorted(want)
+    near = bitsliced.search(table.where("vec_id in (5, 50, 2)"))  # 5 and 50 are at right angles
+    assert [(r.vec_id, r.score) for r in near.orderBy("rank").collect()] == [(2, 3 * 256**2), (5, 0)]
+    with pytest.raises(Exception, match="64-bit"):
+        bitsliced.search(table.where("vec_id in (5, 100)")).collect()
+
+
+def test_exact_topk_of_very_long_and_empty_vectors(spark):
+    x = np.random.default_rng(5).integers(-9, 9, (60, 3000)) / 256.0
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bitsliced.search(vectors(spark, x, [(70, [], None, None, None), (70, [], None, None, None)])).collect()}
+    want = brute(np.floor(256 * np.vstack([x, np.zeros((1, 3000))])), 50, 5)
+    assert [found[50, k + 1][1] for k in range(5)] == [int(s) for _, s in want[50]]
+
+
 @pytest.mark.parametrize("search", [bitsliced.search, lsh_search.search])
 def test_empty_and_lonely(spark, search):
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
