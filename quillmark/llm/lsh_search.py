@@ -14,19 +14,24 @@ from quillmark.llm.common import mix, stored
 
 K = 20
 TABLES = 2
-#: Chance, for a true neighbour as near as the sample lets expect, that some table's probes reach it.
-TARGET = 0.97
+#: Hashes of a table at most; fewer where there are fewer dimensions to tell apart.
+HASHES = 32
+#: Chance, for a neighbour as near as the k-th is expected to be, that some table's probes reach it.
+TARGET = 0.9
 #: Chance that a query's k-th neighbour is as near as is expected, at least.
 SURE = 0.99
 #: Width of a hash's slots, in standard deviations of a projection.
 WIDTH = 1.0
-#: Rows of a bucket that the number of hashes aims at, of a task's part of the tables, and queries of a lane.
-BUCKET, PART, LANE = 128, 8192, 4096
+#: The first hashes of a table name a cell: so many at most, of so many rows about, and a query's cells hold this share of the chances.
+CELL_HASHES, CELL, CELL_SHARE = 6, 1024, 0.97
+#: Rows of a part of a table at most, which one task searches at a time, and parts to aim at where that makes them smaller.
+PART, PARTS = 8192, 64
+#: Queries that are scored together.
+RUN = 256
 #: Vectors that the fit takes: those of the smallest hashes of vec_id.
 SAMPLE = 4096
-#: Hashes of a table at most, and slots of each that probes may leave out as too unlikely.
-MOST_HASHES = 12
-TAIL = 1e-4
+#: Rows of the sample that stand for a query's neighbours, and slots of a hash that probes leave out as too unlikely.
+STAND, TAIL = 64, 1e-4
 
 
 def parsed(vectors: pd.Series, ids: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -35,7 +40,7 @@ def parsed(vectors: pd.Series, ids: pd.Series) -> tuple[np.ndarray, list[np.ndar
     for i, v in zip(ids, vectors, strict=True):
         if v is None or i is None or pd.isna(i):
             continue
-        x = np.array([np.nan if c is None else c for c in v], dtype=np.float64)
+        x = np.asarray(v, dtype=np.float64)  # a null becomes a NaN
         if len(x) and np.isfinite(x).all() and x.any():
             own.append(int(i))
             out.append(x)
@@ -57,83 +62,131 @@ def phi(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hash functions of all tables. A vector x of length up to `longest` is put on a sphere by one more component, so
-    that the nearest by distance is the one with the largest inner product; a query is stretched onto it, with 0 there."""
+    """Hash functions of all tables: slots of normal projections, which are at right angles where there are dimensions enough.
 
-    def __init__(self, dims: int, longest: float, hashes: int, seed: int = 11):
+    A vector x of length up to `longest` is put on a sphere by one more component, so that the
+    nearest by distance is the one with the largest inner product; a query is stretched onto it,
+    with 0 there. A bucket is the slots of all of a table's hashes, a cell all buckets that share the first ones.
+    """
+
+    def __init__(self, dims: int, longest: float, first: int, hashes: int = HASHES, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.dims, self.longest, self.hashes = dims, longest, hashes
-        self.a = rng.standard_normal((dims + 1, TABLES * hashes))
-        self.b = rng.uniform(0, WIDTH, TABLES * hashes)
-        self.odd = mix(np.arange(1, TABLES * (hashes + 1) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-
-    def names(self, slots: np.ndarray, table: int) -> np.ndarray:
-        """64-bit names of buckets from their slots (rows by hashes)."""
-        odd = self.odd[table * (self.hashes + 1) : (table + 1) * (self.hashes + 1)]
+        self.dims, self.longest = dims, longest
+        self.hashes = max(1, first, min(hashes, (dims + 1) // TABLES))
+        self.first = first
+        a = rng.standard_normal((dims + 1, TABLES * self.hashes))
+        if a.shape[1] <= dims + 1:
+            a = np.linalg.qr(a)[0] * math.sqrt(dims + 1)
+        self.a = a
+        self.b = rng.uniform(0, WIDTH, TABLES * self.hashes)
+        self.odd = mix(np.arange(1, TABLES * (first + 1) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        self.mean, self.spread = np.zeros(TABLES * self.hashes), np.ones(TABLES * self.hashes)
+
+    def of(self, table: int) -> slice:
+        return slice(table * self.hashes, (table + 1) * self.hashes)
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        """Projections of rows."""
+        scale = np.abs(x).max(initial=0.0) or 1.0  # so that squares stay finite
+        rest = np.sqrt(np.maximum(0.0, (self.longest / scale) ** 2 - ((x / scale) ** 2).sum(axis=1))) * scale
+        return np.column_stack([x, rest]) / self.longest @ self.a
+
+    def slots(self, projected: np.ndarray) -> np.ndarray:
+        return np.floor((projected + self.b) / WIDTH)
+
+    def asked(self, q: np.ndarray) -> np.ndarray:
+        """Projections of queries of length 1."""
+        return q @ self.a[:-1]
+
+    def learn(self, x: np.ndarray) -> None:
+        """Take mean and spread of each hash's slots, over a sample, as what rows in general are like."""
+        if len(x) > 1:
+            centre = self.centres(self.slots(self.lifted(x)))
+            self.mean, self.spread = centre.mean(axis=0), np.maximum(centre.std(axis=0), 0.3 * WIDTH)
+
+    def cells(self, slots: np.ndarray, table: int) -> np.ndarray:
+        """64-bit names of cells from the slots of a table's first hashes (rows by hashes)."""
+        odd = self.odd[table * (self.first + 1) : (table + 1) * (self.first + 1)]
         return mix((slots.astype(np.int64).view(np.uint64) * odd[:-1]).sum(axis=1, dtype=np.uint64) + odd[-1]).view(np.int64)
 
-    def buckets(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each table the bucket of each row of x."""
-        rest = np.sqrt(np.maximum(0.0, self.longest**2 - (x * x).sum(axis=1)))
-        p = np.column_stack([x, rest]) / self.longest @ self.a
-        slots = np.floor((p + self.b) / WIDTH)
-        return [self.names(slots[:, t * self.hashes : (t + 1) * self.hashes], t) for t in range(TABLES)]
-
-    def probes(self, q: np.ndarray, near: float) -> list[np.ndarray]:
-        """For each table the buckets to visit for one query, in order of estimated success.
+    def probes(self, middle: np.ndarray, noise: float, table: int) -> np.ndarray:
+        """The cells to visit for one query, in order of estimated success: CELL_SHARE of the chances.
 
-        A neighbour of cosine `near` projects to near * p plus normal noise, which gives each slot's
-        chance and, multiplied, each bucket's. The likeliest buckets are taken until their chances
-        add up to the table's share of TARGET; buckets differ from the query's own in as many slots as that takes.
+        A neighbour's projections are normal around `middle`, which gives each slot's chance and,
+        multiplied, each cell's. Cells differ from the likeliest in as many slots as that takes.
         """
-        share = 1 - (1 - TARGET) ** (1 / TABLES)
-        p = np.append(q / np.linalg.norm(q), 0.0) @ self.a
-        noise = math.sqrt(max(1e-9, 1 - near**2))
-        out = []
-        for t in range(TABLES):
-            slots, chance = np.zeros((1, 0)), np.ones(1)
-            for h in range(t * self.hashes, (t + 1) * self.hashes):
-                centre = near * p[h]
-                low, high = (math.floor((centre + d * 4.5 * noise + self.b[h]) / WIDTH) for d in (-1, 1))
-                s = np.arange(low, high + 1)
-                edges = phi(((np.append(s, high + 1) * WIDTH - self.b[h]) - centre) / noise)
-                c = np.diff(edges)
-                s, c = s[c > TAIL], c[c > TAIL]
-                slots = np.column_stack([np.repeat(slots, len(s), axis=0), np.tile(s, len(slots))])
-                chance = np.multiply.outer(chance, c).ravel()
-                # what no later step could bring back among the likeliest
-                order = np.argsort(-chance, kind="stable")
-                keep = order[: 1 + int(np.searchsorted(np.cumsum(chance[order]), 1 - (1 - share) / (4 * self.hashes)))]
-                slots, chance = slots[keep], chance[keep]
+        slots, chance = np.zeros((1, 0)), np.ones(1)
+        for h in range(table * self.hashes, table * self.hashes + self.first):
+            low, high = (math.floor((middle[h] + d * 4.5 * noise + self.b[h]) / WIDTH) for d in (-1, 1))
+            s = np.arange(low, high + 1)
+            c = np.diff(phi(((np.append(s, high + 1) * WIDTH - self.b[h]) - middle[h]) / noise))
+            s, c = s[c > TAIL], c[c > TAIL]
+            slots = np.column_stack([np.repeat(slots, len(s), axis=0), np.tile(s, len(slots))])
+            chance = np.multiply.outer(chance, c).ravel()
+            # what no later step could bring back among the likeliest
             order = np.argsort(-chance, kind="stable")
-            n = 1 + int(np.searchsorted(np.cumsum(chance[order]), share))
-            out.append(self.names(slots[order[:n]], t))
-        return out
+            keep = order[: 1 + int(np.searchsorted(np.cumsum(chance[order]), 1 - (1 - CELL_SHARE) / (4 * self.first)))]
+            slots, chance = slots[keep], chance[keep]
+        order = np.argsort(-chance, kind="stable")
+        return self.cells(slots[order[: 1 + int(np.searchsorted(np.cumsum(chance[order]), CELL_SHARE))]], table)
+
+    def centres(self, slots: np.ndarray) -> np.ndarray:
+        """The middle of each slot, for all hashes."""
+        return (slots + 0.5) * WIDTH - self.b
+
+    def usual(self, centre: np.ndarray, at: slice) -> np.ndarray:
+        return (((centre - self.mean[at]) / self.spread[at]) ** 2).sum(axis=-1) / 2
+
+    def success(self, slots: np.ndarray, middle: np.ndarray, noise: np.ndarray, table: int) -> np.ndarray:
+        """How much likelier each bucket (columns) is to hold a neighbour of each query (rows) than rows in general: a logarithm, which orders the buckets."""
+        at = self.of(table)
+        centre = (slots + 0.5) * WIDTH - self.b[at]
+        m = middle[:, at]
+        far = (m * m).sum(axis=1)[:, None] - 2 * m.astype(np.float32) @ centre.T.astype(np.float32) + (centre * centre).sum(axis=1)
+        return self.usual(centre, at)[None, :] - far / (2 * noise[:, None] ** 2)
 
 
 class Expected:
-    """How near a query's k-th neighbour is, from the query's own inner products with a sample of the vectors.
+    """What a query's neighbours are like, from the query's own inner products with a sample of the vectors.
 
-    Of the k nearest the sample holds a binomial number. The sample's vector one place beyond all that this may be (but
-    for 1 - SURE) is no nearer than the k-th neighbour, whatever the other queries' neighbours are like.
+    Of the k nearest the sample holds a binomial number. The sample's vector one place beyond all
+    that this may be (but for 1 - SURE) is no nearer than the k-th neighbour, whatever the other
+    queries' neighbours are like. The STAND nearest of the sample, moved towards the query until
+    they are that near, stand for the neighbours.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, share: float, k: int):
-        self.ids, self.x = ids, (x / longest).astype(np.float32)
+    def __init__(self, made: Hashes, ids: np.ndarray, x: np.ndarray, share: float, k: int):
+        self.made, self.ids, self.x = made, ids, (x / made.longest).astype(np.float32)
+        self.centre = made.centres(made.slots(made.lifted(x))).astype(np.float32)
         chance = np.cumsum([math.comb(k, b) * share**b * (1 - share) ** (k - b) for b in range(k + 1)])
         self.place = min(k, 1 + int(np.searchsorted(chance, SURE)))
 
-    def near(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """For each query a cosine that its k-th neighbour has at least."""
-        out = np.zeros(len(ids))
-        for at in range(0, len(ids), 256):
-            some = q[at : at + 256]
-            cosine = (some / np.linalg.norm(some, axis=1, keepdims=True)).astype(np.float32) @ self.x.T
-            cosine[ids[at : at + 256, None] == self.ids] = -1
-            place = min(self.place, cosine.shape[1])
-            if place:
-                out[at : at + 256] = -np.partition(-cosine, place - 1, axis=1)[:, place - 1]
-        return np.clip(out, -0.99, 0.99)
+    def neighbours(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the middle of its neighbours' projections, their noise, and for each table the success below which
+        buckets aren't visited: the table's share of TARGET of the neighbours lies above it."""
+        q = q / np.abs(q).max(axis=1, keepdims=True)
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        p = self.made.asked(q)
+        cosine = q.astype(np.float32) @ self.x.T
+        cosine[ids[:, None] == self.ids] = -2
+        some = min(STAND, cosine.shape[1])
+        if self.place >= cosine.shape[1] or some < 2:  # so few rows tell nothing: every bucket is visited
+            return p, np.ones(len(q)), np.full((len(q), TABLES), -np.inf)
+        nearest = np.argpartition(-cosine, some - 1, axis=1)[:, :some]
+        c = np.take_along_axis(cosine, nearest, axis=1)
+        near = -np.partition(-cosine, self.place - 1, axis=1)[:, self.place - 1]
+        at = self.centre[nearest] + np.maximum(0, near[:, None] - c)[:, :, None] * p[:, None, :]
+        own = c < -1.5  # the query itself, in a small sample: its nearest stands in
+        at[own] = at[np.nonzero(own)[0], np.argmax(c, axis=1)[np.nonzero(own)[0]]]
+        middle = at.mean(axis=1)
+        noise = np.maximum(np.sqrt(at.var(axis=1).mean(axis=1)), 0.3 * WIDTH)
+        share = min(1.0, 1 - (1 - TARGET) ** (1 / TABLES) + 1 - CELL_SHARE)
+        least = np.empty((len(q), TABLES))
+        for t in range(TABLES):
+            own = self.made.of(t)
+            far = ((at[:, :, own] - middle[:, None, own]) ** 2).sum(axis=2) * (some / (some - 1)) ** 2  # as if each had no part in the middle
+            least[:, t] = np.quantile(self.made.usual(at[:, :, own], own) - far / (2 * noise[:, None] ** 2), 1 - share, axis=1) - 1e-2
+        return middle, noise, least
 
 
 def fit(vectors: DataFrame, k: int) -> tuple[Hashes, Expected, int]:
@@ -145,7 +198,7 @@ def fit(vectors: DataFrame, k: int) -> tuple[Hashes, Expected, int]:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             _, rows = parsed(pdf["embedding"], pdf["vec_id"])
-            yield pd.DataFrame({"n": [len(rows)], "dims": [max(map(len, rows), default=0)], "longest": [max(map(np.linalg.norm, rows), default=0.0)]})
+            yield pd.DataFrame({"n": [len(rows)], "dims": [max(map(len, rows), default=0)], "longest": [max((float(np.abs(r).max() * np.linalg.norm(r / np.abs(r).max())) for r in rows), default=0.0)]})
 
     total = vectors.mapInPandas(measure, "n long, dims long, longest double").agg(F.sum("n"), F.max("dims"), F.max("longest")).first()
     n, dims, longest = total[0] or 0, total[1] or 1, total[2] or 1.0
@@ -153,105 +206,136 @@ def fit(vectors: DataFrame, k: int) -> tuple[Hashes, Expected, int]:
     some = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = vectors.join(F.broadcast(some), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toPandas()  # SAMPLE rows at most
     ids, rows = parsed(sample["embedding"], sample["vec_id"])
-    expected = Expected(ids, matrix(rows, dims), longest, min(1.0, len(sample) / max(1, every.count())), k)
-    hashes = int(min(MOST_HASHES, max(0, round(math.log2(max(1, n / BUCKET)) / 2.05))))
-    return Hashes(dims, longest * (1 + 1e-12), hashes), expected, n
+    x = matrix(rows, dims)
+    made = Hashes(dims, longest * (1 + 1e-12), int(min(CELL_HASHES, max(0, round(math.log2(max(1, n / CELL)) / 2.05)))))
+    made.learn(x)
+    return made, Expected(made, ids, x, min(1.0, len(sample) / max(1, every.count())), k), n
+
+
+class Part:
+    """Rows of one part of a table, and the search of queries among them."""
+
+    def __init__(self, made: Hashes, table: int, rows: pd.DataFrame):
+        rows = rows.drop_duplicates(["vec_id", "vector"]).sort_values("vec_id", kind="stable")
+        self.made, self.table = made, table
+        self.ids = rows["vec_id"].to_numpy()
+        self.x = np.frombuffer(b"".join(rows["vector"]), dtype=np.float64).reshape(len(rows), -1)
+        slots = made.slots(made.lifted(self.x))[:, made.of(table)]
+        self.names, self.cell = np.unique(made.cells(slots[:, : made.first], table), return_inverse=True)
+        self.slots, self.bucket = np.unique(slots, axis=0, return_inverse=True)
+        self.bucket = self.bucket.ravel()
+
+    def search(self, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+        """(query_id, vec_id, score, candidates) of the k best candidates of each query; candidates, on the first row of each query, is how many there were."""
+        own = asked["vec_id"].to_numpy()
+        q = np.frombuffer(b"".join(asked["vector"]), dtype=np.float64).reshape(len(asked), -1)
+        middle = np.frombuffer(b"".join(asked["middle"]), dtype=np.float32).reshape(len(asked), -1)
+        visited = np.zeros((len(asked), len(self.names) + 1), dtype=bool)
+        for r, b in enumerate(asked["cells"]):
+            wanted = np.frombuffer(b, dtype=np.int64)
+            found = np.searchsorted(self.names, wanted)
+            found[found < len(self.names)] = np.where(self.names[found[found < len(self.names)]] == wanted[found < len(self.names)], found[found < len(self.names)], len(self.names))
+            visited[r, found] = True
+        good = self.made.success(self.slots, middle, asked["noise"].to_numpy(), self.table) >= asked["least"].to_numpy()[:, None]
+        r, c = np.nonzero(good[:, self.bucket] & visited[:, self.cell] & (self.ids[None, :] != own[:, None]))
+        score = np.empty(len(r))
+        for at in range(0, len(r), 1 << 16):
+            score[at : at + (1 << 16)] = np.einsum("ij,ij->i", q[r[at : at + (1 << 16)]], self.x[c[at : at + (1 << 16)]])
+        order = np.lexsort((self.ids[c], -score, r))
+        r, ids, score = r[order], self.ids[c[order]], score[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        if len(ids) and (np.diff(self.ids) == 0).any():  # other vectors of an id that is there already: k different ids are kept
+            first = ~pd.DataFrame({"r": r, "id": ids}).duplicated().to_numpy()
+            before = np.cumsum(first) - first
+            place = before - before[np.searchsorted(r, r)]
+            keep = first & (place < k)
+        else:
+            keep = rank < k
+        candidates = np.where(rank == 0, np.bincount(r, minlength=len(own))[r], 0)
+        return pd.DataFrame({"query_id": own[r[keep]], "vec_id": ids[keep], "score": score[keep], "candidates": candidates[keep]})
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` the k largest inner products found with other rows.
+    """query_id, rank, vec_id, score, candidates: for each row whose vec_id is divisible by `every` the k largest inner products found with other rows.
 
     Every row is indexed. Vectors that are null, zero or hold a null or a number that isn't
     finite take no part, nor do rows of null vec_id; a shorter vector is filled with zeros. Ties
     go to smaller vec_id. Rows that repeat a vec_id are candidates once, with their best score;
-    as queries the first in order of its components counts.
+    as queries the first in order of its components counts. candidates: how many rows of all
+    tables were scored for the query.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     made, expected, n = fit(vectors, k)
     sent = vectors.sparkSession.sparkContext.broadcast(expected)
-    parts = max(1, -(-n * TABLES // PART))
-    hot_rows = max(PART // 4, n // 1000)
+    rows_of_part = max(256, min(PART, n // PARTS))
+    parts = max(1, -(-n // rows_of_part))
 
     def table_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, rows = parsed(pdf["embedding"], pdf["vec_id"])
             x = matrix(rows, made.dims)
-            for bucket in made.buckets(x):
+            slots = made.slots(made.lifted(x))
+            for t in range(TABLES):
+                cell = made.cells(slots[:, made.of(t)][:, : made.first], t)
                 # a vec_id that repeats a vector needs it once
-                yield pd.DataFrame({"bucket": bucket, "vec_id": ids, "vector": [r.tobytes() for r in x]}).drop_duplicates(["vec_id", "vector"])
+                yield pd.DataFrame({"t": np.int32(t), "cell": cell, "vec_id": ids, "vector": [r.tobytes() for r in x]}).drop_duplicates(["vec_id", "vector"])
 
-    tables, _ = stored(vectors.mapInPandas(table_rows, "bucket long, vec_id long, vector binary"))
-    # a bucket of more than hot_rows is divided; there are fewer than 1000 * TABLES of them
-    hot = {r.bucket: -(-r.n // hot_rows) for r in tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect()}
+    tables, _ = stored(vectors.mapInPandas(table_rows, "t int, cell long, vec_id long, vector binary"))
+    # a cell of more rows than a part is divided; there are CELL_HASHES slots to the power of its length at most
+    counts = tables.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_of_part).collect()
+    large = {r.cell: -(-r.n // rows_of_part) for r in counts}
 
-    def part_of(bucket: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        return (mix(bucket.view(np.uint64) + piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32)
+    def part_of(table: int, cell: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return (mix(cell.view(np.uint64) + piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32) * TABLES + table
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bucket, ids = pdf["bucket"].to_numpy(), pdf["vec_id"].to_numpy()
-            pieces = np.array([hot.get(b, 1) for b in bucket.tolist()], dtype=np.uint64)
-            piece = mix(ids.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % pieces if len(ids) else pieces
-            pdf["part"] = part_of(bucket, piece)
-            yield pdf
-
-    chosen = vectors.where(F.col("vec_id") % every == 0)
-    lanes = max(1, -(-chosen.count() // LANE))
+            for t, own in pdf.groupby("t"):
+                cell, ids = own["cell"].to_numpy(), own["vec_id"].to_numpy()
+                pieces = np.array([large.get(b, 1) for b in cell.tolist()], dtype=np.uint64)
+                part = part_of(t, cell, mix(ids.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % pieces)
+                yield pd.DataFrame({"part": part, "asks": False, "vec_id": ids, "vector": own["vector"], "cells": None, "middle": None, "noise": 0.0, "least": 0.0})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, rows = parsed(pdf["embedding"], pdf["vec_id"])
-            asked = matrix(rows, made.dims)
-            for own, q, near in zip(ids.tolist(), asked, sent.value.near(ids, asked).tolist(), strict=True):
-                wanted = np.concatenate(made.probes(q, near))
-                many = np.array([hot.get(b, 1) for b in wanted.tolist()])
-                wanted, at = np.repeat(wanted, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                part = part_of(wanted, at)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                groups = np.split(wanted[order], cuts)
-                yield pd.DataFrame({"part": part[order][np.append(0, cuts)], "lane": np.int32(abs(own // every) % lanes), "query_id": own, "q": q.tobytes(), "buckets": [np.unique(g).tobytes() for g in groups]})
-
+            for at in range(0, len(ids), RUN):
+                q = matrix(rows[at : at + RUN], made.dims)
+                middle, noise, least = sent.value.neighbours(ids[at : at + RUN], q)
+                for t in range(TABLES):
+                    for r, own in enumerate(ids[at : at + RUN].tolist()):
+                        wanted = made.probes(middle[r], noise[r], t)
+                        many = np.array([large.get(b, 1) for b in wanted.tolist()])
+                        wanted, piece = np.repeat(wanted, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        part = part_of(t, wanted, piece)
+                        order = np.argsort(part, kind="stable")
+                        cuts = np.flatnonzero(np.diff(part[order])) + 1
+                        groups = [np.unique(g).tobytes() for g in np.split(wanted[order], cuts)]
+                        yield pd.DataFrame({"part": part[order][np.append(0, cuts)], "asks": True, "vec_id": own, "vector": q[r].tobytes(), "cells": groups, "middle": middle[r].astype(np.float32).tobytes(), "noise": noise[r], "least": least[r, t]})
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows, searched = None, [], None
+        for pdf in batches:
+            for part, own in pdf.groupby("part", sort=True):  # sorted, and a part's rows come before its queries
+                if part != now:
+                    now, rows, searched = part, [], None
+                rows.append(own[~own["asks"]])
+                asked = own[own["asks"]]
+                if len(asked) and sum(map(len, rows)):
+                    if searched is None:
+                        searched = Part(made, int(part) % TABLES, pd.concat(rows))
+                    for at in range(0, len(asked), RUN):
+                        yield searched.search(asked.iloc[at : at + RUN], k)
+
+    kind = "part int, asks boolean, vec_id long, vector binary, cells binary, middle binary, noise double, least double"
     one = F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))
-    queries = chosen.withColumn("__n", one).where("__n = 1").drop("__n").mapInPandas(ask, "part int, lane int, query_id long, q binary, buckets binary")
-    shared = tables.mapInPandas(dealt, "bucket long, vec_id long, vector binary, part int").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-
-    def answer(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if rows.empty or asked.empty:
-            return empty
-        rows = rows.drop_duplicates(["bucket", "vec_id", "vector"]).sort_values(["vec_id", "bucket"], kind="stable")
-        ids, bucket = rows["vec_id"].to_numpy(), rows["bucket"].to_numpy()
-        x = np.frombuffer(b"".join(rows["vector"]), dtype=np.float64).reshape(len(rows), -1)
-        names, place = np.unique(bucket, return_inverse=True)
-        own_rows = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        out = []
-        for at in range(0, len(asked), 256):
-            some = asked.iloc[at : at + 256]
-            q = np.frombuffer(b"".join(some["q"]), dtype=np.float64).reshape(len(some), -1)
-            own = some["query_id"].to_numpy()
-            visited = np.zeros((len(some), len(names) + 1), dtype=bool)
-            for r, b in enumerate(some["buckets"]):
-                wanted = np.frombuffer(b, dtype=np.int64)
-                found = np.searchsorted(names, wanted)
-                found[found < len(names)] = np.where(names[found[found < len(names)]] == wanted[found < len(names)], found[found < len(names)], len(names))
-                visited[r, found] = True
-            score = np.where(visited[:, place] & (ids[None, :] != own[:, None]), q @ x.T, -np.inf)
-            if len(own_rows) > k:  # k different ids, however many rows each has
-                each = np.maximum.reduceat(score, own_rows, axis=1)
-                bar = -np.partition(-each, k - 1, axis=1)[:, k - 1]
-                keep = score >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None]
-            else:
-                keep = np.ones(score.shape, dtype=bool)
-            r, c = np.nonzero(keep & np.isfinite(score))
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": (q[r] * x[c]).sum(axis=1)}))
-        best = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
-        return best.groupby("query_id").head(k)
-
-    best = shared.groupBy("part", "lane").cogroup(queries.groupBy("part", "lane")).applyInPandas(answer, "query_id long, vec_id long, score double")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    chosen = vectors.where(F.col("vec_id") % every == 0).withColumn("__n", one).where("__n = 1").drop("__n")
+    both = tables.mapInPandas(dealt, kind).unionByName(chosen.mapInPandas(ask, kind))
+    best = both.repartition("part").sortWithinPartitions("part", "asks").mapInPandas(answer, "query_id long, vec_id long, score double, candidates long")
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("candidates").alias("candidates"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    candidates = F.sum("candidates").over(Window.partitionBy("query_id"))
+    return best.withColumn("candidates", candidates).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "candidates")
 
 
 def op1_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:

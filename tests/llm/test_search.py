@@ -56,6 +56,30 @@ def test_nearest_neighbours_of_the_given_table(spark):
     assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in rows) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_few_rows_are_candidates_and_fewer_of_a_larger_table(spark):
+    share = []
+    for n in (2000, 10_000):
+        x = np.random.default_rng(6).standard_normal((n, 48))
+        found, asked = {}, {}
+        for r in lsh_search.search(vectors(spark, x)).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+            asked[r.query_id] = r.candidates
+        want = brute(x, 20, 20)
+        assert sum(len(found[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+        share.append(sum(asked.values()) / len(asked) / n)
+    assert share[0] < 0.4 and share[1] < 0.75 * share[0]
+
+
+def test_very_long_and_unequal_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 2000)) * rng.uniform(0.01, 1e6, (300, 1))
+    found = {}
+    for r in lsh_search.search(vectors(spark, x, [(1000, [1.0], None, None, None), (1001, [], None, None, None)])).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(x, 20, 20)
+    assert sum(len(set(found[q]) & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want) and len(found[1000]) <= 20
+
+
 @pytest.mark.parametrize("spread", [0.0, 0.02])
 def test_queries_outside_a_hot_group_have_recall(spark, spread):
     rng = np.random.default_rng(7)
