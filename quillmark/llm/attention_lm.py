@@ -26,17 +26,19 @@ IDS = 50_257
 #: Positions of a window, and those at its start that are context only.
 WINDOW, CONTEXT = 32, 8
 STEP = WINDOW - CONTEXT
-#: Size of vectors, of the hidden layer, and of each of the three levels of the output: BRANCH ** 3 subwords.
-SIZE, HIDDEN, BRANCH = 16, 32, 16
+#: Size of vectors, and of each of the three levels of the output: BRANCH ** 3 subwords.
+SIZE, BRANCH = 16, 16
 SUBWORDS = BRANCH**3
-#: Rounds of training, which share all windows of all training documents; in each, TRAINERS start from the mean of the last round.
-ROUNDS, TRAINERS = 3, 64
-BATCH, LEAST_STEPS, RATE = 64, 200, 0.01
+#: Rounds of training, which share all windows of all training documents; in each, the trainers of all partitions start from the mean of the last round.
+ROUNDS = 3
+BATCH, LEAST_STEPS, RATE = 128, 600, 0.02
+#: Trainers' weights are added up in so many groups before they come to the driver.
+GROUPS = 16
 #: Counts that the chance without its condition stands for, where a condition is rare.
 PRIOR = 8.0
 #: Word hashes that one task counts, about.
 SHARE = 1_000_000
-END, START = SUBWORDS - 1, SUBWORDS
+END, START = 0, SUBWORDS
 
 
 @cache
@@ -63,30 +65,49 @@ def restored(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+@cache
+def leading(path: str) -> np.ndarray:
+    """Which ids begin with a space, and so begin a word."""
+    enc = encoder(path)
+    return np.array([i < enc.n_vocab and enc.decode_single_token_bytes(i)[:1] == b" " for i in range(IDS)])
+
+
+def spelled(words: list[bytes], tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words one after another, each with a space before it, and how many each has."""
+    encode = encoder(tokenizer).encode_to_numpy
+    if not words:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int32)
+    ids = encode(" " + b" ".join(words).decode("utf-8", "replace"), disallowed_special=()).astype(np.uint16)
+    first = np.flatnonzero(leading(tokenizer)[ids])
+    if len(first) == len(words) and first[0] == 0:
+        return ids, np.diff(np.append(first, len(ids))).astype(np.int32)
+    each = [encode(" " + w.decode("utf-8", "replace"), disallowed_special=()).astype(np.uint16) for w in words]  # white space beyond ASCII stands in words
+    return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int32)
+
+
 def blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """A row for each run of documents: their ids, subword ids, words as numbers, and the numbers' hashes and training counts."""
+    """A row for each run of documents: their ids, words as numbers, the numbers' hashes, training counts and subword ids."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode_to_numpy
         for pdf in batches:
             for part in slices(pdf, "text", 4 * PIECE):
                 texts = normal(part["text"])
                 held = part["held_out"].to_numpy()
                 hashes, n_words = word_hashes(texts)
-                unique, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                unique, where, number, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
                 train = np.bincount(number[np.repeat(~held, n_words)], minlength=len(unique)).astype(np.int32)
+                order = np.argsort(-times, kind="stable")
                 rank = np.empty(len(unique), dtype=np.uint32)  # frequent words get small numbers, which compress
-                rank[np.argsort(-times, kind="stable")] = np.arange(len(unique), dtype=np.uint32)
-                ids = [encode(t.decode("utf-8", "replace"), disallowed_special=()).astype(np.uint16) for t in texts]
-                n_ids = [len(x) for x in ids]
-                flat = np.concatenate(ids)
-                counts = np.bincount(flat[np.repeat(~held, n_ids)], minlength=IDS)
+                rank[order] = np.arange(len(unique), dtype=np.uint32)
+                words = b" ".join(t for t in texts if t).split(b" ")
+                flat, n_ids = spelled([words[i] for i in where[order].tolist()], tokenizer)
+                counts = np.bincount(flat, np.repeat(train[order], n_ids), minlength=IDS)
                 seen = np.flatnonzero(counts).astype(np.uint32)
                 yield pd.DataFrame(
                     {
                         "block": [uuid.uuid4().hex], "doc_ids": [part["doc_id"].astype("Int64").fillna(0).to_numpy(np.int64).tobytes()], "named": [part["doc_id"].notna().to_numpy().tobytes()],
                         "held": [held.tobytes()], "n_words": [n_words.astype(np.int32).tobytes()], "words": [squeezed(rank[number])], "hashes": [unique.tobytes()], "rank": [squeezed(rank)], "train": [squeezed(train)],
-                        "n_ids": [np.array(n_ids, np.int32).tobytes()], "ids": [squeezed(flat)], "seen": [np.stack([seen, counts[seen].astype(np.uint32)]).tobytes()], "n_unique": [len(unique)], "n_train": [int((~held).sum())],
+                        "n_ids": [squeezed(n_ids)], "ids": [squeezed(flat)], "seen": [np.stack([seen, counts[seen].astype(np.uint32)]).tobytes()], "n_unique": [len(unique)], "n_train": [int((~held).sum())],
                     }
                 )
 
@@ -95,7 +116,10 @@ def blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def counted(table: DataFrame, total: int) -> DataFrame:
-    """(block, part, counts, n, v): for each block the training counts of its words of each part of the hashes; n and v once for each part: tokens and different words."""
+    """(block, part, counts, n, v, once, twice, firsts): for each block the training counts of its words of each part of the hashes.
+
+    The rest once for each part: tokens, different words, words seen once and twice, and by the first ids of words their tokens and different words.
+    """
     parts = max(1, -(-total // SHARE))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,76 +127,106 @@ def counted(table: DataFrame, total: int) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 h, train = np.frombuffer(r.hashes, np.uint64), restored(r.train, np.int32)
+                n_ids = restored(r.n_ids, np.int32).astype(np.int64)
+                first = restored(r.ids, np.uint16)[np.cumsum(n_ids) - n_ids][restored(r.rank, np.uint32)]
                 at = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-                found = [(r.block, p, h[a:b].tobytes(), train[a:b].tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-                yield pd.DataFrame(found, columns=["block", "part", "hashes", "train"])
+                found = [(r.block, p, h[a:b].tobytes(), train[a:b].tobytes(), first[a:b].tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+                yield pd.DataFrame(found, columns=["block", "part", "hashes", "train", "first"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf["hashes"]), np.uint64)
-        unique, at = np.unique(h, return_inverse=True)
+        unique, where, at = np.unique(h, return_index=True, return_inverse=True)
         c = np.bincount(at, np.frombuffer(b"".join(pdf["train"]), np.int32), minlength=len(unique)).astype(np.int64)
+        first = np.frombuffer(b"".join(pdf["first"]), np.uint16)[where]
+        by_first = np.stack([np.bincount(first, c, minlength=IDS), np.bincount(first, c > 0, minlength=IDS)]).astype(np.int64)
+        seen = np.flatnonzero(by_first[0])
         ends = np.cumsum([len(x) // 8 for x in pdf["hashes"]])[:-1]
         once = np.arange(len(pdf)) == 0
-        return pd.DataFrame({"block": pdf["block"].to_numpy(), "part": key[0], "counts": [squeezed(x) for x in np.split(c[at], ends)], "n": once * int(c.sum()), "v": once * int((c > 0).sum())})
-
-    cuts = table.select("block", "hashes", "train").mapInPandas(cut, "block string, part int, hashes binary, train binary")
-    return cuts.groupBy("part").applyInPandas(add, "block string, part int, counts binary, n long, v long")
-
-
-def based(table: DataFrame, counts: DataFrame, tokens: int, different: int, ends: int) -> DataFrame:
-    """(block, pos, doc_id, held_out, n_tokens, n_known, base_score) of every document."""
-    scale = math.log10(tokens + 0.1 * (different + 1))
-    end = math.log10(ends + 0.1)
-
-    def look(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        r = own.iloc[0]
-        by_hash = np.concatenate([restored(c, np.int64) for c in found.sort_values("part")["counts"]]) if len(found) else np.zeros(0, np.int64)
-        c = np.empty_like(by_hash)
-        c[restored(r["rank"], np.uint32)] = by_hash
-        words, n = restored(r["words"], np.uint32), np.frombuffer(r["n_words"], np.int32).astype(np.int64)
-        doc = np.repeat(np.arange(len(n)), n)
-        score = np.bincount(doc, np.log10(c + 0.1)[words], minlength=len(n)) + end - (n + 1) * scale
-        known = np.bincount(doc, c[words] > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
-        ids = pd.array(np.frombuffer(r["doc_ids"], np.int64), dtype="Int64")
-        ids[~np.frombuffer(r["named"], bool)] = pd.NA
-        return pd.DataFrame({"block": key[0], "pos": np.arange(len(n)), "doc_id": ids, "held_out": np.frombuffer(r["held"], bool), "n_tokens": n + 1, "n_known": known, "base_score": score})
-
-    left = table.select("block", "doc_ids", "named", "held", "n_words", "words", "rank")
-    schema = "block string, pos long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
-    return left.groupBy("block").cogroup(counts.select("block", "part", "counts").groupBy("block")).applyInPandas(look, schema)
+        firsts = np.full(len(pdf), None, dtype=object)
+        firsts[0] = np.vstack([seen, by_first[:, seen]]).tobytes()
+        return pd.DataFrame(
+            {
+                "block": pdf["block"].to_numpy(), "part": key[0], "counts": [squeezed(x) for x in np.split(c[at], ends)],
+                "n": once * int(c.sum()), "v": once * int((c > 0).sum()), "once": once * int((c == 1).sum()), "twice": once * int((c == 2).sum()), "firsts": firsts,
+            }
+        )
+
+    cuts = table.select("block", "hashes", "train", "rank", "n_ids", "ids").mapInPandas(cut, "block string, part int, hashes binary, train binary, first binary")
+    return cuts.groupBy("part").applyInPandas(add, "block string, part int, counts binary, n long, v long, once long, twice long, firsts binary")
+
+
+class Known:
+    """The training words as they are: by first subword how many tokens and different words, and what is taken off each word's count for words not seen."""
+
+    def __init__(self, counts: DataFrame, subwords: Subwords):
+        def by_id(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2, IDS), dtype=np.int64)
+            for pdf in batches:
+                for data in pdf["firsts"]:
+                    ids, n, v = np.frombuffer(data, np.int64).reshape(3, -1)
+                    total[:, ids] += [n, v]
+            ids = np.flatnonzero(total[0])
+            yield pd.DataFrame({"id": ids, "n": total[0, ids], "v": total[1, ids]})
+
+        rows = counts.where("firsts is not null").select("firsts").mapInPandas(by_id, "id long, n long, v long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # IDS rows at most
+        first = subwords.flat[subwords.first[[r.id for r in rows]]] if rows else np.zeros(0, np.int64)
+        self.tokens = np.bincount(first, [r.n for r in rows], minlength=SUBWORDS)
+        self.words = np.bincount(first, [r.v for r in rows], minlength=SUBWORDS)
+        once, twice = (x or 0 for x in counts.agg(F.sum("once"), F.sum("twice")).first())
+        self.off = min(0.9, max(0.1, once / max(1, once + 2 * twice)))  # absolute discounting's usual estimate
+
+    def chances(self, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logarithms, given a word's first subword, of its chance as a known word and of the chance that is left for spelling."""
+        tokens = np.maximum(self.tokens[first], 1)
+        with np.errstate(divide="ignore"):
+            return np.log(np.maximum(c - self.off, 0) / tokens), np.log(np.where(self.tokens[first] > 0, self.off * self.words[first] / tokens, 1.0))
 
 
 class Subwords:
-    """The SUBWORDS - 1 commonest ids of the tokenizer, single bytes among them, in order of their bytes, and an end.
+    """The commonest ids of the tokenizer, single bytes among them: first an end and those that begin a word, from branch
+    `border` of the tree's first level on the others, both in order of their bytes.
 
     Any other id is spelled out in single bytes, so every text has subwords.
     """
 
     def __init__(self, counts: np.ndarray, tokenizer: str):
         enc = encoder(tokenizer)
-        spelled = {enc.decode_single_token_bytes(i): i for i in range(enc.n_vocab) if counts[i] or i < 256}
-        single = [i for b, i in spelled.items() if len(b) == 1]
-        rest = sorted((i for b, i in spelled.items() if len(b) > 1), key=lambda i: (-counts[i], i))[: SUBWORDS - 1 - len(single)]
+        own = {enc.decode_single_token_bytes(i): i for i in range(enc.n_vocab) if counts[i] or i < 256}
+        single = [i for b, i in own.items() if len(b) == 1]
+        rest = sorted((i for b, i in own.items() if len(b) > 1), key=lambda i: (-counts[i], i))[: SUBWORDS - BRANCH**2 - len(single)]
         chosen = sorted(single + rest, key=enc.decode_single_token_bytes)
-        new = {i: k for k, i in enumerate(chosen)}
-        pieces = [[new[i]] if i in new else [new[spelled[bytes([b])]] for b in enc.decode_single_token_bytes(i)] if i < enc.n_vocab else [END] for i in range(IDS)]
+        starts = [i for i in chosen if enc.decode_single_token_bytes(i)[:1] == b" "]
+        self.border = -(-(1 + len(starts)) // BRANCH**2)
+        new = {i: k for k, i in enumerate(starts, 1)}
+        new |= {i: k for k, i in enumerate((i for i in chosen if i not in new), self.border * BRANCH**2)}
+        pieces = [[new[i]] if i in new else [new[own[bytes([b])]] for b in enc.decode_single_token_bytes(i)] if i < enc.n_vocab else [END] for i in range(IDS)]
         self.length = np.array([len(p) for p in pieces], dtype=np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.length)))[:-1]
         self.flat = np.array([x for p in pieces for x in p], dtype=np.int32)
         self.turned = np.full(SUBWORDS + 1, BRANCH * BRANCH - 1, dtype=np.int64)  # groups of subwords by how they end
-        by_end = sorted(range(len(chosen)), key=lambda k: enc.decode_single_token_bytes(chosen[k])[::-1])
-        self.turned[by_end] = np.arange(len(chosen)) * (BRANCH * BRANCH - 1) // max(1, len(chosen))
+        by_end = sorted(new, key=lambda i: enc.decode_single_token_bytes(i)[::-1])
+        self.turned[[new[i] for i in by_end]] = np.arange(len(by_end)) * (BRANCH * BRANCH - 1) // max(1, len(by_end))
 
     def spread(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Subwords of documents that lie one after another, and how many each has."""
+        """Subwords of words whose ids lie one after another, and how many each has."""
         k = self.length[ids]
-        if (k == 1).all():
-            return self.flat[self.first[ids]], n
         total = np.concatenate(([0], np.cumsum(k)))
         out = self.flat[np.repeat(self.first[ids] - total[:-1], k) + np.arange(total[-1])]
         edge = np.concatenate(([0], np.cumsum(n)))
         return out, total[edge[1:]] - total[edge[:-1]]
 
+    def texts(self, ids: bytes, n_ids: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of a run of words, given as numbers in a block's list, and how many each has."""
+        flat, n = self.spread(restored(ids, np.uint16), restored(n_ids, np.int32).astype(np.int64))
+        k = n[words]
+        return flat[np.repeat((np.cumsum(n) - n)[words] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))], k
+
+
+def per_document(k: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """How many subwords each document has, from how many each word has."""
+    total, edge = np.concatenate(([0], np.cumsum(k))), np.concatenate(([0], np.cumsum(n_words)))
+    return total[edge[1:]] - total[edge[:-1]]
+
 
 def windows(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, document) of all windows: each subword and the end are a target once; -1 where there is none.
@@ -233,19 +287,16 @@ _SEEN = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).asty
 _ONES = np.ones(WINDOW, np.float32)
 #: Bound of exponents.
 FAR = np.float32(60)
-_SHAPES = {
-    "embed": (SUBWORDS + 1, SIZE), "place": (WINDOW, SIZE), "q": (SIZE, SIZE), "k": (SIZE, SIZE), "v": (SIZE, SIZE), "o": (SIZE, SIZE),
-    "w1": (SIZE, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, SIZE), "u": (SIZE, 3 * BRANCH),
-}
+_SHAPES = {"embed": (SUBWORDS + 1, SIZE), "place": (WINDOW, SIZE), "q": (SIZE, SIZE), "k": (SIZE, SIZE), "v": (SIZE, SIZE), "o": (SIZE, SIZE), "u": (SIZE, 2 * BRANCH)}
 
 
 class Attention:
-    """One layer of masked self-attention and a hidden layer, over a tree of three levels of BRANCH choices."""
+    """One layer of masked self-attention over a tree of three levels of BRANCH choices, the last of which follows the counts alone."""
 
-    def __init__(self, bias: tuple[np.ndarray, np.ndarray, np.ndarray], turned: np.ndarray, weights: dict[str, np.ndarray] | None = None, seed: int = 5):
+    def __init__(self, bias: tuple[np.ndarray, np.ndarray, np.ndarray], turned: np.ndarray, border: int, weights: dict[str, np.ndarray] | None = None, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.bias, self.turned = bias, turned
-        scale = {"embed": 0.3, "place": 0.1, "b1": 0.0, "u": 0.02}
+        self.bias, self.turned, self.border = bias, turned, border
+        scale = {"embed": 0.3, "place": 0.1, "u": 0.02}
         self.w = weights or {k: (rng.standard_normal(s) * scale.get(k, 1 / math.sqrt(s[0]))).astype(np.float32) for k, s in _SHAPES.items()}
 
     def pack(self) -> bytes:
@@ -260,7 +311,7 @@ class Attention:
         return out
 
     def forward(self, x: np.ndarray, y: np.ndarray) -> tuple:
-        """Natural logarithms of the targets' probabilities, one after another, and what the gradients need.
+        """What the gradients need: the vectors of all steps, and each level's exponents, their sums and the targets' places.
 
         Exponents are kept within FAR, so no maximum has to be taken off them first; sums over
         short rows are products with a vector of ones, which is what makes them fast.
@@ -277,70 +328,63 @@ class Attention:
         a *= _SEEN
         a /= (a.reshape(-1, WINDOW) @ _ONES).reshape(len(x), STEP, 1)
         o = a @ v
-        flat = (r0 + o @ w["o"]).reshape(-1, SIZE)
-        h = flat @ w["w1"]
-        h += w["b1"]
-        np.maximum(h, 0, out=h)
-        z = flat + h @ w["w2"]
+        z = (r0 + o @ w["o"]).reshape(-1, SIZE)
         t = y.reshape(-1)
         known = np.maximum(t, 0)
         before = x[:, CONTEXT:].reshape(-1)
-        rows = (before, before * BRANCH + known // BRANCH**2, self.turned[before] * BRANCH**2 + known // BRANCH)
-        branches = (known // BRANCH**2, known // BRANCH % BRANCH, known % BRANCH)
         at = np.arange(len(t)) * BRANCH
-        score = np.zeros(len(t), np.float32)
         levels = []
-        for level, (row, branch) in enumerate(zip(rows, branches, strict=True)):
-            logits = z @ w["u"][:, level * BRANCH : (level + 1) * BRANCH]
-            logits += np.take(self.bias[level], row, axis=0)
-            np.clip(logits, -FAR, FAR, out=logits)
-            score += logits.reshape(-1)[at + branch]
-            np.exp(logits, out=logits)
-            total = logits @ _ONES[:BRANCH]
-            score -= np.log(total)
-            levels.append((logits, total, at + branch))
-        score[t < 0] = 0
-        return score, (e, q, k, v, a, o, flat, h, z, levels, t)
-
-    def scores(self, x: np.ndarray, y: np.ndarray, run: int = 256) -> np.ndarray:
-        """Natural logarithm of the probability of each window's targets, added up."""
-        out = np.zeros(len(x))
-        for at in range(0, len(x), run):
-            s = self.forward(x[at : at + run], y[at : at + run])[0]
-            out[at : at + run] = s.reshape(-1, STEP).sum(axis=1, dtype=np.float64)
-        return out
+        for level, (row, branch) in enumerate(((before, known // BRANCH**2), (before * BRANCH + known // BRANCH**2, known // BRANCH % BRANCH))):
+            p = z @ w["u"][:, level * BRANCH : (level + 1) * BRANCH]
+            p += np.take(self.bias[level], row, axis=0)
+            np.clip(p, -FAR, FAR, out=p)
+            np.exp(p, out=p)
+            levels.append((p, p @ _ONES[:BRANCH], at + branch))
+        return e, q, k, v, a, o, z, levels, t, (self.turned[before] * BRANCH**2 + known // BRANCH) * BRANCH + known % BRANCH
+
+    def scores(self, x: np.ndarray, y: np.ndarray, run: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logarithms of each target's probability and of the probability that a word begins there; 0 where there is no target."""
+        out, begins = np.zeros(y.size), np.zeros(y.size)
+        for i in range(0, len(x), run):
+            *_, levels, t, leaf = self.forward(x[i : i + run], y[i : i + run])
+            (p, total, at), (p2, total2, at2) = levels
+            score = np.log(p.reshape(-1)[at] / total) + np.log(p2.reshape(-1)[at2] / total2) + self.bias[2].reshape(-1)[leaf]
+            score[t < 0] = 0
+            own = slice(i * STEP, (i + run) * STEP)
+            out[own] = score
+            begins[own] = np.log((p[:, : self.border] @ _ONES[: self.border]) / total)
+        return out, begins
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.w
-        _, (e, q, k, v, a, o, flat, h, z, levels, t) = self.forward(x, y)
-        d = np.empty((len(t), 3 * BRANCH), np.float32)
+        e, q, k, v, a, o, z, levels, t, _ = self.forward(x, y)
+        d = np.empty((len(t), 2 * BRANCH), np.float32)
         for level, (p, total, own) in enumerate(levels):
             p /= total[:, None]
             p.reshape(-1)[own] -= 1
             d[:, level * BRANCH : (level + 1) * BRANCH] = p
-        d[t < 0] = 0
-        d /= np.float32(max(1, (t >= 0).sum()))
+        d *= ((t >= 0) / np.float32(max(1, (t >= 0).sum()))).astype(np.float32)[:, None]
         g = {"u": z.T @ d}
         dz = d @ w["u"].T
-        dh = (dz @ w["w2"].T) * (h > 0)
-        g["w2"], g["w1"], g["b1"] = h.T @ dz, flat.T @ dh, dh.sum(axis=0)
-        dr = dz + dh @ w["w1"].T
-        g["o"] = o.reshape(-1, SIZE).T @ dr
-        do = (dr @ w["o"].T).reshape(o.shape)
-        da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        g["o"] = o.reshape(-1, SIZE).T @ dz
+        do = (dz @ w["o"].T).reshape(o.shape)
+        da = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        at = np.ascontiguousarray(a.transpose(0, 2, 1))
+        dv = at @ do
+        da -= ((o * do).reshape(-1, SIZE) @ _ONES[:SIZE]).reshape(len(x), STEP, 1)  # the sum over da * a
+        da *= a
+        dq, dk = da @ k, np.ascontiguousarray(da.transpose(0, 2, 1)) @ q
         flat_e = e.reshape(-1, SIZE)
         r0 = e[:, CONTEXT:].reshape(-1, SIZE)
         scale = np.float32(1 / math.sqrt(SIZE))
+        dk, dv = dk.reshape(-1, SIZE), dv.reshape(-1, SIZE)
         g["q"] = r0.T @ dq.reshape(-1, SIZE) * scale
-        g["k"], g["v"] = flat_e.T @ dk.reshape(-1, SIZE), flat_e.T @ dv.reshape(-1, SIZE)
-        de = dk @ w["k"].T + dv @ w["v"].T
-        de[:, CONTEXT:] += dr.reshape(o.shape) + dq @ (w["q"] * scale).T
+        g["k"], g["v"] = flat_e.T @ dk, flat_e.T @ dv
+        de = (dk @ w["k"].T + dv @ w["v"].T).reshape(e.shape)
+        de[:, CONTEXT:] += dz.reshape(o.shape) + dq @ (w["q"] * scale).T
         g["place"] = de.sum(axis=0)
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], x.reshape(-1), de.reshape(-1, SIZE))
+        ids, each = x.reshape(-1), de.reshape(-1, SIZE)
+        g["embed"] = np.stack([np.bincount(ids, each[:, c], SUBWORDS + 1) for c in range(SIZE)], axis=1).astype(np.float32)
         return g
 
     def train(self, runs: Iterable[tuple[np.ndarray, np.ndarray]], expected: int, rate: float, seed: int) -> int:
@@ -382,21 +426,33 @@ def gathered(runs: Iterable[tuple[np.ndarray, np.ndarray]], least: int) -> Itera
         yield tuple(np.concatenate(z) for z in zip(*kept, strict=True))
 
 
-def stretches(ids: np.ndarray, n: np.ndarray, held: np.ndarray, turn: int, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) of every ROUNDS-th window of each training document, others in each round, so that the rounds cover all."""
-    flat, k = subwords.spread(ids[np.repeat(~held, n)], n[~held])
-    edge = np.concatenate(([0], np.cumsum(k)))
-    xs, ys, at = [np.zeros((0, WINDOW), np.int32)], [np.zeros((0, STEP), np.int32)], 0
-    while at < len(k):  # some documents at a time
+def documents(flat: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, inputs, targets, document) of the windows of some documents at a time."""
+    edge = np.concatenate(([0], np.cumsum(n)))
+    at = 0
+    while at < len(n):
         to = max(at + 1, int(np.searchsorted(edge, edge[at] + PIECE // 4, side="right")) - 1)
-        x, y, doc = windows(flat[edge[at] : edge[to]], k[at:to])
+        yield at, to, *windows(flat[edge[at] : edge[to]], n[at:to])
+        at = to
+
+
+def stretches(flat: np.ndarray, n: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of every ROUNDS-th window of each document, others in each round, so that the rounds cover all."""
+    xs, ys = [np.zeros((0, WINDOW), np.int32)], [np.zeros((0, STEP), np.int32)]
+    for at, _, x, y, doc in documents(flat, n):
         keep = (np.arange(len(doc)) - np.searchsorted(doc, doc) + doc + at) % ROUNDS == turn
         xs.append(x[keep])
         ys.append(y[keep])
-        at = to
     return np.concatenate(xs), np.concatenate(ys)
 
 
+def training(r, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of a block's training documents, and how many each document has."""
+    n_words, train = np.frombuffer(r.n_words, np.int32).astype(np.int64), ~np.frombuffer(r.held, bool)
+    flat, k = subwords.texts(r.ids, r.n_ids, restored(r.words, np.uint32)[np.repeat(train, n_words)])
+    return flat, per_document(k, n_words[train])
+
+
 def fit(table: DataFrame, tokenizer: str) -> tuple[Subwords, Attention]:
     """Train on the stored blocks: counts of all training documents, then ROUNDS of training on all their windows, whose results are averaged."""
     spark = table.sparkSession
@@ -415,72 +471,107 @@ def fit(table: DataFrame, tokenizer: str) -> tuple[Subwords, Attention]:
         counts[r.id] = r.n
     subwords = Subwords(counts, tokenizer)
     sent = spark.sparkContext.broadcast(subwords)
+    texts = table.select("ids", "n_ids", "words", "n_words", "held")
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Pairs()
+        own, windows_ = Pairs(), 0
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                n, train = np.frombuffer(r.n_ids, np.int32).astype(np.int64), ~np.frombuffer(r.held, bool)
-                own.add(sent.value, *sent.value.spread(restored(r.ids, np.uint16)[np.repeat(train, n)], n[train]))
-        both = np.array_split(np.concatenate([own.follow, own.leaf]), 16)
-        yield pd.DataFrame({"piece": np.arange(16), "counts": [squeezed(x) for x in both]})
+                flat, n = training(r, sent.value)
+                own.add(sent.value, flat, n)
+                windows_ += int((-(-(n + 1) // STEP)).sum())
+        both = np.array_split(np.concatenate([own.follow, own.leaf]), GROUPS)
+        yield pd.DataFrame({"piece": np.arange(GROUPS), "counts": [squeezed(x) for x in both], "part": TaskContext.get().partitionId(), "n": windows_})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"piece": [key[0]], "counts": [squeezed(sum(restored(x, np.int64) for x in pdf["counts"]))]})
 
-    rows = table.select("ids", "n_ids", "held").coalesce(TRAINERS).mapInPandas(pairs, "piece long, counts binary").groupBy("piece").applyInPandas(add, "piece long, counts binary").collect()  # 16 rows
+    counted_pairs, _ = stored(texts.mapInPandas(pairs, "piece long, counts binary, part int, n long"))
+    rows = counted_pairs.groupBy("piece").applyInPandas(add, "piece long, counts binary").collect()  # GROUPS rows
     known = Pairs()
     if rows:
         both = np.concatenate([restored(r.counts, np.int64) for r in sorted(rows)])
         known.follow, known.leaf = both[: len(known.follow)], both[len(known.follow) :]
-    model = Attention(known.tables(), subwords.turned)
+    model = Attention(known.tables(), subwords.turned, subwords.border)
     sent = spark.sparkContext.broadcast((subwords, model.bias))
-    table_of_ids = table.select("ids", "n_ids", "held").coalesce(TRAINERS)
+    sizes = {r.part: r.n for r in counted_pairs.where("piece = 0").select("part", "n").collect()}  # a number for each partition
 
-    def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = sum(int((-(-(np.frombuffer(r.n_ids, np.int32)[~np.frombuffer(r.held, bool)] + 1) // STEP)).sum()) for pdf in batches for r in pdf.itertuples(index=False))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [total]})
+    def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(r.weights, np.float32).astype(np.float64) * r.n for r in pdf.itertuples(index=False))
+        return pd.DataFrame({"n": [pdf["n"].sum()], "weights": [total.tobytes()]})
 
-    sizes = {r.part: r.n for r in table_of_ids.mapInPandas(size, "part int, n long").collect()}  # TRAINERS rows at most
     for turn in range(ROUNDS):
-        now = model.pack()
+        now = spark.sparkContext.broadcast(model.pack())
 
-        def train(batches: Iterator[pd.DataFrame], turn: int = turn, now: bytes = now) -> Iterator[pd.DataFrame]:
+        def train(batches: Iterator[pd.DataFrame], turn: int = turn, now=now) -> Iterator[pd.DataFrame]:
             sub, bias = sent.value
-            own = Attention(bias, sub.turned, Attention.unpack(np.frombuffer(now, np.float32)))
-            found = (stretches(restored(r.ids, np.uint16), np.frombuffer(r.n_ids, np.int32).astype(np.int64), np.frombuffer(r.held, bool), turn, sub) for pdf in batches for r in pdf.itertuples(index=False))
-            if n := own.train(found, sizes.get(TaskContext.get().partitionId(), 0) // ROUNDS, RATE / (1 + turn), turn):
-                yield pd.DataFrame({"n": [n], "weights": [own.pack()]})
+            own = Attention(bias, sub.turned, sub.border, Attention.unpack(np.frombuffer(now.value, np.float32)))
+            part = TaskContext.get().partitionId()
+            found = (stretches(*training(r, sub), turn) for pdf in batches for r in pdf.itertuples(index=False))
+            if n := own.train(found, sizes.get(part, 0) // ROUNDS, RATE / (1 + turn), turn):
+                yield pd.DataFrame({"part": [part % GROUPS], "n": [n], "weights": [own.pack()]})
 
-        done = table_of_ids.mapInPandas(train, "n long, weights binary").collect()  # TRAINERS rows at most
+        done = texts.mapInPandas(train, "part int, n long, weights binary").groupBy("part").applyInPandas(mean, "n long, weights binary").collect()  # GROUPS rows at most
         if done:
-            share = np.array([r.n for r in done], dtype=np.float64)
-            mean = sum(np.frombuffer(r.weights, np.float32) * (s / share.sum()) for r, s in zip(done, share, strict=True))
-            model = Attention(model.bias, subwords.turned, Attention.unpack(mean))
+            total = sum(np.frombuffer(r.weights, np.float64) for r in sorted(done, key=lambda r: (r.n, r.weights))) / sum(r.n for r in done)
+            model = Attention(model.bias, subwords.turned, subwords.border, Attention.unpack(total))
     return subwords, model
 
 
-def scored(table: DataFrame, subwords: Subwords, model: Attention) -> DataFrame:
-    """(block, pos, n_subwords, score): decimal logarithm of each document's probability."""
-    sent = table.sparkSession.sparkContext.broadcast((subwords, model.bias, model.pack()))
+def mixed(model: Attention, words: np.ndarray, n_words: np.ndarray, k: np.ndarray, flat: np.ndarray, known: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(natural logarithm of each document's probability, its subwords with the end).
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sub, bias, weights = sent.value
-        own = Attention(bias, sub.turned, Attention.unpack(np.frombuffer(weights, np.float32)))
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                flat, n = sub.spread(restored(r.ids, np.uint16), np.frombuffer(r.n_ids, np.int32).astype(np.int64))
-                total = np.zeros(len(n))
-                edge = np.concatenate(([0], np.cumsum(n)))
-                at = 0
-                while at < len(n):  # some documents at a time
-                    to = max(at + 1, int(np.searchsorted(edge, edge[at] + PIECE // 4, side="right")) - 1)
-                    x, y, doc = windows(flat[edge[at] : edge[to]], n[at:to])
-                    total[at:to] = np.bincount(doc, own.scores(x, y), minlength=to - at)
-                    at = to
-                yield pd.DataFrame({"block": r.block, "pos": np.arange(len(n)), "n_subwords": n + 1, "score": total / math.log(10)})
+    The attention model gives a word's first subword, as one that begins a word. The word itself
+    is then a known one, or spelled by the attention model: its other subwords, and that a word
+    begins after it. So the chances of all words and the end add up to one in every context.
+    """
+    n = per_document(k, n_words)
+    total = np.zeros(len(n))
+    word_edge = np.concatenate(([0], np.cumsum(n_words)))
+    for at, to, x, y, _ in documents(flat, n):
+        own = slice(word_edge[at], word_edge[to])
+        keep = y.reshape(-1) >= 0
+        score, begins = (s[keep] for s in model.scores(x, y))
+        ends = word_edge[at + 1 : to + 1] - word_edge[at]  # a document's end follows its words
+        each = np.insert(k[own], ends, 1)
+        first = np.cumsum(each) - each
+        event = score[first] - begins[first]
+        is_word = np.ones(len(each), dtype=bool)
+        is_word[ends + np.arange(to - at)] = False
+        spelled_rest = (np.add.reduceat(score, first) - score[first])[is_word] + begins[(first + each)[is_word]]
+        event[is_word] += np.logaddexp(known[words[own]], left[words[own]] + spelled_rest)
+        total[at:to] = np.bincount(np.repeat(np.arange(to - at), n_words[at:to] + 1), event, minlength=to - at)
+    return total, n + 1
+
+
+def scored(table: DataFrame, counts: DataFrame, tokens: int, different: int, ends: int, subwords: Subwords, model: Attention, known_words: Known) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score, n_subwords of every document."""
+    scale = math.log10(tokens + 0.1 * (different + 1))
+    end = math.log10(ends + 0.1)
+    sent = table.sparkSession.sparkContext.broadcast((subwords, model.bias, model.pack(), known_words))
 
-    return table.select("block", "ids", "n_ids").mapInPandas(rate, "block string, pos long, n_subwords long, score double")
+    def look(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        sub, bias, weights, list_ = sent.value
+        net = Attention(bias, sub.turned, sub.border, Attention.unpack(np.frombuffer(weights, np.float32)))
+        r = own.iloc[0]
+        by_hash = np.concatenate([restored(c, np.int64) for c in found.sort_values("part")["counts"]]) if len(found) else np.zeros(0, np.int64)
+        c = np.empty_like(by_hash)
+        c[restored(r["rank"], np.uint32)] = by_hash
+        words, n = restored(r["words"], np.uint32), np.frombuffer(r["n_words"], np.int32).astype(np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        base = np.bincount(doc, np.log10(c + 0.1)[words], minlength=len(n)) + end - (n + 1) * scale
+        known = np.bincount(doc, c[words] > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
+        n_ids = restored(r["n_ids"], np.int32).astype(np.int64)
+        first = sub.flat[sub.first[restored(r["ids"], np.uint16)[np.cumsum(n_ids) - n_ids]]]
+        flat, k = sub.texts(r["ids"], r["n_ids"], words)
+        score, subwords_ = mixed(net, words, n, k, flat, *list_.chances(c, first))
+        ids = pd.array(np.frombuffer(r["doc_ids"], np.int64), dtype="Int64")
+        ids[~np.frombuffer(r["named"], bool)] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(r["held"], bool), "n_tokens": n + 1, "n_known": known, "base_score": base, "score": score / math.log(10), "n_subwords": subwords_})
+
+    left = table.select("block", "doc_ids", "named", "held", "n_words", "words", "rank", "n_ids", "ids")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_subwords long"
+    return left.groupBy("block").cogroup(counts.select("block", "part", "counts").groupBy("block")).applyInPandas(look, schema)
 
 
 def score(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -498,9 +589,8 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     counts, _ = stored(counted(table, total[0] or 0))
     sums = counts.agg(F.sum("n"), F.sum("v")).first()
     tokens, different = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
-    base = based(table, counts, tokens, different, ends)
     subwords, model = fit(table, tokenizer)
-    out = base.join(scored(table, subwords, model), ["block", "pos"])
+    out = scored(table, counts, tokens, different, ends, subwords, model, Known(counts, subwords))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_subwords")
 
 

@@ -246,34 +246,95 @@ def test_base_score_is_the_unigram_model(spark):
     assert None in found
 
 
-def test_language_model_is_a_distribution_and_causal():
+def small_model(border=6):
     rng = np.random.default_rng(0)
     pairs = attention_lm.Pairs()
     pairs.follow += rng.integers(0, 3, len(pairs.follow))
     pairs.leaf += rng.integers(0, 3, len(pairs.leaf))
-    model = attention_lm.Attention(pairs.tables(), rng.integers(0, 256, attention_lm.SUBWORDS + 1))
+    model = attention_lm.Attention(pairs.tables(), rng.integers(0, 256, attention_lm.SUBWORDS + 1), border)
+    model.w["u"] *= 20
+    return model
+
+
+def test_language_model_is_a_distribution_and_causal():
+    model, rng = small_model(), np.random.default_rng(0)
     x = np.repeat(rng.integers(0, attention_lm.SUBWORDS, (1, attention_lm.WINDOW)), attention_lm.SUBWORDS, axis=0).astype(np.int32)
     y = np.full((attention_lm.SUBWORDS, attention_lm.STEP), -1, np.int32)
     y[:, 3] = np.arange(attention_lm.SUBWORDS)
-    assert abs(np.exp(model.scores(x, y)).sum() - 1) < 1e-3
+    score, begins = (s.reshape(-1, attention_lm.STEP) for s in model.scores(x, y))
+    chance = np.exp(score[:, 3])
+    assert abs(chance.sum() - 1) < 1e-3 and abs(chance[: 6 * attention_lm.BRANCH**2].sum() - np.exp(begins[0, 3])) < 1e-3
     later = x[:1].copy()
     later[0, attention_lm.CONTEXT + 4 :] = 7
-    assert np.allclose(model.scores(x[:1], y[:1]), model.scores(later, y[:1]))
+    assert np.allclose(model.scores(later, y[:1])[0], score[0])
+
+
+def naive_score(model, seen, target):
+    """One subword's probability, position by position and choice by choice."""
+    w, out = model.w, []
+    e = [w["embed"][i] + w["place"][p] for p, i in enumerate(seen)]
+    q = e[-1] @ w["q"]
+    weight = [math.exp(q @ (v @ w["k"]) / math.sqrt(attention_lm.SIZE)) for v in e]
+    z = e[-1] + sum(a * (v @ w["v"]) for a, v in zip(weight, e, strict=True)) / sum(weight) @ w["o"]
+    b = attention_lm.BRANCH
+    one = np.exp(z @ w["u"][:, :b] + model.bias[0][seen[-1]])
+    two = np.exp(z @ w["u"][:, b:] + model.bias[1][seen[-1] * b + target // b**2])
+    out = one[target // b**2] / one.sum() * two[target // b % b] / two.sum()
+    return math.log(out) + model.bias[2][model.turned[seen[-1]] * b**2 + target // b][target % b], math.log(one[: model.border].sum() / one.sum())
+
+
+def test_windows_score_like_one_subword_at_a_time():
+    model, rng = small_model(), np.random.default_rng(2)
+    starts, others = rng.integers(1, 6 * 256, 100), rng.integers(6 * 256, 4096, 100)
+    k = np.array([1, 3, 2, 1, 40, 2, 1, 5])
+    words, n_words = np.array([0, 1, 2, 2, 4, 5, 6, 7, 3]), np.array([6, 0, 3])
+    texts = [np.append(starts[i], others[7 * i : 7 * i + k[i] - 1]) for i in range(8)]
+    flat = np.concatenate([texts[i] for i in words]).astype(np.int32)
+    known, left = np.log(rng.uniform(0, 0.4, 8)), np.log(rng.uniform(0, 1, 8))
+    found, n = attention_lm.mixed(model, words, n_words, k[words], flat, known, left)
+    at = 0
+    for d, many in enumerate(n_words):
+        line = [attention_lm.START] * (attention_lm.CONTEXT + 1)
+        total = 0.0
+        each = []
+        own = [*np.concatenate([texts[i] for i in words[at : at + many]] or [np.zeros(0, int)]).tolist(), attention_lm.END]
+        for place, target in enumerate(own):  # a window begins at each STEP-th subword, with CONTEXT before it
+            begin = place // attention_lm.STEP * attention_lm.STEP
+            each.append(naive_score(model, (line + own)[begin : attention_lm.CONTEXT + 1 + place], target))
+        place = 0
+        for i in words[at : at + many]:
+            rest = sum(x for x, _ in each[place + 1 : place + k[i]]) + each[place + k[i]][1]
+            total += each[place][0] - each[place][1] + np.logaddexp(known[i], left[i] + rest)
+            place += k[i]
+        total += each[place][0] - each[place][1]
+        assert abs(found[d] - total) < 1e-3 * max(1, abs(total)) and n[d] == len(own)
+        at += many
+
+
+def test_words_are_spelled_alike_wherever_they_stand():
+    words = [b"the", "señor".encode(), "a\u00a0b".encode(), "\u00a0".encode(), b"x1y2", b"can't", "的".encode()]
+    ids, n = attention_lm.spelled(words, attention_lm.TOKENIZER)
+    enc = attention_lm.encoder(attention_lm.TOKENIZER)
+    at = np.concatenate(([0], np.cumsum(n)))
+    assert [enc.decode_bytes(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)] == [b" " + w for w in words]
+    alone = [attention_lm.spelled([w], attention_lm.TOKENIZER)[0].tolist() for w in words if b"\xc2\xa0" not in w]
+    some = [w for w in words if b"\xc2\xa0" not in w]
+    assert attention_lm.spelled(some, attention_lm.TOKENIZER)[0].tolist() == [i for x in alone for i in x]
 
 
 def test_gradients_are_those_of_the_score():
     rng = np.random.default_rng(1)
-    model = attention_lm.Attention(attention_lm.Pairs().tables(), np.zeros(attention_lm.SUBWORDS + 1, np.int64))
+    model = attention_lm.Attention(attention_lm.Pairs().tables(), np.zeros(attention_lm.SUBWORDS + 1, np.int64), 6)
     model.w["u"] *= 20
     x = rng.integers(0, 50, (30, attention_lm.WINDOW)).astype(np.int32)
     y = rng.integers(-1, 50, (30, attention_lm.STEP)).astype(np.int32)
     grads = model.gradients(x, y)
-    for k, i in (("q", (1, 2)), ("k", (3, 1)), ("v", (2, 2)), ("o", (0, 5)), ("w1", (4, 7)), ("w2", (9, 3)), ("u", (2, 20)), ("embed", (int(x[0, 20]), 3)), ("b1", (4,))):
+    for k, i in (("q", (1, 2)), ("k", (3, 1)), ("v", (2, 2)), ("o", (0, 5)), ("u", (2, 20)), ("embed", (int(x[0, 20]), 3)), ("place", (12, 3))):
         was = model.w[k][i]
         losses = []
         for d in (2e-2, -2e-2):
             model.w[k][i] = was + d
-            losses.append(-model.scores(x, y).sum() / (y >= 0).sum())
+            losses.append(-model.scores(x, y)[0].sum() / (y >= 0).sum())
         model.w[k][i] = was
         assert abs(grads[k][i] - (losses[0] - losses[1]) / 4e-2) < 0.05 * abs(grads[k][i]) + 2e-5, k
 
@@ -293,15 +354,18 @@ def test_windows_hold_each_target_once(lengths):
 def test_rounds_of_training_cover_every_window_of_the_training_documents():
     rng = np.random.default_rng(3)
     n = np.array([0, 5, 24, 1000, 70, 300_000, 3, 47])
-    held = np.array([False, False, True, False, False, False, True, False])
-    ids = rng.integers(0, 256, n.sum())
-    subwords = attention_lm.Subwords(np.zeros(attention_lm.IDS, np.int64), attention_lm.TOKENIZER)
-    _, want, _ = attention_lm.windows(*subwords.spread(ids[np.repeat(~held, n)], n[~held]))
-    rounds = [attention_lm.stretches(ids, n, held, turn, subwords)[1] for turn in range(attention_lm.ROUNDS)]
+    flat = rng.integers(0, 256, n.sum())
+    _, want, _ = attention_lm.windows(flat, n)
+    rounds = [attention_lm.stretches(flat, n, turn)[1] for turn in range(attention_lm.ROUNDS)]
     assert sorted(map(bytes, np.concatenate(rounds))) == sorted(map(bytes, want))
     assert max(map(len, rounds)) - min(map(len, rounds)) < len(n)
 
 
+def test_language_model_beats_the_base_score(spark):
+    found = QUERIES["op4_attention_lm"](spark, DATA.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > found[1]
+
+
 def test_language_model_beats_its_subword_frequencies(spark):
     rows = [(i, " ".join("the cat sat on the mat and the dog ran to the red barn".split()[(i + j) % 14] for j in range(60))) for i in range(200)]
     found = attention_lm.score(docs(spark, rows)).where("held_out").agg(F.sum("score") / F.sum("n_subwords")).first()[0]
