@@ -254,7 +254,8 @@ def host(url: Column) -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(row, page_id, url, host, content, lines) of each row: its blocks of text with the digests around them; content is a hash of all the blocks."""
+    """(row, page_id, url, host, content, text, lines) of each row: content is a hash of all its blocks of text. A page without a
+    subtree that may be template has its whole text in text, any other its blocks with the digests around them in lines."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -263,11 +264,13 @@ def parsed(pages: DataFrame) -> DataFrame:
                 content = [xxhash.xxh64_intdigest("\n".join(t for t, _ in x).encode("utf-8", "replace")) - (1 << 63) for x in found]
                 own = part.drop(columns="html")
                 own["content"] = pd.Series(content, index=own.index, dtype="int64")
-                own["lines"] = pd.Series([[{"text": t, "around": d} for t, d in x] for x in found], index=own.index, dtype=object)
+                sure = [not any(d for _, d in x) for x in found]
+                own["text"] = pd.Series(["\n".join(t for t, _ in x) if y else None for x, y in zip(found, sure, strict=True)], index=own.index, dtype=object)
+                own["lines"] = pd.Series([None if y else [{"text": t, "around": d} for t, d in x] for x, y in zip(found, sure, strict=True)], index=own.index, dtype=object)
                 yield own
 
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.xxhash64(host(F.col("url"))).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    schema = "page_id string, url string, host long, content long, lines array<struct<text: string, around: array<long>>>"
+    schema = "page_id string, url string, host long, content long, text string, lines array<struct<text: string, around: array<long>>>"
     return rows.mapInPandas(read, schema).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -281,15 +284,17 @@ def extract(pages: DataFrame) -> DataFrame:
     equal rows all stay.
     """
     table, _ = stored(parsed(pages))
-    found = table.select("row", "host", "content", F.explode(F.array_distinct(F.flatten("lines.around"))).alias("digest"))
+    open_ = table.where("lines is not null")
+    found = open_.select("row", "host", "content", F.explode(F.array_distinct(F.flatten("lines.around"))).alias("digest"))
     sizes = table.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = found.select("host", "digest", "content").distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
     template = counts.join(sizes, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("n") >= MANY)).select("host", "digest")
     flags = found.join(template, ["host", "digest"]).groupBy("row").agg(F.collect_set("digest").alias("flags"))
     kept = F.filter("lines", lambda x: F.col("flags").isNull() | ~F.arrays_overlap(x["around"], F.col("flags")))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
-    rows = table.select("row", "page_id", "url", "lines").join(flags, "row", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", text.alias("text"))
-    return rows.withColumn("n_chars", F.length("text").cast("long"))
+    rows = open_.select("row", "page_id", "url", "lines").join(flags, "row", "left").select("page_id", "url", text.alias("text"))
+    rows = rows.unionByName(table.where("lines is null").select("page_id", "url", "text"))
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
