@@ -21,6 +21,8 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: ASCII characters that are no letters or digits, and white space.
 PUNCT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Paths of the tables that stored() has written in this process.
+WRITTEN: list[str] = []
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -158,13 +160,15 @@ def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of its own only where none is set and all run in one process."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -174,10 +178,19 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows written as a table in the shared folder and read again, so later steps don't depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillmark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def swept(spark: SparkSession, since: int, keep: str) -> None:
+    """Delete all tables that stored() wrote since it had written `since`, but one."""
+    for path in WRITTEN[since:]:
+        if path != keep:
+            forget(spark, path)
+    WRITTEN[since:] = [keep]
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that stored() wrote."""
     jvm = spark.sparkContext._jvm
@@ -208,13 +221,13 @@ def with_position(df: DataFrame, group: str, cell: str, order: list[str], out: s
 
 
 def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, label) for every id in the edges (a, b): the smallest id of its connected component.
+    """(id, label) for every id in the edges (a, b), of any type with an order: the smallest id of its connected component.
 
     Alternates large-star and small-star steps, which need rounds about logarithmic in the
     number of ids; each round is a table in the shared folder. Hubs are only ever reduced to minima.
     """
     spark = edges.sparkSession
-    now, path = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    now, path = stored(edges.select("a", "b").where("a <> b").distinct())
     total = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -226,7 +239,8 @@ def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         after, new = stored(small.where("a <> b").distinct())
         forget(spark, path)
         path, now = new, after
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        both_hashes = (F.sum(F.xxhash64(*c).cast("decimal(38,0)")) for c in (("a", "b"), ("b", "a")))
+        seen = now.agg(F.count(F.lit(1)), *both_hashes).first()  # equal for other edges with a chance of 2 ** -64 squared
         if tuple(seen) == total:
             break
         total = tuple(seen)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import as_bytes, connected, mix, powers, runs, slices, stored, word_hashes
@@ -106,7 +106,7 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a = int((g["block"] == g["i"]).sum())
         else:
             a = 0
-        k = g["k"].to_numpy()
+        k = g["k"].to_numpy()  # bytes; places in the group stand for them
         texts = as_bytes(g["text"], lower=True)
         if len(k) < 2 or a == len(k):
             continue
@@ -116,7 +116,7 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         else:
             np.fill_diagonal(link, False)
             counts = link.sum(axis=1)
-        low, top = k.copy(), np.iinfo(np.int64).max
+        low, top = np.arange(len(k)), len(k)
         while True:
             was = low.copy()
             if a:
@@ -126,15 +126,17 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low = np.minimum(low, np.where(link, low[None, :], top).min(axis=1))
             if (low == was).all():
                 break
-        out = pd.DataFrame({"k": k, "links": counts.astype(np.int64), "low": low})
+        out = pd.DataFrame({"k": k, "links": counts.astype(np.int64), "low": k[low]})
         yield out[out["links"] > 0]
 
 
-def text_classes(docs: DataFrame) -> DataFrame:
-    """A row for each different text: k (its 64-bit hash), first_id, n_copies, label (the same for all texts of a class), n_links.
+def key(text: Column) -> Column:
+    """128 bits that tell texts apart; null is like empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
-    At n different texts the chance that any two share their hash is about n * n / 2 ** 65.
-    """
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """A row for each different text: k (its 128-bit hash), first_id, n_copies, label (the same for all texts of a class), n_links."""
     bands, rows = banding()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,9 +145,9 @@ def text_classes(docs: DataFrame) -> DataFrame:
                 found = band_hashes(as_bytes(part["text"], lower=True), bands, rows)
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "bands": list(found)})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", key(F.col("text")))
     copies = own.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-    signed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).mapInPandas(sign, "k long, doc_id long, bands array<long>")
+    signed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).mapInPandas(sign, "k binary, doc_id long, bands array<long>")
     signed, _ = stored(signed.groupBy("k").agg(F.first("bands").alias("bands")))
     members = signed.select("k", F.explode("bands").alias("h"))
     firsts = members.groupBy("h").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -159,7 +161,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     dealt = dealt.join(copies.select("k", "first_id"), "k")
     texts = own.join(dealt.withColumnRenamed("k", "__k"), (F.col("k") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = texts.select("k", "label", "block", "i", "j", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "k")
-    found, _ = stored(texts.mapInPandas(verified, "k long, links long, low long"))
+    found, _ = stored(texts.mapInPandas(verified, "k binary, links long, low binary"))
     links = found.groupBy("k").agg(F.sum("links").alias("n_links"))
     joined = connected(found.select(F.col("k").alias("a"), F.col("low").alias("b")))
     out = copies.join(joined.select(F.col("id").alias("k"), F.col("label").alias("__label")), "k", "left").join(links, "k", "left")
@@ -178,7 +180,7 @@ def classes(docs: DataFrame) -> DataFrame:
     found, _ = stored(text_classes(docs))
     ids = found.groupBy("label").agg(F.min("first_id").alias("class_id"))
     named = found.join(ids, "label").select("k", "class_id", "n_links", "n_copies")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    rows = docs.select("doc_id", key(F.col("text")).alias("k"))
     return rows.join(named, "k").select("doc_id", "class_id", "n_links", "n_copies")
 
 
@@ -186,7 +188,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of each class, unchanged: a row with the smallest doc_id; of repeated rows one stays. Null ids count as the largest."""
     found, _ = stored(text_classes(docs))
     lead = found.groupBy("label").agg(F.min(F.struct(F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("id"), "k")).alias("lead")).select("lead.id", "lead.k")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), key(F.col("text")).alias("k"))
     kept = rows.join(lead, ["k", "id"], "left_semi")
     one = F.row_number().over(Window.partitionBy("k", "id").orderBy(F.lit(1)))
     return kept.withColumn("__n", one).where("__n = 1").select("__row.*")
