@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import with_position
+from quillmark.llm.common import stored, with_position
 
 BUCKETS = 12
 #: Tokens of a batch, padding included.
 BUDGET = 65_536
-#: Lengths up to this have a bin each in the histogram; longer ones share bins of 1/128 of their length.
-EXACT = 4096
 CELLS = 1024
 
 
@@ -21,42 +18,42 @@ def tokens(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def bin_of(length: Column) -> Column:
-    """The histogram's bin: rises with length. Their number grows with the logarithm of the longest text."""
-    octave = F.floor(F.log2(length / F.lit(EXACT)))
-    within = F.floor((length / (F.lit(EXACT) * F.pow(F.lit(2.0), octave)) - 1) * 128)
-    return F.when(length <= EXACT, length).otherwise(EXACT + 1 + octave * 128 + within).cast("long")
+def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
+    """The lengths to pad to, at most `buckets`, with least padding in all: dynamic programming over all different lengths, which rise.
 
-
-def boundaries(longest: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """The lengths to pad to, at most `buckets`, with least padding in all: dynamic programming over the bins.
-
-    longest: each bin's longest row, rising. A bin is never divided.
+    With lengths 0 to i dealt with, a bucket up to length j adds lengths[j] times the rows between: a line in
+    lengths[j] for each i. Its slopes fall and its places rise, so the lowest lines are found in one pass.
     """
-    n = len(longest)
+    n = len(lengths)
     if not n:
         return []
-    before = np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
-    top = longest.astype(np.float64)
-    cost = top * before[1:]  # one bucket for bins 0 to j; padded tokens, as the tokens themselves are given
-    cut = np.zeros((buckets, n), dtype=np.int64)
-    for k in range(1, min(buckets, n)):
-        new = cost.copy()
-        cut[k] = -1  # no further bucket
+    before = [0]
+    for c in counts:
+        before.append(before[-1] + c)
+    cost = [lengths[j] * before[j + 1] for j in range(n)]  # one bucket for lengths 0 to j; padded tokens, as the tokens themselves are given
+    cut = [[-1] * n]
+    for _ in range(1, min(buckets, n)):
+        lines: list[tuple[int, int, int]] = []  # slope, height, i
+        new, own, at = list(cost), [-1] * n, 0  # -1: no further bucket
         for j in range(1, n):
-            ways = cost[:j] + top[j] * (before[j + 1] - before[1 : j + 1])
-            i = int(np.argmin(ways))
-            if ways[i] < new[j]:
-                new[j], cut[k, j] = ways[i], i
+            m, h = -before[j], cost[j - 1]
+            while len(lines) - at >= 2 and (h - lines[-2][1]) * (lines[-2][0] - lines[-1][0]) <= (lines[-1][1] - lines[-2][1]) * (lines[-2][0] - m):
+                lines.pop()
+            lines.append((m, h, j - 1))
+            x = lengths[j]
+            while len(lines) - at >= 2 and lines[at + 1][0] * x + lines[at + 1][1] < lines[at][0] * x + lines[at][1]:
+                at += 1
+            way = lines[at][0] * x + lines[at][1] + x * before[j + 1]
+            if way < new[j]:
+                new[j], own[j] = way, lines[at][2]
         cost = new
+        cut.append(own)
     out, j = [], n - 1
-    for k in range(min(buckets, n) - 1, -1, -1):
-        if k == 0:
-            out.append(int(longest[j]))
-        elif cut[k, j] >= 0:
-            out.append(int(longest[j]))
-            j = int(cut[k, j])
-    return out[::-1]
+    for own in reversed(cut[1:]):
+        if own[j] >= 0:
+            out.append(lengths[j])
+            j = own[j]
+    return sorted({*out, lengths[j]})
 
 
 def pack(rows: DataFrame, cell: str, order: list[str], buckets: int, budget: int, bounded: bool = False) -> DataFrame:
@@ -65,9 +62,9 @@ def pack(rows: DataFrame, cell: str, order: list[str], buckets: int, budget: int
     A batch holds budget // padded rows, one at least: a row longer than the budget is a batch of
     its own, whole. bounded: there are few cells, whatever the number of rows. An empty table gives an empty result.
     """
-    binned = rows.groupBy(bin_of(F.col("length")).alias("bin")).agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"))
-    histogram = binned.orderBy("bin").collect()  # EXACT + 128 rows for each doubling of the longest text
-    ends = boundaries(np.array([r.longest for r in histogram]), np.array([r.n for r in histogram]), buckets)
+    rows, _ = stored(rows)  # so that words are counted once
+    histogram = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()  # a row for each length that there is
+    ends = boundaries([r.length for r in histogram], [r.n for r in histogram], buckets)
     bucket, padded = F.lit(len(ends) - 1), F.lit(ends[-1] if ends else 0)
     for b in reversed(range(len(ends) - 1)):
         bucket = F.when(F.col("length") <= ends[b], b).otherwise(bucket)
