@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_of
+from quillmark.llm.common import bucket_of, shared_folder
 
 SLOTS = 4096
 
@@ -111,10 +112,12 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     any order among themselves. Only doc_id, text and the columns made from them are kept.
     """
     spark = docs.sparkSession
-    now = SlotMap.of(shards, slots)
-    before = now.version
-    now.grow()
-    old, new = now.versions[-2:]
+    made = SlotMap.of(shards, slots)
+    before = made.version
+    made.grow()
+    path = f"{shared_folder(spark)}/quillmark-slots-{uuid.uuid4().hex}"
+    made.save(spark, path)
+    old, new = SlotMap.load(spark, path).versions[before - 1 : before + 1]  # the stored map rules
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = slotted(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "doc_id", slots)
     filled = sorted(slot_bytes(rows).collect())  # a row for each slot: `slots` rows at most
