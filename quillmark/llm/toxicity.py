@@ -147,8 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         part = known.where(F.col("toxic") == y).orderBy(key, "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     # the sample is bounded by 2 * rows ids, so it may be sent everywhere
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
-    found = found.drop_duplicates().sort_values(["doc_id", "toxic", "text"])
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").distinct().toPandas()
+    found = found.sort_values(["doc_id", "toxic", "text"])
     return train(as_bytes(found["text"], lower=True), found["toxic"].to_numpy())
 
 
