@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import itertools
 import zlib
 from collections import Counter, defaultdict
@@ -71,6 +73,45 @@ def test_boundaries_are_optimal(seed):
     assert len(found) == 3 and sum(int(c) * next(e for e in found if e >= x) for x, c in zip(longest, counts, strict=True)) == best
 
 
+@pytest.mark.parametrize(("n", "buckets"), [(1, 3), (4, 9), (400, 6), (30_000, 12)])
+def test_boundaries_of_many_long_lengths_are_optimal(n, buckets):
+    rng = np.random.default_rng(n)
+    lengths = np.sort(rng.choice(np.arange(1, 1_000_000), n, replace=False)).tolist()
+    counts = rng.integers(1, 1000, n).tolist()
+    found = length_buckets.boundaries(lengths, counts, buckets)
+    total = sum(c * found[bisect.bisect_left(found, x)] for x, c in zip(lengths, counts, strict=True))
+    assert len(found) == min(n, buckets) and found[-1] == lengths[-1]
+    if n <= 400:  # every way
+        before = np.concatenate(([0], np.cumsum(counts)))
+        cost = [x * int(before[j + 1]) for j, x in enumerate(lengths)]
+        for _ in range(1, buckets):
+            cost = [min([cost[j], *(cost[i] + x * int(before[j + 1] - before[i + 1]) for i in range(j))]) for j, x in enumerate(lengths)]
+        assert total == cost[-1]
+    else:  # no boundary can be moved for the better
+        for b in range(len(found) - 1):
+            at = bisect.bisect_left(lengths, found[b])
+            for other in lengths[max(0, at - 3) : at] + lengths[at + 1 : at + 4]:
+                moved = sorted({*found[:b], other, *found[b + 1 :]})
+                assert total <= sum(c * moved[bisect.bisect_left(moved, x)] for x, c in zip(lengths, counts, strict=True))
+
+
+def test_shards_equal_a_plain_count(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    maps = virtual_slots.SlotMap.of(8)
+    old = maps.versions[-1]
+    maps.grow()
+    want, held = {}, {}
+    for r in docs:
+        text = (r.text or "").encode()
+        slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) % virtual_slots.SLOTS
+        want[r.doc_id] = (len(text) + 1, zlib.crc32(text), "key", old[slot], maps.versions[-1][slot])
+        held.setdefault(old[slot], []).append((slot, r.doc_id, zlib.crc32(text)))
+    place = {i: n for rows in held.values() for n, (_, i, _) in enumerate(sorted(rows))}
+    found = QUERIES["op7_virtual_slots"](spark, DATA).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in found} == want
+    assert {r.doc_id: r.slot for r in found} == place
+
+
 def test_batches(spark):
     rows = [(i, "w " * (i % 97), "s") for i in range(10, 500)] + ODD
     found = length_buckets.pack_documents(docs(spark, rows), 5, 300).collect()
