@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import length_buckets, ngram_join, pfair_mix, toxicity
-from quillmark.llm.common import stored
+from quillmark.llm.common import WRITTEN, stored, swept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +43,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(WRITTEN)
     for _, stage in STAGES:
-        docs, _ = stored(stage(spark, docs, sf_dir))
+        docs, path = stored(stage(spark, docs, sf_dir))
+        swept(spark, since, path)  # what a stage has read and written on its way is done with
     return docs
