@@ -74,11 +74,10 @@ def duplicates(chunks: DataFrame) -> DataFrame:
     Pairs are found by the words that they share, so papers of many unlike chunks cost little.
     """
     sets = chunks.select("paper_id", "idx", "pos", "chunk", F.array_distinct(T.tokens(F.lower("chunk"))).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    # two sets that are DUPLICATE alike share more than half of either; the rarest words of each set then meet
-    words = sets.select("paper_id", "idx", "pos", F.size("w").alias("n"), F.explode("w").alias("word"))
-    held = words.groupBy("paper_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("paper_id", "idx", "pos").orderBy("df", "word"))
-    rare = words.join(held, ["paper_id", "word"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * DUPLICATE) + 1)
+    # two sets that are DUPLICATE alike share a word among the first of each, in any order of all words; long words, which are rare, come first
+    ordered = F.transform(F.sort_array(F.transform("w", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda y: y["x"])
+    n = F.size("w")
+    rare = sets.select("paper_id", "idx", "pos", n.alias("n"), F.explode(F.slice(ordered, F.lit(1), (n - F.ceil(n * F.lit(DUPLICATE)) + 1).cast("int"))).alias("word"))
     a = rare.select("paper_id", "word", F.col("idx").alias("i"), F.col("pos").alias("p"), F.col("n").alias("x"))
     b = rare.select("paper_id", "word", F.col("idx").alias("j"), F.col("pos").alias("q"), F.col("n").alias("y"))
     later = (F.col("j") > F.col("i")) | ((F.col("j") == F.col("i")) & (F.col("q") > F.col("p")))
@@ -97,16 +96,17 @@ def plagiarism_score(top: Column, n: Column, dups: Column) -> Column:
 
 def plagiarism_summary(score: Column) -> Column:
     return (
-        F.when(score <= 5, "No significant similarity to the indexed open corpus.")
-        .when(score <= 25, "Low similarity detected; some passages resemble indexed abstracts.")
-        .when(score <= 50, "Moderate similarity — several passages match indexed sources.")
-        .otherwise("High similarity detected — substantial overlap with indexed sources.")
+        F.when(score <= 5, "The corpus holds nothing alike.")
+        .when(score <= 25, "A few passages are like texts of the corpus.")
+        .when(score <= 50, "Several passages are like texts of the corpus.")
+        .otherwise("Large parts are like texts of the corpus.")
     )
 
 
-def plagiarism(secs: DataFrame, chunks: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(paper_id, plagiarism_score, plagiarism_summary, n_matches, top_similarity, top_title, duplicate_paragraphs, sections)."""
-    found = matches(best_match(chunks, corpus), chunks).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_matches"), F.max("similarity").alias("top_similarity"), F.min_by("title", "rank").alias("top_title"))
+def plagiarism(secs: DataFrame, chunks: DataFrame, corpus: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """matched: matches() of the chunks, if they are known already. (paper_id, plagiarism_score, plagiarism_summary, n_matches, top_similarity, top_title, duplicate_paragraphs, sections)."""
+    matched = matches(best_match(chunks, corpus), chunks) if matched is None else matched
+    found = matched.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_matches"), F.max("similarity").alias("top_similarity"), F.min_by("title", "rank").alias("top_title"))
     dups = duplicates(chunks).groupBy("paper_id").agg(F.count(F.lit(1)).alias("duplicate_paragraphs"))
     out = secs.groupBy("paper_id").agg(F.count(F.lit(1)).alias("sections")).join(found, "paper_id", "left").join(dups, "paper_id", "left").fillna(0, ["n_matches", "duplicate_paragraphs"])
     out = out.withColumn("plagiarism_score", plagiarism_score(F.col("top_similarity"), F.col("n_matches"), F.col("duplicate_paragraphs")))

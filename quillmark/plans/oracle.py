@@ -127,8 +127,8 @@ bare AS (SELECT paper_id, {_BARE}::INTEGER AS bare FROM papers),
 summed AS (SELECT paper_id, bare, coalesce(total, 0) AS total, coalesce(good, 0)::BIGINT AS good, coalesce(bad, []) AS bad, coalesce(good, 0) / greatest(coalesce(total, 0), 1)::DOUBLE AS ratio FROM bare LEFT JOIN doi_sums USING (paper_id)),
 validity AS (
     SELECT paper_id, (CASE WHEN total = 0 AND bare = 0 THEN 55 ELSE {half("round(greatest(0.0, least(100.0, (ratio * 0.85::DOUBLE + 0.15::DOUBLE) * 100 - least(0.35::DOUBLE, bare * 0.07::DOUBLE) * 100)), 9)")} END)::INTEGER AS citation_score,
-        CASE WHEN total = 0 AND bare = 0 THEN 'No citations or DOIs found in the paper; claims cannot be verified.' WHEN ratio >= 0.9 THEN 'Citations verify well against the registry.'
-            WHEN ratio >= 0.6 THEN 'Most citations are valid, but some DOIs could not be verified.' ELSE 'A significant share of DOIs failed verification — review references.' END AS citation_summary,
+        CASE WHEN total = 0 AND bare = 0 THEN 'The paper cites nothing that a registry could confirm.' WHEN ratio >= 0.9 THEN 'Nearly all DOIs are known to the registry.'
+            WHEN ratio >= 0.6 THEN 'The registry knows most of the DOIs, not all.' ELSE 'The registry doesn''t know many of the DOIs: go through the reference list.' END AS citation_summary,
         total AS total_dois, good AS valid_dois, bad AS invalid_dois, bare AS bare_references
     FROM summed
 )
@@ -145,9 +145,9 @@ tainted AS (SELECT p.paper_id, count(r.doi) AS n_dois, coalesce(count_if(r.retra
 contamination AS (
     SELECT paper_id, n_dois, n_retracted, f AS contaminated_fraction,
         (CASE WHEN n_retracted = 0 THEN 0 WHEN f <= 0.1 THEN {half('round(25 + f * 550, 9)')} ELSE {half('round(least(100.0::DOUBLE, 80 + f * 20), 9)')} END)::INTEGER AS contamination,
-        CASE WHEN n_dois = 0 THEN 'No DOIs available to check for retractions.' WHEN n_retracted = 0 THEN 'None of the cited works appear in the retraction list.'
-            WHEN f <= 0.1 THEN n_retracted || ' cited work(s) were later retracted — partial contamination.'
-            ELSE n_retracted || ' of ' || n_dois || ' cited works retracted — the paper''s evidence base is contaminated.' END AS contamination_summary
+        CASE WHEN n_dois = 0 THEN 'Without DOIs no retraction can be looked up.' WHEN n_retracted = 0 THEN 'No cited work is on the list of retractions.'
+            WHEN f <= 0.1 THEN n_retracted || ' of the cited works were withdrawn, a tenth of them at most.'
+            ELSE n_retracted || ' of ' || n_dois || ' cited works were withdrawn, more than a tenth: the evidence is in doubt.' END AS contamination_summary
     FROM (SELECT *, n_retracted / greatest(n_dois, 1)::DOUBLE AS f FROM tainted)
 )
 """
@@ -166,8 +166,8 @@ graph_scored AS (
 ),
 graph AS (
     SELECT paper_id, n_dois, edges, {half('dens', 4)} AS density, CASE WHEN n > 0 THEN edges / n::DOUBLE ELSE 0.0::DOUBLE END AS mean_degree, CASE WHEN n_dois < 2 THEN 0 ELSE isolated END AS isolated, a AS graph_anomaly,
-        CASE WHEN n_dois < 2 THEN 'Too few citations to analyze the reference graph.' WHEN a <= 20 THEN 'The reference graph forms a coherent, interconnected scholarly neighborhood.'
-            WHEN a <= 55 THEN 'The reference graph is loosely connected — some citations are isolated from each other.' ELSE 'The reference graph is fragmented — citations do not form a coherent research conversation.' END AS graph_summary
+        CASE WHEN n_dois < 2 THEN 'Fewer works than a graph needs.' WHEN a <= 20 THEN 'The cited works cite each other densely.'
+            WHEN a <= 55 THEN 'The cited works cite each other here and there; some stand alone.' ELSE 'The cited works hardly cite each other.' END AS graph_summary
     FROM (SELECT *, (CASE WHEN n_dois < 2 THEN 0 ELSE {half("round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, greatest(0.0::DOUBLE, 0.05::DOUBLE - dens) / 0.05::DOUBLE * 40 + power(isolated / greatest(n_dois, 1)::DOUBLE, 1.5) * 60)), 9)")} END)::INTEGER AS a FROM graph_scored)
 )
 """
@@ -188,7 +188,7 @@ ALIGNMENT = f"""
 verdict_sums AS (SELECT paper_id, avg(CASE alignment WHEN 'aligned' THEN 100 WHEN 'weak' THEN 50 WHEN 'unsupported' THEN 15 END) AS mean, count(*) AS n, count_if(alignment = 'unsupported')::BIGINT AS u FROM verdicts GROUP BY paper_id),
 alignment AS (
     SELECT p.paper_id, (CASE WHEN mean IS NULL THEN 60 ELSE {half('round(mean, 9)')} END)::INTEGER AS alignment_score, CASE WHEN mean IS NULL THEN 0 ELSE n END AS n_verdicts, CASE WHEN mean IS NULL THEN 0 ELSE u END AS n_unsupported,
-        CASE WHEN mean IS NULL THEN 'Alignment could not be computed (no abstracts available).' WHEN u > 0 THEN u || ' of ' || n || ' cited claims could not be aligned with the cited works.' ELSE 'Cited claims align with their sources.' END AS alignment_summary
+        CASE WHEN mean IS NULL THEN 'No cited work has words to compare claims with.' WHEN u > 0 THEN u || ' of ' || n || ' claims share too few words with the works they cite.' ELSE 'Each claim shares enough words with the work it cites.' END AS alignment_summary
     FROM papers p LEFT JOIN verdict_sums s ON s.paper_id = p.paper_id
 )
 """
@@ -217,21 +217,21 @@ digit_order AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY n DE
 digit_worst AS (SELECT paper_id, string_agg(d, ', ' ORDER BY r) AS worst FROM digit_order WHERE r <= 2 GROUP BY paper_id),
 statistics_found AS (
     SELECT m.paper_id, p, list_filter([
-        CASE WHEN borders >= 3 THEN {{'category': 'p-value borders', 'severity': CASE WHEN borders >= 5 THEN 'high' ELSE 'medium' END, 'detail': borders || ' of ' || np || ' p-values sit on conventional significance borders (0.05, 0.01, 0.001).'}} END,
-        CASE WHEN near >= 2 THEN {{'category': 'borderline clustering', 'severity': 'medium', 'detail': near || ' p-values cluster in the 0.04-0.055 range.'}} END,
-        CASE WHEN zero >= 1 THEN {{'category': 'exact zero p-values', 'severity': 'low', 'detail': zero || ' p-value(s) reported as exactly 0.'}} END,
-        CASE WHEN chi2 > 22 THEN {{'category': 'digit-preference bias', 'severity': CASE WHEN chi2 > 40 THEN 'high' ELSE 'medium' END, 'detail': 'Last digits of reported decimals are biased (over-represented: ' || worst || ').'}} END,
-        CASE WHEN whole >= 4 AND whole / len(pct)::DOUBLE > 0.8 THEN {{'category': 'rounded percentages', 'severity': 'low', 'detail': 'Most reported percentages are round numbers.'}} END,
-        CASE WHEN extreme >= 2 THEN {{'category': 'extreme claims', 'severity': 'medium', 'detail': extreme || ' results reported as exactly 0% or 100%.'}} END
+        CASE WHEN borders >= 3 THEN {{'category': 'p-value borders', 'severity': CASE WHEN borders >= 5 THEN 'high' ELSE 'medium' END, 'detail': borders || ' of ' || np || ' p-values lie next to 0.05, 0.01 or 0.001.'}} END,
+        CASE WHEN near >= 2 THEN {{'category': 'borderline clustering', 'severity': 'medium', 'detail': near || ' p-values lie between 0.04 and 0.055.'}} END,
+        CASE WHEN zero >= 1 THEN {{'category': 'exact zero p-values', 'severity': 'low', 'detail': zero || ' p-value(s) given as 0.'}} END,
+        CASE WHEN chi2 > 22 THEN {{'category': 'digit-preference bias', 'severity': CASE WHEN chi2 > 40 THEN 'high' ELSE 'medium' END, 'detail': 'Decimals end in some digits too often (most in ' || worst || ').'}} END,
+        CASE WHEN whole >= 4 AND whole / len(pct)::DOUBLE > 0.8 THEN {{'category': 'rounded percentages', 'severity': 'low', 'detail': 'More than four fifths of the percentages are whole.'}} END,
+        CASE WHEN extreme >= 2 THEN {{'category': 'extreme claims', 'severity': 'medium', 'detail': extreme || ' percentages are 0 or 100 without a remainder.'}} END
     ], lambda f: f IS NOT NULL) AS findings
     FROM numeric_more m LEFT JOIN digit_worst w ON w.paper_id = m.paper_id
 ),
 statistics AS (
     SELECT paper_id, least(100, coalesce(list_sum(list_transform(findings, lambda f: CASE f.severity WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 4 END)), 0))::INTEGER AS statistical_risk,
-        CASE WHEN len(findings) = 0 THEN 'Statistical reporting shows no anomalous patterns.'
-            WHEN len(list_filter(findings, lambda f: f.severity = 'high')) > 0 THEN 'One or more high-risk statistical patterns detected — audit these values.'
-            WHEN len(list_filter(findings, lambda f: f.severity = 'medium')) > 0 THEN 'Some statistical patterns warrant a closer look before accepting results.'
-            ELSE 'Minor statistical quirks detected; low overall risk.' END AS statistics_summary, findings, list_sort(p) AS p_values
+        CASE WHEN len(findings) = 0 THEN 'No check of the numbers found anything.'
+            WHEN len(list_filter(findings, lambda f: f.severity = 'high')) > 0 THEN 'A finding of high severity: have these numbers recomputed.'
+            WHEN len(list_filter(findings, lambda f: f.severity = 'medium')) > 0 THEN 'Findings of medium severity: look at these numbers again.'
+            ELSE 'Findings of low severity only.' END AS statistics_summary, findings, list_sort(p) AS p_values
     FROM statistics_found
 )
 """
@@ -257,8 +257,8 @@ fp_parts AS (
 ),
 fp_fused AS (SELECT *, {half("round(power(benford::DOUBLE * p_curve * precision * consistency, 0.25), 9)")}::INTEGER AS fingerprint FROM fp_parts),
 fingerprint AS (
-    SELECT *, CASE WHEN fingerprint >= 75 THEN 'Statistical fingerprints are consistent with genuine experimental reporting.' WHEN fingerprint >= 45 THEN 'Some statistical fingerprints show mild irregularities — review the raw data.'
-        WHEN fingerprint IS NOT NULL THEN 'Statistical fingerprints show patterns common in fabricated or manipulated data.' END AS fingerprint_summary FROM fp_fused
+    SELECT *, CASE WHEN fingerprint >= 75 THEN 'First digits, precision and deviations look like measured data.' WHEN fingerprint >= 45 THEN 'First digits, precision or deviations are somewhat unusual: ask for the raw data.'
+        WHEN fingerprint IS NOT NULL THEN 'First digits, precision or deviations are unlike measured data.' END AS fingerprint_summary FROM fp_fused
 )
 """
 PROVENANCE = f"""
@@ -273,9 +273,9 @@ provenance_scored AS (
 provenance AS (
     SELECT paper_id, s AS provenance_score, fingerprint IS NULL AS pcv_failed, CASE WHEN fingerprint IS NOT NULL THEN contamination END AS contamination, CASE WHEN fingerprint IS NOT NULL THEN graph_anomaly END AS graph_anomaly,
         CASE WHEN fingerprint IS NOT NULL THEN alignment_score END AS alignment_score, fingerprint,
-        CASE WHEN fingerprint IS NOT NULL AND n_retracted > 0 THEN n_retracted || ' cited reference(s) were later retracted; the supporting evidence should be re-checked.'
-            WHEN s >= 75 THEN 'Claims trace back to intact, interconnected scholarly sources and the statistical fingerprints look natural.' WHEN s >= 50 THEN 'Some provenance signals are weak — check the alignment and fingerprint notes below.'
-            ELSE 'Multiple provenance checks failed; the paper''s supporting evidence needs careful review.' END AS provenance_summary
+        CASE WHEN fingerprint IS NOT NULL AND n_retracted > 0 THEN n_retracted || ' cited work(s) withdrawn: see what still supports the claims.'
+            WHEN s >= 75 THEN 'Sources are intact and linked, and the numbers look measured.' WHEN s >= 50 THEN 'A part of the provenance is weak: see its layers.'
+            ELSE 'Most of the provenance is weak: review the evidence.' END AS provenance_summary
     FROM provenance_scored
 )
 """
@@ -330,7 +330,7 @@ ai_scored AS (
 ),
 ai AS (
     SELECT paper_id, ai_score, 'heuristic' AS ai_engine, {half('ai_score * 100', 1)} AS ai_probability, CASE WHEN ai_score >= 0.62 OR ai_score <= 0.38 THEN 'high' ELSE 'low' END AS ai_confidence,
-        CASE WHEN ai_score >= 0.62 THEN 'The text shows strong AI-like regularity patterns.' WHEN ai_score <= 0.38 THEN 'The text shows predominantly human writing patterns.' ELSE 'Signals are mixed; treat this result as uncertain.' END AS ai_explanation
+        CASE WHEN ai_score >= 0.62 THEN 'Regular as machine-written text is.' WHEN ai_score <= 0.38 THEN 'Irregular as people write.' ELSE 'Neither regular nor irregular; undecided.' END AS ai_explanation
     FROM ai_scored
 )
 """
@@ -398,8 +398,8 @@ match_sums AS (SELECT paper_id, count(*) AS n, max(similarity) AS top, arg_min(t
 dup_sums AS (SELECT paper_id, count(*) AS d FROM duplicates GROUP BY paper_id),
 plag_rows AS (SELECT s.paper_id, s.sections, coalesce(m.n, 0) AS n_matches, m.top AS top_similarity, m.title AS top_title, coalesce(d.d, 0) AS duplicate_paragraphs FROM (SELECT paper_id, count(*) AS sections FROM sections GROUP BY paper_id) s LEFT JOIN match_sums m USING (paper_id) LEFT JOIN dup_sums d USING (paper_id)),
 plagiarism AS (
-    SELECT paper_id, sc AS plagiarism_score, CASE WHEN sc <= 5 THEN 'No significant similarity to the indexed open corpus.' WHEN sc <= 25 THEN 'Low similarity detected; some passages resemble indexed abstracts.'
-            WHEN sc <= 50 THEN 'Moderate similarity — several passages match indexed sources.' ELSE 'High similarity detected — substantial overlap with indexed sources.' END AS plagiarism_summary,
+    SELECT paper_id, sc AS plagiarism_score, CASE WHEN sc <= 5 THEN 'The corpus holds nothing alike.' WHEN sc <= 25 THEN 'A few passages are like texts of the corpus.'
+            WHEN sc <= 50 THEN 'Several passages are like texts of the corpus.' ELSE 'Large parts are like texts of the corpus.' END AS plagiarism_summary,
         n_matches, top_similarity, top_title, duplicate_paragraphs, sections
     FROM (SELECT *, (CASE WHEN n_matches > 0 THEN {half("least(100.0::DOUBLE, round(top_similarity * 0.6::DOUBLE + n_matches * 6, 9))")} WHEN duplicate_paragraphs > 0 THEN least(100, duplicate_paragraphs * 12 + 20) ELSE 0 END)::INTEGER AS sc FROM plag_rows)
 )
@@ -421,7 +421,7 @@ web_results AS (
 ),
 web_order AS (SELECT *, CASE provider WHEN 'google' THEN 0 WHEN 'brave' THEN 1 ELSE 2 END AS o FROM web_results),
 web_best AS (SELECT * FROM (SELECT *, min(o) OVER (PARTITION BY query) AS m FROM web_order) WHERE o = m),
-web_segments AS (SELECT doc_id AS paper_id, pos, unnest AS segment FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS unnest FROM documents)),
+web_segments AS (SELECT doc_id AS paper_id, pos, unnest AS segment FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS unnest FROM documents) UNION ALL SELECT -1 - item_id, 0, {strip('text')} FROM benchmark),
 web_asked AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS n FROM web_segments),
 web_scored AS (SELECT a.paper_id, a.n, b.spot, b.url, b.title, b.description, a.segment, b.provider, {overlap('a.segment', "b.title || ' ' || coalesce(b.description, '')")} AS similarity FROM web_asked a JOIN web_best b ON b.query = substring(a.segment, 1, 200) WHERE a.n <= 5 AND regexp_matches(a.segment, '\S')),
 web_ranked AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY similarity DESC, n, spot)::INTEGER AS rank FROM web_scored WHERE similarity >= 25),
@@ -443,13 +443,13 @@ contributed AS (
 ),
 credibility AS (
     SELECT *, CASE WHEN credibility >= 75 THEN 'Credible' WHEN credibility >= 50 THEN 'Needs review' ELSE 'High risk' END AS verdict,
-        list_filter([CASE WHEN ai_probability >= 60 THEN 'AI-generation likelihood is high (' || ai_probability || '%).' END, CASE WHEN plagiarism_score >= 25 THEN 'Similarity score is elevated (' || plagiarism_score || '%).' END,
-            CASE WHEN citation_score < 60 THEN 'Citation verification is weak (' || citation_score || '%).' END, CASE WHEN statistical_risk >= 20 THEN 'Statistical anomalies detected (risk ' || statistical_risk || '%).' END,
-            CASE WHEN writing_score < 55 THEN 'Academic writing standards are not met.' END], lambda x: x IS NOT NULL) AS risk_triggers,
-        list_filter([CASE WHEN ai_probability >= 60 THEN 'Request draft history or writing-process notes to verify authorship.' END, CASE WHEN plagiarism_score >= 20 THEN 'Run an external plagiarism check on the highlighted overlapping sections.' END,
-            CASE WHEN total_dois > valid_dois THEN 'Manually review references with invalid or unverified DOIs.' END, CASE WHEN bare_references > 2 THEN 'Several references lack DOIs; verify them in the original sources.' END,
-            CASE WHEN statistical_risk >= 20 THEN 'Audit reported p-values and independently verify key statistical claims.' END,
-            CASE WHEN NOT (ai_probability >= 60 OR plagiarism_score >= 20 OR total_dois > valid_dois OR bare_references > 2 OR statistical_risk >= 20) THEN 'No critical risk triggers detected; proceed with standard peer review.' END], lambda x: x IS NOT NULL) AS action_items
+        list_filter([CASE WHEN ai_probability >= 60 THEN 'Machine-written text is likely (' || ai_probability || '%).' END, CASE WHEN plagiarism_score >= 25 THEN 'Much of the text stands elsewhere (' || plagiarism_score || '%).' END,
+            CASE WHEN citation_score < 60 THEN 'Few citations hold (' || citation_score || '%).' END, CASE WHEN statistical_risk >= 20 THEN 'The numbers look wrong (risk ' || statistical_risk || '%).' END,
+            CASE WHEN writing_score < 55 THEN 'Writing conventions are broken.' END], lambda x: x IS NOT NULL) AS risk_triggers,
+        list_filter([CASE WHEN ai_probability >= 60 THEN 'Ask the authors for earlier drafts.' END, CASE WHEN plagiarism_score >= 20 THEN 'Check the marked passages with another similarity service.' END,
+            CASE WHEN total_dois > valid_dois THEN 'Look up by hand each reference whose DOI isn''t known.' END, CASE WHEN bare_references > 2 THEN 'Look up by hand the references that have no DOI.' END,
+            CASE WHEN statistical_risk >= 20 THEN 'Recompute the p-values and the main results.' END,
+            CASE WHEN NOT (ai_probability >= 60 OR plagiarism_score >= 20 OR total_dois > valid_dois OR bare_references > 2 OR statistical_risk >= 20) THEN 'Nothing to do before an ordinary review.' END], lambda x: x IS NOT NULL) AS action_items
     FROM (SELECT *, {half('round(c1 + c2 + c3 + c4 + c5, 6)')}::INTEGER AS credibility FROM contributed)
 )
 """

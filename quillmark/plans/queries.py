@@ -153,7 +153,7 @@ def io14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELLS = [
-    ("'Overall Research Credibility'", "credibility || '%'", "CASE WHEN credibility >= 75 THEN 'This paper appears structurally reliable and is suitable for standard peer review.' WHEN credibility >= 50 THEN 'This paper shows promise but requires focused manual validation before acceptance.' ELSE 'This paper exhibits elevated integrity risks and requires prioritized investigation.' END"),
+    ("'Overall Research Credibility'", "credibility || '%'", "CASE WHEN credibility >= 75 THEN 'Nothing here speaks against an ordinary review.' WHEN credibility >= 50 THEN 'Have the weak parts validated by hand before accepting.' ELSE 'Integrity risks are high: look into this paper first.' END"),
     ("'Plagiarism / Similarity'", "plagiarism_score || '%'", "plagiarism_summary"), ("'AI-Generated Probability'", "floor(ai_probability + 0.5)::BIGINT || '%'", "'Confidence: ' || ai_confidence"), ("'Citation Validity'", "citation_score || '%'", "citation_summary"),
     ("'Statistical Risk'", "statistical_risk || '%'", "statistics_summary"), ("'Writing Standards'", "writing_score || '%'", "grade"), ("''", "''", "''"), ("'Word Count'", "word_count::VARCHAR", "''"), ("'Sections Detected'", "sections::VARCHAR", "''"),
     ("'Duplicate Paragraphs (self-plagiarism)'", "duplicate_paragraphs::VARCHAR", "''"), ("'Valid DOIs'", "valid_dois::VARCHAR", "'of ' || total_dois || ' total'"), ("'Invalid DOIs Found'", "(total_dois - valid_dois)::VARCHAR", "array_to_string(invalid_dois, '; ')"),
@@ -183,9 +183,9 @@ def io16(spark: SparkSession, sf_dir: str) -> DataFrame:
 per_paper("p1_word_count", f"{O.count('full_text', S.WORD)}::INTEGER AS word_count", word_count=lambda: S.word_count(text()))
 
 
-@query("p2_length_gate", O.sql("SELECT paper_id, n::INTEGER AS word_count, 'Document too short: 60 words are needed.' AS error FROM c WHERE n < 60", f"c AS (SELECT paper_id, {O.count('full_text', S.WORD)} AS n FROM papers)"))
+@query("p2_length_gate", O.sql("SELECT paper_id, n::INTEGER AS word_count, 'Document too short: 60 words are needed.' AS error FROM c WHERE n < 60", f"c AS (SELECT doc_id AS paper_id, {O.count('text', S.WORD)} AS n FROM documents)"))
 def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.gated(I.papers(spark, sf_dir))[1]
+    return P.gated(I.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("full_text")))[1]
 
 
 @query("p3_headings", O.sql("SELECT paper_id, pos::INTEGER AS pos, line, label FROM lines WHERE heading", O.LINES))
@@ -296,7 +296,8 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = items.select("query", provider.alias("provider"), F.lit(1).alias("rank"), F.concat(F.lit("http://items.example.org/"), name).alias("url"), F.concat(F.lit("Item "), name).alias("title"), F.col("text").alias("description"))
     two = items.select("query", F.lit("duckduckgo").alias("provider"), F.lit(2).alias("rank"), F.concat(F.lit("http://other.example.org/"), name).alias("url"), F.concat(F.lit("Other "), name).alias("title"), F.lit(None).cast("string").alias("description"))
     segments = I.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "segment"))
-    return M.web_matches(segments, one.unionByName(two))
+    quoting = items.select((-1 - F.col("item_id")).alias("paper_id"), F.lit(0).alias("pos"), T.strip(F.col("text")).alias("segment"))  # papers that consist of an item
+    return M.web_matches(segments.unionByName(quoting), one.unionByName(two))
 
 
 # --- machine-written text -----------------------------------------------------
