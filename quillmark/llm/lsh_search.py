@@ -25,7 +25,7 @@ WIDTH = 1.0
 #: The first hashes of a table name a cell: so many at most, of so many rows about, and a query's cells hold this share of the chances.
 CELL_HASHES, CELL, CELL_SHARE = 6, 1024, 0.97
 #: Rows of a part of a table at most, which one task searches at a time, and parts to aim at where that makes them smaller.
-PART, PARTS = 8192, 64
+PART, PARTS = 8192, 24
 #: Queries that are scored together.
 RUN = 256
 #: Vectors that the fit takes: those of the smallest hashes of vec_id.
@@ -138,11 +138,10 @@ class Hashes:
         return (((centre - self.mean[at]) / self.spread[at]) ** 2).sum(axis=-1) / 2
 
     def success(self, slots: np.ndarray, middle: np.ndarray, noise: np.ndarray, table: int) -> np.ndarray:
-        """How much likelier each bucket (columns) is to hold a neighbour of each query (rows) than rows in general: a logarithm, which orders the buckets."""
+        """By the table's part of the queries' middles: how much likelier each bucket (columns) is to hold a neighbour of each query (rows) than rows in general: a logarithm, which orders the buckets."""
         at = self.of(table)
         centre = (slots + 0.5) * WIDTH - self.b[at]
-        m = middle[:, at]
-        far = (m * m).sum(axis=1)[:, None] - 2 * m.astype(np.float32) @ centre.T.astype(np.float32) + (centre * centre).sum(axis=1)
+        far = (middle * middle).sum(axis=1)[:, None] - 2 * middle.astype(np.float32) @ centre.T.astype(np.float32) + (centre * centre).sum(axis=1)
         return self.usual(centre, at)[None, :] - far / (2 * noise[:, None] ** 2)
 
 
@@ -303,15 +302,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 q = matrix(rows[at : at + RUN], made.dims)
                 middle, noise, least = sent.value.neighbours(ids[at : at + RUN], q)
                 for t in range(TABLES):
-                    for r, own in enumerate(ids[at : at + RUN].tolist()):
+                    sent_to: list[tuple[np.ndarray, list[bytes]]] = []
+                    for r in range(len(q)):
                         wanted = made.probes(middle[r], noise[r], t)
                         many = np.array([large.get(b, 1) for b in wanted.tolist()])
                         wanted, piece = np.repeat(wanted, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                         part = part_of(t, wanted, piece)
                         order = np.argsort(part, kind="stable")
                         cuts = np.flatnonzero(np.diff(part[order])) + 1
-                        groups = [np.unique(g).tobytes() for g in np.split(wanted[order], cuts)]
-                        yield pd.DataFrame({"part": part[order][np.append(0, cuts)], "asks": True, "vec_id": own, "vector": q[r].tobytes(), "cells": groups, "middle": middle[r].astype(np.float32).tobytes(), "noise": noise[r], "least": least[r, t]})
+                        sent_to.append((part[order][np.append(0, cuts)], [np.unique(g).tobytes() for g in np.split(wanted[order], cuts)]))
+                    r = np.repeat(np.arange(len(q)), [len(x) for x, _ in sent_to])
+                    vector, own_middle = [x.tobytes() for x in q], [x.astype(np.float32).tobytes() for x in middle[:, made.of(t)]]
+                    yield pd.DataFrame(
+                        {
+                            "part": np.concatenate([x for x, _ in sent_to]), "asks": True, "vec_id": ids[at : at + RUN][r], "vector": [vector[i] for i in r], "cells": [c for _, x in sent_to for c in x],
+                            "middle": [own_middle[i] for i in r], "noise": noise[r], "least": least[r, t],
+                        }
+                    )
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows, searched = None, [], None
@@ -330,6 +337,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     kind = "part int, asks boolean, vec_id long, vector binary, cells binary, middle binary, noise double, least double"
     one = F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))
     chosen = vectors.where(F.col("vec_id") % every == 0).withColumn("__n", one).where("__n = 1").drop("__n")
+    chosen = chosen.repartition(max(1, -(-n // (every * RUN))), "vec_id")  # finding a query's buckets takes longer than reading it
     both = tables.mapInPandas(dealt, kind).unionByName(chosen.mapInPandas(ask, kind))
     best = both.repartition("part").sortWithinPartitions("part", "asks").mapInPandas(answer, "query_id long, vec_id long, score double, candidates long")
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("candidates").alias("candidates"))
