@@ -319,16 +319,17 @@ class Attention:
         w = self.w
         e = np.take(w["embed"], x, axis=0)
         e += w["place"]
-        r0 = e[:, CONTEXT:]
-        q = r0 @ (w["q"] / np.float32(math.sqrt(SIZE)))
-        k, v = e @ w["k"], e @ w["v"]
+        r0 = e[:, CONTEXT:].reshape(-1, SIZE)
+        q = (r0 @ (w["q"] / np.float32(math.sqrt(SIZE)))).reshape(len(x), STEP, SIZE)
+        k, v = ((e.reshape(-1, SIZE) @ w[i]).reshape(e.shape) for i in ("k", "v"))
         a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         np.clip(a, -FAR, FAR, out=a)
         np.exp(a, out=a)
         a *= _SEEN
         a /= (a.reshape(-1, WINDOW) @ _ONES).reshape(len(x), STEP, 1)
         o = a @ v
-        z = (r0 + o @ w["o"]).reshape(-1, SIZE)
+        z = o.reshape(-1, SIZE) @ w["o"]
+        z += r0
         t = y.reshape(-1)
         known = np.maximum(t, 0)
         before = x[:, CONTEXT:].reshape(-1)
@@ -358,33 +359,35 @@ class Attention:
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.w
         e, q, k, v, a, o, z, levels, t, _ = self.forward(x, y)
+        n = np.float32(max(1, (t >= 0).sum()))
         d = np.empty((len(t), 2 * BRANCH), np.float32)
         for level, (p, total, own) in enumerate(levels):
-            p /= total[:, None]
-            p.reshape(-1)[own] -= 1
-            d[:, level * BRANCH : (level + 1) * BRANCH] = p
-        d *= ((t >= 0) / np.float32(max(1, (t >= 0).sum()))).astype(np.float32)[:, None]
+            p.reshape(-1)[own] -= total
+            np.divide(p, (total * n)[:, None], out=d[:, level * BRANCH : (level + 1) * BRANCH])
+        d[t < 0] = 0
         g = {"u": z.T @ d}
         dz = d @ w["u"].T
         g["o"] = o.reshape(-1, SIZE).T @ dz
         do = (dz @ w["o"].T).reshape(o.shape)
         da = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
-        at = np.ascontiguousarray(a.transpose(0, 2, 1))
-        dv = at @ do
+        dkv = np.empty((*v.shape[:2], 2 * SIZE), np.float32)
+        np.matmul(a.transpose(0, 2, 1), do, out=dkv[:, :, SIZE:])
         da -= ((o * do).reshape(-1, SIZE) @ _ONES[:SIZE]).reshape(len(x), STEP, 1)  # the sum over da * a
         da *= a
-        dq, dk = da @ k, np.ascontiguousarray(da.transpose(0, 2, 1)) @ q
-        flat_e = e.reshape(-1, SIZE)
+        dq = (da @ k).reshape(-1, SIZE)
+        np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :SIZE])
+        dkv = dkv.reshape(-1, 2 * SIZE)
         r0 = e[:, CONTEXT:].reshape(-1, SIZE)
         scale = np.float32(1 / math.sqrt(SIZE))
-        dk, dv = dk.reshape(-1, SIZE), dv.reshape(-1, SIZE)
-        g["q"] = r0.T @ dq.reshape(-1, SIZE) * scale
-        g["k"], g["v"] = flat_e.T @ dk, flat_e.T @ dv
-        de = (dk @ w["k"].T + dv @ w["v"].T).reshape(e.shape)
-        de[:, CONTEXT:] += dz.reshape(o.shape) + dq @ (w["q"] * scale).T
-        g["place"] = de.sum(axis=0)
-        ids, each = x.reshape(-1), de.reshape(-1, SIZE)
-        g["embed"] = np.stack([np.bincount(ids, each[:, c], SUBWORDS + 1) for c in range(SIZE)], axis=1).astype(np.float32)
+        g["q"] = r0.T @ dq * scale
+        both = e.reshape(-1, SIZE).T @ dkv
+        g["k"], g["v"] = both[:, :SIZE], both[:, SIZE:]
+        de = (dkv @ np.concatenate((w["k"], w["v"]), axis=1).T).reshape(e.shape)
+        dz += dq @ (w["q"] * scale).T
+        de[:, CONTEXT:] += dz.reshape(o.shape)
+        g["place"] = (_ONES[:1].repeat(len(x)) @ de.reshape(len(x), -1)).reshape(WINDOW, SIZE)
+        cells = (x.reshape(-1, 1).astype(np.int64) * SIZE + np.arange(SIZE)).reshape(-1)  # one count over all columns
+        g["embed"] = np.bincount(cells, de.reshape(-1), (SUBWORDS + 1) * SIZE).astype(np.float32).reshape(-1, SIZE)
         return g
 
     def train(self, runs: Iterable[tuple[np.ndarray, np.ndarray]], expected: int, rate: float, seed: int) -> int:
@@ -405,10 +408,21 @@ class Attention:
                     step += 1
                     some = order[at : at + BATCH]
                     now = rate * (1 - 0.9 * min(1.0, step / steps))
+                    # both means are kept undivided by their warming up, which is part of the rate and of the least divisor
+                    level = math.sqrt(1 - 0.99**step)
+                    own, least = np.float32(now * level / (1 - 0.9**step)), np.float32(1e-8 * level)
                     for k, g in self.gradients(x[some], y[some]).items():
-                        m[k] += 0.1 * (g - m[k])
-                        v[k] += 0.01 * (g * g - v[k])
-                        self.w[k] -= np.float32(now) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + np.float32(1e-8))
+                        m[k] *= np.float32(0.9)
+                        m[k] += np.float32(0.1) * g
+                        g *= g
+                        g *= np.float32(0.01)
+                        v[k] *= np.float32(0.99)
+                        v[k] += g
+                        np.sqrt(v[k], out=g)
+                        g += least
+                        np.divide(m[k], g, out=g)
+                        g *= own
+                        self.w[k] -= g
                 again = True
             seen += len(x)
         return seen
