@@ -81,7 +81,9 @@ def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET
     Rows are dealt to a bucket's batches in order of a hash of doc_id and text. Null texts are
     empty; null and repeated ids are rows like others.
     """
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("length"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("__h"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    key = F.conv(F.substring(F.md5(named.cast("binary")), 1, 10), 16, 10).cast("long")  # the same in any engine that has md5
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("length"), key.alias("__h"))
     rows = rows.withColumn("__cell", (F.col("__h") % CELLS).cast("int"))
     return pack(rows, "__cell", ["__h", "doc_id"], buckets, budget, bounded=True).select("doc_id", "length", "bucket", "padded", "batch", "place")
 
@@ -92,5 +94,26 @@ def pack_in_order(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET)
     return pack(rows, "__file", ["__row"], buckets, budget).select("doc_id", "length", "bucket", "padded", "batch", "place")
 
 
+#: The same in SQL: every layer of the dynamic programming is a step of a recursive query over all different lengths.
+OP9_SQL = rf"""WITH RECURSIVE
+given AS (SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1)::BIGINT AS length, ('0x' || md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, '')))[:10])::BIGINT AS h FROM documents),
+lengths AS (SELECT length, row_number() OVER (ORDER BY length) - 1 AS j, (sum(count(*)) OVER (ORDER BY length))::BIGINT AS upto FROM given GROUP BY length),
+ways AS (
+    SELECT 1 AS k, j, length * upto AS cost, -1::BIGINT AS i, upto FROM lengths
+    UNION ALL SELECT k, j, b.cost, b.i, upto FROM (
+        SELECT w.k + 1 AS k, q.j, q.upto, min(CASE WHEN w.j = q.j THEN {{'cost': w.cost, 'i': -1::BIGINT}} ELSE {{'cost': w.cost + q.length * (q.upto - w.upto), 'i': w.j}} END) AS b
+        FROM lengths q JOIN ways w ON w.j <= q.j WHERE w.k < {BUCKETS} GROUP BY w.k, q.j, q.upto
+    )
+),
+back AS (
+    SELECT {BUCKETS} AS k, max(j) AS j FROM lengths
+    UNION ALL SELECT b.k - 1, CASE WHEN w.i >= 0 THEN w.i ELSE w.j END FROM back b JOIN ways w ON w.k = b.k AND w.j = b.j WHERE b.k > 1
+),
+ends AS (SELECT length AS padded, (row_number() OVER (ORDER BY length) - 1)::INTEGER AS bucket FROM lengths WHERE j IN (SELECT j FROM back)),
+held AS (SELECT * FROM given ASOF JOIN ends ON given.length <= ends.padded),
+placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h % {CELLS}, h, doc_id NULLS FIRST) - 1 AS spot, greatest(1, {BUDGET} // padded) AS most FROM held)
+SELECT doc_id, length, bucket, padded, (spot // most)::BIGINT AS batch, (spot % most)::INTEGER AS place FROM placed"""
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from quillmark.llm.attention_lm import op4_attention_lm
 from quillmark.llm.bitsliced import OP3_SQL, op3_bitsliced_topk
-from quillmark.llm.length_buckets import op9_length_buckets
+from quillmark.llm.length_buckets import OP9_SQL, op9_length_buckets
 from quillmark.llm.lsh_search import op1_lsh_search
 from quillmark.llm.ngram_join import OP2_SQL, op2_ngram_join
 from quillmark.llm.page_text import op5_page_text
 from quillmark.llm.pfair_mix import op10_pfair_mix
 from quillmark.llm.quote_threads import op6_quote_threads
 from quillmark.llm.toxicity import op8_toxicity
-from quillmark.llm.virtual_slots import op7_virtual_slots
+from quillmark.llm.virtual_slots import op7_sql, op7_virtual_slots
 
 QUERIES = {
     "op1_lsh_search": op1_lsh_search,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_length_buckets": op9_length_buckets,
     "op10_pfair_mix": op10_pfair_mix,
 }
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_bitsliced_topk": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_bitsliced_topk": OP3_SQL, "op7_virtual_slots": op7_sql(), "op9_length_buckets": OP9_SQL}

@@ -133,3 +133,24 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def op7_sql(shards: int = 8, slots: int = SLOTS) -> str:
+    """The rows of shard() in SQL, from the versions of the map that it would store. SQL has no crc32, so bytes are folded one by one."""
+    made = SlotMap.of(shards, slots)
+    version, old = made.version, made.versions[-1]
+    made.grow()
+    return f"""WITH given AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h, (('0x' || md5(coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT % {slots})::INTEGER AS virtual_slot FROM documents),
+    bytes AS (SELECT * EXCLUDE h, list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::UBIGINT) AS b FROM given),
+    summed AS (SELECT * EXCLUDE b, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, x: xor(c >> 8, ({_crc_table()}::UBIGINT[])[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM bytes),
+    placed AS (SELECT *, ({old}::INTEGER[])[virtual_slot + 1] AS shard, ({made.versions[-1]}::INTEGER[])[virtual_slot + 1] AS grown_shard, sum(size) OVER (PARTITION BY virtual_slot)::BIGINT AS slot_bytes FROM summed)
+    SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS FIRST, text_crc32) - 1 AS slot, grown_shard, virtual_slot, slot_bytes, {version}::INTEGER AS map_version FROM placed"""

@@ -9,14 +9,15 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from quillmark.llm import length_buckets, ngram_join, pfair_mix, quote_threads, virtual_slots
 from quillmark.llm.common import stored
-from quillmark.llm.queries import QUERIES
-from tests.oracle import DATA
+from quillmark.llm.queries import ORACLE_SQL, QUERIES
+from tests.oracle import DATA, duck_rows, ordered, spark_rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, slot string, shard string, block string, bucket int, n string"
 
@@ -112,6 +113,25 @@ def test_shards_equal_a_plain_count(spark):
     assert {r.doc_id: r.slot for r in found} == place
 
 
+@pytest.mark.parametrize("name", ["op7_virtual_slots", "op9_length_buckets"])
+def test_layout_equals_sql(spark, name):
+    found = spark_rows(QUERIES[name](spark, DATA))
+    assert found == duck_rows(ORACLE_SQL[name]) and len(found[1]) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["op7_virtual_slots", "op9_length_buckets"])
+@pytest.mark.parametrize("rows", [[], [*ODD, (4, "é\u2003ü\n\tx ", "a")], [(i, "w " * (i % 61), "s") for i in range(10, 300)] + ODD])
+def test_layout_of_odd_rows_equals_sql(spark, tmp_path, name, rows):
+    docs(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = spark_rows(QUERIES[name](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    done = con.execute(ORACLE_SQL[name])
+    names = sorted(d[0] for d in done.description)
+    at = [[d[0] for d in done.description].index(n) for n in names]
+    assert found == (names, ordered([tuple(r[i] for i in at) for r in done.fetchall()]))
+
+
 def test_batches(spark):
     rows = [(i, "w " * (i % 97), "s") for i in range(10, 500)] + ODD
     found = length_buckets.pack_documents(docs(spark, rows), 5, 300).collect()
