@@ -282,10 +282,11 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.plagiarism(secs, S.section_chunks(secs), corpus(spark, sf_dir))
 
 
-@query("s9_token_overlap", f"SELECT d.doc_id, {O.overlap('d.text', 'b.text')} AS overlap FROM documents d JOIN benchmark b ON b.item_id = d.doc_id")
+@query("s9_token_overlap", f"SELECT d.doc_id, {O.overlap('d.text', 'b.text')} AS overlap FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)")
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = I.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("other"))
-    return I.read(spark, sf_dir, "documents").join(b, "doc_id").select("doc_id", M.token_overlap(F.col("text"), F.col("other")).alias("overlap"))
+    b = I.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other"))
+    n = b.agg(F.max("item_id") + 1).first()[0]
+    return I.read(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % n).join(b, "item_id").select("doc_id", M.token_overlap(F.col("text"), F.col("other")).alias("overlap"))
 
 
 @query("s10_web_matches", f"WITH {O.WEB.strip()} SELECT * FROM web")
@@ -319,9 +320,13 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.trained(A.vector(I.papers(spark, sf_dir)), labels)
 
 
-@query("a5_engine", O.sql("SELECT ai_engine, count(*) AS n FROM ai GROUP BY 1", O.AI))
+_LR = "CASE WHEN quality = 0 THEN 0.875::DOUBLE ELSE 0.25::DOUBLE END"
+
+
+@query("a5_engine", O.sql(f"SELECT ai.paper_id, CASE WHEN l.doc_id IS NULL THEN ai_engine ELSE 'logistic_regression' END AS ai_engine, CASE WHEN l.doc_id IS NULL THEN ai_score ELSE {_LR} END AS ai_score FROM ai LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL) l ON l.doc_id = ai.paper_id", O.AI))
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.detect(I.papers(spark, sf_dir)).groupBy("ai_engine").agg(F.count(F.lit(1)).alias("n"))
+    lr = I.read(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("paper_id"), F.when(F.col("quality") == 0, 0.875).otherwise(0.25).alias("lr_score"))
+    return A.detect(I.papers(spark, sf_dir), lr).select("paper_id", "ai_engine", "ai_score")
 
 
 @query("a6_banding", O.sql("SELECT paper_id, ai_probability, ai_confidence, ai_explanation FROM ai", O.AI))
@@ -364,6 +369,17 @@ def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.retracted(found, works, I.retractions(spark, sf_dir))
 
 
+_NOTICES = (("correction", "Correction", 1), ("retraction", "Withdrawn by the editor", 2), ("new_version", "Retracted article", 3))
+
+
+@query("c5_notices", O.sql("SELECT doi, year % 4 IN (1, 2) AS withdrawn, CASE year % 4 WHEN 1 THEN 'Withdrawn by the editor' WHEN 2 THEN 'Retracted article' END AS notice_reason, CASE year % 4 WHEN 1 THEN (year + 2)::VARCHAR WHEN 2 THEN (year + 3)::VARCHAR END AS notice_date FROM works", O.WORKS_SQL))
+def c5n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = [F.struct(F.lit(t).alias("type"), F.lit(label).alias("label"), (F.col("year") + n).alias("year")) for t, label, n in _NOTICES]
+    m = F.col("year") % 4
+    update_to = F.when(m == 0, F.array(note[0])).when(m == 1, F.array(note[0], note[1], note[2])).when(m == 2, F.array(note[2]))
+    return C.noticed(I.works(spark, sf_dir).drop("withdrawn").withColumn("update_to", update_to)).select("doi", "withdrawn", "notice_reason", "notice_date")
+
+
 @query("c6_contamination", O.sql("SELECT * FROM contamination", *_CHECKED, O.RETRACTED, O.CONTAMINATION))
 def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.contamination(c5(spark, sf_dir), I.papers(spark, sf_dir))
@@ -608,13 +624,15 @@ def st1a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "st2_task_status",
-    """WITH e AS (SELECT user_id AS task_id, ts, CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' WHEN 3 THEN 'read' ELSE 'error' END AS kind FROM events),
+    """WITH e AS (SELECT user_id AS task_id, ts, CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' WHEN 3 THEN 'read' ELSE 'error' END AS kind FROM events WHERE ts <= '2024-01-15 12:00:00'),
     s AS (SELECT task_id, max(ts) FILTER (kind <> 'read') AS since, min(ts) FILTER (kind = 'read') AS read FROM e GROUP BY task_id),
     k AS (SELECT s.task_id, s.since, s.read, max(e.kind) AS state FROM s JOIN e ON e.task_id = s.task_id AND e.ts = s.since AND e.kind <> 'read' GROUP BY ALL)
-    SELECT state, count(*) AS n FROM k GROUP BY state""",
+    SELECT state, found, count(*) AS n FROM (
+        SELECT state, state IN ('queued', 'processing') OR (epoch(date_trunc('second', since)) >= epoch(TIMESTAMP '2024-01-15 12:00:00') - 600 AND (read IS NULL OR read < since OR epoch(date_trunc('second', read)) >= epoch(TIMESTAMP '2024-01-15 12:00:00') - 60)) AS found FROM k
+    ) GROUP BY state, found""",
 )
 def st2(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("event_id") % 5
     kind = F.when(m == 0, "queued").when(m == 1, "processing").when(m == 2, "done").when(m == 3, "read").otherwise("error")
     events = I.read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
-    return tasks.status(events, "2100-01-01 00:00:00").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return tasks.status(events, "2024-01-15 12:00:00").groupBy("state", "found").agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Seconds that a finished task is kept, and after it was first read.
 KEPT, READ = 600, 60
@@ -23,6 +27,29 @@ def status(events: DataFrame, now: object) -> DataFrame:
     return per.where("s is not null").select("task_id", F.col("s.kind").alias("state"), F.col("s.ts").alias("since"), (~finished | fresh).alias("found"))
 
 
-def latest(events: DataFrame) -> DataFrame:
-    """The last event of each task."""
-    return events.withColumn("__n", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("ts")))).where("__n = 1").drop("__n")
+def status_stream(events: DataFrame) -> DataFrame:
+    """(task_id, state, since, read): a task's state after each batch that has events of it, by task_id; in update mode.
+
+    Events may come in any order. A task's state is kept while it is unfinished; once finished it goes KEPT seconds
+    of processing time after its last event, or READ seconds if that was read. Equal times go to the greater kind, as in status().
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, kind, read = state.get if state.exists else (None, None, None)
+        for pdf in batches:
+            for t, k in zip(pdf["ts"], pdf["kind"], strict=True):
+                if k == "read":
+                    read = t if read is None else min(read, t)
+                elif since is None or (t, k) > (since, kind):
+                    since, kind = t, k
+        state.update((since, kind, read))
+        if kind in ("done", "error"):
+            state.setTimeoutDuration(1000 * (KEPT if read is None or read < since else READ))
+        if kind is not None:
+            yield pd.DataFrame({"task_id": [key[0]], "state": [kind], "since": [since], "read": pd.Series([read], dtype="datetime64[ns]")})
+
+    rows = events.select("task_id", F.col("ts").cast("timestamp").alias("ts"), "kind").where("task_id is not null and ts is not null and kind is not null")
+    return rows.groupBy("task_id").applyInPandasWithState(update, "task_id long, state string, since timestamp, read timestamp", "since timestamp, kind string, read timestamp", "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import json
 import zipfile
 
 import pytest
@@ -190,6 +191,36 @@ def test_task_status(spark):
     assert found == {1: ("queued", True), 2: ("done", False), 3: ("done", True), 4: ("error", True)}
 
 
+def test_task_states_of_a_stream_equal_the_batch(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    e = [(1, t, "queued"), (2, t, "done"), (2, t + dt.timedelta(seconds=10), "read"), (3, t, "queued"), (4, t, "error"), (5, t, "read"), (None, t, "done")]
+    later = [(1, t - dt.timedelta(seconds=5), "processing"), (3, t + dt.timedelta(seconds=1), "processing"), (3, t + dt.timedelta(seconds=1), "done")]
+    schema = "task_id long, ts timestamp, kind string"
+    found = {}
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches go on for the timeouts
+    for some in (e, later):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        write = lambda b, _: b.write.mode("append").parquet(str(tmp_path / "out"))
+        tasks.status_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    want = {r.task_id: (r.state, r.since) for r in tasks.status(spark.createDataFrame(e + later, schema), t + dt.timedelta(days=1)).collect() if r.task_id}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: (r.since, r.state)):  # a task's last row counts
+        found[r.task_id] = (r.state, r.since)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert found == want
+
+
+def test_notices_withdraw_by_type_or_label(spark):
+    rows = [("a", [("correction", "Correction", 1), (None, "RETRACTED: x", 2001)]), ("b", [("retraction", None, None)]), ("c", [("update", "Not retracted", 3)]), ("d", None), ("e", [])]
+    works = citations.noticed(spark.createDataFrame(rows, "doi string, update_to array<struct<type string, label string, year int>>"))
+    assert {tuple(r) for r in works.collect()} == {("a", True, "RETRACTED: x", "2001"), ("b", True, None, None), ("c", False, None, None), ("d", False, None, None), ("e", False, None, None)}
+    checked = works.select(F.lit(1).alias("paper_id"), "doi", F.lit(True).alias("valid"))
+    listed = spark.createDataFrame([("c", "1999", "Data", "Retraction")], "doi string, retraction_date string, reason string, notice_type string")
+    found = {r.doi: tuple(r)[2:] for r in citations.retracted(checked, works, listed).collect()}
+    assert found["a"] == (True, "2001", "RETRACTED: x", "retraction") and found["b"] == (True, None, "registry notice", "retraction")
+    assert found["c"] == (True, "1999", "Data", "Retraction") and found["d"][0] is False
+
+
 def inputs(spark):
     body = " ".join(f"Sentence {i} of the paper tells about measure{i} and sample{i} in plain words." for i in range(12))
     rows = [(i, f"{i}.txt", f"Abstract\nOwn words {i}. {body}\nReferences\n[1] A. doi: 10.1000/aa\n[2] B. doi: 10.1000/bb\n") for i in (1, 2)] + [(3, "3.txt", "too short")]
@@ -218,6 +249,9 @@ def test_a_result_lists_its_evidence(spark):
     assert set(rows) == {1, 2} and rows[1].n_matches == len(rows[1].matches) > 0 and rows[1].matches[0].title == rows[1].top_title
     assert [x.doi for x in rows[1].retractions] == [x.doi for x in rows[2].retractions] and rows[1].retractions[0].doi == "10.1000/aa"
     assert [x.url for x in rows[1].web_matches] == ["http://x"] and rows[2].web_matches == []
+    whole = analyze(found, corpus, works, retractions, searched=searched, held=held)
+    exported = {r.paper_id: json.loads(r.json) for r in serving.json_rows(whole).collect()}
+    assert set(exported[1]) == set(whole.columns) and exported[1]["verdict"] == rows[1].verdict and len(exported[1]["matches"]) == rows[1].n_matches and exported[2]["web_matches"] == []
     for df in held:
         df.unpersist()
 
