@@ -11,7 +11,9 @@ from quillmark.llm.page_text import op5_page_text
 from quillmark.llm.pfair_mix import op10_pfair_mix
 from quillmark.llm.quote_threads import op6_quote_threads
 from quillmark.llm.toxicity import op8_toxicity
+from quillmark.llm.turn_repair import op12_turn_repair
 from quillmark.llm.virtual_slots import op7_sql, op7_virtual_slots
+from quillmark.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_lsh_search": op1_lsh_search,
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_length_buckets": op9_length_buckets,
     "op10_pfair_mix": op10_pfair_mix,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_bitsliced_topk": OP3_SQL, "op7_virtual_slots": op7_sql(), "op9_length_buckets": OP9_SQL}
