@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillmark.llm.attention_lm import op4_attention_lm
 from quillmark.llm.bitsliced import OP3_SQL, op3_bitsliced_topk
 from quillmark.llm.length_buckets import OP9_SQL, op9_length_buckets
+from quillmark.llm.license_scan import op11_license_scan, op11_sql
 from quillmark.llm.lsh_search import op1_lsh_search
 from quillmark.llm.ngram_join import OP2_SQL, op2_ngram_join
 from quillmark.llm.page_text import op5_page_text
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_length_buckets": op9_length_buckets,
     "op10_pfair_mix": op10_pfair_mix,
+    "op11_license_scan": op11_license_scan,
     "op12_turn_repair": op12_turn_repair,
     "op13_whitening": op13_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_bitsliced_topk": OP3_SQL, "op7_virtual_slots": op7_sql(), "op9_length_buckets": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_bitsliced_topk": OP3_SQL, "op7_virtual_slots": op7_sql(), "op9_length_buckets": OP9_SQL, "op11_license_scan": op11_sql()}
