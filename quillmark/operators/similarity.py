@@ -15,6 +15,8 @@ STOPWORDS = (
 ).split()
 MATCH, DUPLICATE, RATIO, LEAST_WORDS = 0.60, 0.85, 0.7, 25
 TERMS, MIN_DF, MAX_DF = 20_000, 2, 0.95
+#: Bounds of cosines are held this much lower, for rounding.
+SLACK = 1e-6
 WEB_STOPWORDS = "the and or that this with from have been are was were also into more".split()
 WEB_LEAST, WEB_SEGMENTS, WEB_MATCHES = 25, 5, 15
 
@@ -40,23 +42,78 @@ def fit(corpus: DataFrame) -> DataFrame:
 
 
 def weighed(rows: DataFrame, ids: list[str], idf: DataFrame) -> DataFrame:
-    """(*ids, term, weight): (1 + ln tf) * idf, each text's weights of length 1. idf has TERMS rows at most, so it is sent everywhere."""
+    """(*ids, term, weight): (1 + ln tf) * idf, each text's weights of length 1. idf has TERMS rows at most, so it is sent everywhere; its other columns stay."""
+    more = [c for c in idf.columns if c not in ("term", "idf")]
     # terms that the corpus doesn't know go before anything is shuffled
     known = rows.select(*ids, F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(idf), "term")
-    raw = known.groupBy(*ids, "term", "idf").agg(F.count(F.lit(1)).alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    return raw.select(*ids, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))).alias("weight"))
+    raw = known.groupBy(*ids, "term", "idf", *more).agg(F.count(F.lit(1)).alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    return raw.select(*ids, "term", *more, (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))).alias("weight"))
 
 
-def best_match(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(paper_id, idx, pos, item_id, title, corpus, score): each chunk's best corpus text, if it is MATCH or more. Ties go to the smaller item_id."""
+def placed(weights: DataFrame, idf: DataFrame) -> DataFrame:
+    """(term, idf, most, at): idf with the largest weight that a term has in any text of the corpus, and its place in the order of those."""
+    most = weights.groupBy("term").agg(F.max("weight").alias("most")).join(F.broadcast(idf), "term")
+    return most.select("term", "idf", "most", F.row_number().over(Window.orderBy(F.desc("most"), "term")).alias("at"))  # TERMS rows at most
+
+
+def indexed(weights: DataFrame, ids: list[str], against_corpus: bool, least: float = MATCH) -> DataFrame:
+    """(*ids, at, weight, behind, sum_behind, vector): the terms by which a text must be looked up to find all texts whose cosine with it is `least` or more.
+
+    A text's terms are put in the order of their largest corpus weight, the same order for all
+    texts. Terms at its end are left out while all of them together can't reach `least`: they can
+    give no more than their length, as the other text's is 1, nor, against texts of the corpus, more
+    than they give with the largest corpus weights. So two texts that are near enough meet in the
+    first term that they share. behind is the length of what follows a term, sum_behind what that
+    gives at most with the largest weights, and vector the whole text: (at, weight) in order.
+    """
+    per = Window.partitionBy(*ids)
+    rows = per.orderBy(F.desc("at"))
+    with_own, after = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow), rows.rowsBetween(Window.unboundedPreceding, -1)
+    square, most, zero = F.col("weight") * F.col("weight"), F.col("weight") * F.col("most"), F.lit(0.0)
+    reach = F.sqrt(F.sum(square).over(with_own))
+    if against_corpus:
+        reach = F.least(reach, F.sum(most).over(with_own))
+    marked = weights.select(*ids, "at", "weight", reach.alias("reach"), F.sqrt(F.coalesce(F.sum(square).over(after), zero)).alias("behind"), F.coalesce(F.sum(most).over(after), zero).alias("sum_behind"), F.sort_array(F.collect_list(F.struct("at", "weight")).over(per)).alias("vector"))
+    return marked.where(F.col("reach") >= least - SLACK).drop("reach")
+
+
+def met(chunks: DataFrame, corpus: DataFrame, least: float = MATCH) -> DataFrame:
+    """(key, item_id, u, v) of weights (key, at, most, weight) and (item_id, at, most, weight): vectors of the pairs that can be `least` alike, once for each indexed term that they share.
+
+    If a term is the first that a pair shares, its cosine is what this term gives and at most the
+    product of the two lengths behind it; rows that can't be such a first term are left out.
+    """
+    a = indexed(chunks, ["key"], True, least).withColumnRenamed("vector", "u")
+    b = indexed(corpus, ["item_id"], False, least).select("item_id", "at", F.col("weight").alias("other"), F.col("behind").alias("after"), F.map_from_entries("vector").alias("v"))
+    bound = F.col("weight") * F.col("other") + F.least(F.col("behind") * F.col("after"), F.col("sum_behind"))
+    return a.join(b, "at").where(bound >= least - SLACK).select("key", "item_id", "u", "v")
+
+
+def weights_of(chunks: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights of all different chunk texts, by key (their md5), and of all different corpus texts, by the smallest item_id."""
     idf = fit(corpus)
-    own = weighed(chunks.withColumnRenamed("chunk", "text"), ["paper_id", "idx", "pos"], idf)
-    other = weighed(corpus, ["item_id"], idf).withColumnRenamed("weight", "other")
-    score = own.join(other, "term").groupBy("paper_id", "idx", "pos", "item_id").agg(F.sum(F.col("weight") * F.col("other")).alias("score"))
+    once = corpus.groupBy("text").agg(F.min("item_id").alias("item_id"))  # equal texts are ties, which go to the smallest
+    other = weighed(once, ["item_id"], idf)
+    known = placed(other, idf)
+    texts = chunks.groupBy(F.md5(F.col("chunk").cast("binary")).alias("key")).agg(F.any_value("chunk").alias("text"))
+    return weighed(texts, ["key"], known), other.join(F.broadcast(known.drop("idf")), "term")
+
+
+def best_match(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(paper_id, idx, pos, item_id, title, corpus, score): each chunk's best corpus text, if it is MATCH or more. Ties go to the smaller item_id.
+
+    Exact, without meeting every text that shares a term: pairs are those that meet in an indexed
+    term, which carries both whole vectors, so a pair is scored where it is found and no pair below
+    MATCH is shuffled. A text that stands often is looked up once.
+    """
+    own, other = weights_of(chunks, corpus)
+    dot = F.aggregate("u", F.lit(0.0), lambda sum, x: sum + x["weight"] * F.coalesce(F.col("v")[x["at"]], F.lit(0.0)))
+    found = met(own, other).select("key", "item_id", dot.alias("score")).where(F.round("score", 9) >= MATCH)
     # equal but for the last bits are ties
-    best = score.groupBy("paper_id", "idx", "pos").agg(F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("item_id")).alias("i"), "score")).alias("b"))
-    hit = best.select("paper_id", "idx", "pos", (-F.col("b.i")).alias("item_id"), F.col("b.score").alias("score")).where(F.col("b.r") >= MATCH)
-    return hit.join(corpus.select("item_id", "title", "corpus"), "item_id").select("paper_id", "idx", "pos", "item_id", "title", "corpus", "score")
+    best = found.groupBy("key").agg(F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("item_id")).alias("i"), "score")).alias("b"))
+    named = best.select("key", (-F.col("b.i")).alias("item_id"), F.col("b.score").alias("score")).join(corpus.select("item_id", "title", "corpus"), "item_id")
+    places = chunks.select("paper_id", "idx", "pos", F.md5(F.col("chunk").cast("binary")).alias("key"))
+    return places.join(named, "key").select("paper_id", "idx", "pos", "item_id", "title", "corpus", "score")
 
 
 def matches(hits: DataFrame, chunks: DataFrame, most: int = 6) -> DataFrame:
