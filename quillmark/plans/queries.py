@@ -622,17 +622,23 @@ def st1a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("opened", F.unix_timestamp("opened"))
 
 
+_KIND = {0: "queued", 1: "processing", 2: "done", 3: "done", 4: "error"}  # other events are reads
+_NOW = "2024-01-15 12:00:00"
+
+
 @query(
     "st2_task_status",
-    """WITH e AS (SELECT user_id AS task_id, ts, CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' WHEN 3 THEN 'read' ELSE 'error' END AS kind FROM events WHERE ts <= '2024-01-15 12:00:00'),
-    s AS (SELECT task_id, max(ts) FILTER (kind <> 'read') AS since, min(ts) FILTER (kind = 'read') AS read FROM e GROUP BY task_id),
-    k AS (SELECT s.task_id, s.since, s.read, max(e.kind) AS state FROM s JOIN e ON e.task_id = s.task_id AND e.ts = s.since AND e.kind <> 'read' GROUP BY ALL)
-    SELECT state, found, count(*) AS n FROM (
-        SELECT state, state IN ('queued', 'processing') OR (epoch(date_trunc('second', since)) >= epoch(TIMESTAMP '2024-01-15 12:00:00') - 600 AND (read IS NULL OR read < since OR epoch(date_trunc('second', read)) >= epoch(TIMESTAMP '2024-01-15 12:00:00') - 60)) AS found FROM k
-    ) GROUP BY state, found""",
+    f"""WITH e AS (SELECT user_id AS task_id, epoch(TIMESTAMP '{_NOW}') - (event_id * 7919) % 1500 AS moment, CASE event_id % 40 {" ".join(f"WHEN {m} THEN '{k}'" for m, k in _KIND.items())} ELSE 'read' END AS kind FROM events),
+    s AS (SELECT task_id, max(moment) AS since, arg_max(kind, (moment, kind)) AS state FROM e WHERE kind <> 'read' GROUP BY task_id),
+    r AS (SELECT s.task_id, since, moment, coalesce(lag(moment) OVER (PARTITION BY s.task_id ORDER BY moment) + 60, since + 600) AS stands FROM s JOIN e USING (task_id) WHERE state = 'done' AND kind = 'read' AND moment >= since),
+    x AS (SELECT task_id, coalesce(min(stands) FILTER (moment > stands), max(moment) + 60) AS ends FROM r GROUP BY task_id),
+    y AS (SELECT s.*, CASE WHEN state = 'error' THEN since + 600 WHEN state = 'done' THEN coalesce(ends, since + 600) END AS ends FROM s LEFT JOIN x USING (task_id))
+    SELECT task_id, state, since::BIGINT AS since, ends::BIGINT AS expires, coalesce(epoch(TIMESTAMP '{_NOW}') <= ends, true) AS found FROM y""",
 )
 def st2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("event_id") % 5
-    kind = F.when(m == 0, "queued").when(m == 1, "processing").when(m == 2, "done").when(m == 3, "read").otherwise("error")
-    events = I.read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
-    return tasks.status(events, "2024-01-15 12:00:00").groupBy("state", "found").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.lit("read")
+    for m, k in _KIND.items():
+        kind = F.when(F.col("event_id") % 40 == m, k).otherwise(kind)
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit(_NOW).cast("timestamp")) - F.col("event_id") * 7919 % 1500)
+    events = I.read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), at.alias("ts"), kind.alias("kind"))
+    return tasks.status(events, _NOW).withColumns({c: F.unix_timestamp(c) for c in ("since", "expires")})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import citations, numeric, provenance, scoring, sections, serving, similarity, stylometry, writing
 from quillmark.plans.analyze import analyze, score_stream
 from quillmark.sources import papers
-from quillmark.streaming import rate_limit, tasks
+from quillmark.streaming import rate_limit
 
 PAPER = """A title of a paper
 
@@ -183,33 +183,6 @@ def test_rate_limit_of_a_stream_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("limited").collect())) == want
 
 
-def test_task_status(spark):
-    t = dt.datetime(2024, 1, 1)
-    e = [(1, t, "queued"), (2, t, "done"), (2, t + dt.timedelta(seconds=10), "read"), (3, t, "done"), (4, t, "error")]
-    events = spark.createDataFrame(e, "task_id long, ts timestamp, kind string")
-    found = {r.task_id: (r.state, r.found) for r in tasks.status(events, t + dt.timedelta(seconds=120)).collect()}
-    assert found == {1: ("queued", True), 2: ("done", False), 3: ("done", True), 4: ("error", True)}
-
-
-def test_task_states_of_a_stream_equal_the_batch(spark, tmp_path):
-    t = dt.datetime(2024, 1, 1)
-    e = [(1, t, "queued"), (2, t, "done"), (2, t + dt.timedelta(seconds=10), "read"), (3, t, "queued"), (4, t, "error"), (5, t, "read"), (None, t, "done")]
-    later = [(1, t - dt.timedelta(seconds=5), "processing"), (3, t + dt.timedelta(seconds=1), "processing"), (3, t + dt.timedelta(seconds=1), "done")]
-    schema = "task_id long, ts timestamp, kind string"
-    found = {}
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches go on for the timeouts
-    for some in (e, later):
-        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        write = lambda b, _: b.write.mode("append").parquet(str(tmp_path / "out"))
-        tasks.status_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
-    want = {r.task_id: (r.state, r.since) for r in tasks.status(spark.createDataFrame(e + later, schema), t + dt.timedelta(days=1)).collect() if r.task_id}
-    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: (r.since, r.state)):  # a task's last row counts
-        found[r.task_id] = (r.state, r.since)
-    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
-    assert found == want
-
-
 def test_notices_withdraw_by_type_or_label(spark):
     rows = [("a", [("correction", "Correction", 1), (None, "RETRACTED: x", 2001)]), ("b", [("retraction", None, None)]), ("c", [("update", "Not retracted", 3)]), ("d", None), ("e", [])]
     works = citations.noticed(spark.createDataFrame(rows, "doi string, update_to array<struct<type string, label string, year int>>"))
