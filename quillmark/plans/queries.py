@@ -19,6 +19,7 @@ from quillmark.operators import writing as W
 from quillmark.plans import analyze as P
 from quillmark.plans import oracle as O
 from quillmark.sources import papers as I
+from quillmark.sources.store import ResultStore, shared_path
 from quillmark.streaming import rate_limit, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,15 +526,38 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_of_content(I.papers(spark, sf_dir))
 
 
-@query("f7_history", "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
+def result_store(spark: SparkSession, sf_dir: str) -> ResultStore:
+    """A store of the papers' contents, in three batches: all of them pending, most of them settled or failed, and half of the failed ones done."""
+    made = ResultStore(spark, shared_path(spark, "results"), buckets=8)
+    of = I.papers(spark, sf_dir).groupBy(R.content_hash(F.col("full_text")).alias("file_hash")).agg(F.min("paper_id").alias("paper_id"))
+    of = of.persist()
+    m = F.col("paper_id") % 7
+    settled = F.when(m == 0, "error").when(m == 1, "rejected").otherwise("done")
+    for k, (rows, state) in enumerate([(of, F.lit("pending")), (of.where(m != 3), settled), (of.where((m == 0) & (F.col("paper_id") % 2 == 0)), F.lit("done"))]):
+        made.upsert(rows.select("paper_id", "file_hash", state.alias("state"), F.timestamp_seconds(F.col("paper_id") + 1_000_000 * k).alias("analyzed_at")))
+    of.unpersist()
+    return made
+
+
+_STORE = """s AS (SELECT paper_id, file_hash, CASE paper_id % 7 WHEN 0 THEN CASE WHEN paper_id % 2 = 0 THEN 'done' ELSE 'error' END WHEN 1 THEN 'rejected' WHEN 3 THEN 'pending' ELSE 'done' END AS state,
+    paper_id + CASE WHEN paper_id % 7 = 3 THEN 0 WHEN paper_id % 14 = 0 THEN 2000000 ELSE 1000000 END AS analyzed_at FROM (SELECT min(paper_id) AS paper_id, sha256(full_text) AS file_hash FROM papers GROUP BY sha256(full_text)))"""
+
+
+@query("io13_result_store", O.sql("SELECT * FROM s", _STORE))
+def io13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result_store(spark, sf_dir).rows().drop("bucket").withColumn("analyzed_at", F.unix_timestamp("analyzed_at"))
+
+
+@query("f7_history", O.sql("SELECT paper_id, state, analyzed_at FROM s ORDER BY analyzed_at DESC, paper_id DESC LIMIT 25", _STORE))
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.read(spark, sf_dir, "events").select(F.col("event_id").alias("paper_id"), F.col("ts").alias("analyzed_at"), "user_id")
-    return R.history(rows).select(F.col("paper_id").alias("event_id"), F.col("analyzed_at").alias("ts"), "user_id")
+    return R.history(result_store(spark, sf_dir).rows()).select("paper_id", "state", F.unix_timestamp("analyzed_at").alias("analyzed_at"))
 
 
-@query("f8_lookup", O.sql("SELECT paper_id, filename, full_text FROM papers WHERE paper_id = 42"))
+@query("f8_lookup", O.sql("SELECT s.paper_id, filename, state FROM s JOIN papers USING (paper_id) WHERE s.paper_id = (SELECT min(paper_id) FROM s WHERE paper_id >= 42)", _STORE))
 def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.papers(spark, sf_dir).where("paper_id = 42")
+    rows = result_store(spark, sf_dir).rows()
+    wanted = rows.where("paper_id >= 42").agg(F.min("paper_id")).first()[0]
+    return rows.where(F.col("paper_id") == wanted).join(I.papers(spark, sf_dir).select("paper_id", "filename"), "paper_id").select("paper_id", "filename", "state")
 
 
 _TOPIC = """CASE WHEN contains(q, 'overall') OR contains(q, 'credibility') THEN 'overall' WHEN contains(q, 'plagiarism') OR contains(q, 'similarity') THEN 'plagiarism' WHEN contains(q, 'ai') THEN 'ai'
