@@ -27,6 +27,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written in the shared folder and read again, so that later steps don't depend on lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def strength(state: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, STATES)), state), F.lit(0))
 
