@@ -34,16 +34,25 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Tags whose class, id or role may say that they are no part of the article; the id of a heading or paragraph only repeats its words.
+#: Tags whose class, id or role may say that they are no part of the article; a paragraph's id only repeats its words.
 HOLDERS = frozenset("div section ul ol article table td".split())
-#: Whole ids, roles and classes, and last words of a class, of such parts where no article is marked.
-OTHER = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert newsletter subscribe signup "
-    "sidebar sidenav nav navbar navigation menu submenu menubar breadcrumb breadcrumbs masthead topbar footer comment comments commentlist disqus "
-    "share sharing social popup modal toolbar pagination pager login complementary contentinfo".split()
+NAMED = HOLDERS | frozenset("p li dl span figure a".split())
+# What parts of a site that are no article are called.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored promo promos promotion cookie cookies gdpr consent notice notices newsletter newsletters "
+    "subscribe subscription signup sidebar sidenav nav navbar navigation menu menus submenu menubar breadcrumb breadcrumbs masthead topbar footer comment comments commentlist respond disqus "
+    "share shares sharing sharebar addthis popup modal overlay complementary contentinfo skiplink".split()
 )
-#: Whole ids and classes of adverts and readers' comments inside a marked article, where nothing else goes by its name.
-FOREIGN = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist".split())
+#: Such names that are prose's as well: parts called so go if they hold controls, or if half of their text is links.
+WEAK = frozenset("social banner alert login toolbar pagination pager related recommended recommendations trending popular tags follow widget widgets links teaser teasers search".split())
+#: Names of adverts and readers' comments; inside a marked article only these count as ids, as authors name sections by ids.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist respond disqus sponsored".split())
+#: What is said of a part behind its name, and before it.
+BEHIND = frozenset(
+    "slot unit container wrapper wrap box block space zone frame placeholder label list thread threads form section area body bar button buttons icons tools widget notice banner popup message "
+    "inner outer holder row item items panel module region group top bottom left right header title links link signup subscription subscribe consent policy main wide small large mobile desktop".split()
+)
+BEFORE = frozenset("user users reader readers visitor site page main top bottom side left right global primary secondary article post blog story mobile desktop sticky fixed header footer wp js the google dfp social".split())
 TITLES = frozenset({"header", "banner"})
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -153,8 +162,39 @@ def digests(all_nodes: list[Node]) -> None:
         n.digest = xxhash.xxh64_intdigest("\x01".join(parts)) - (1 << 63)
 
 
+def called(name: str) -> set[str]:
+    """What a class, id or role calls its part: all its words as one, and what is left without words that say where it is or what shape it has."""
+    words = [w.lower() for w in WORD.findall(name)]
+    out = {"".join(words)}
+    while words and (words[-1] in BEHIND or words[-1].isdigit()):
+        words.pop()
+        out.add("".join(words))
+    while len(words) > 1 and words[0] in BEFORE:
+        words.pop(0)
+        out.add("".join(words))
+    return out
+
+
+def furnished(n: Node) -> bool:
+    """Whether half of a part's text, or more, is links, or it holds controls."""
+    text = linked = 0
+    stack: list[tuple[Node, bool]] = [(n, False)]
+    while stack:
+        x, link = stack.pop()
+        if x.tag in ("form", "input", "button", "select", "textarea"):
+            return True
+        link = link or x.tag == "a"
+        for y in x.inside:
+            if isinstance(y, str):
+                size = len("".join(y.split()))
+                text, linked = text + size, linked + size * link
+            else:
+                stack.append((y, link))
+    return 2 * linked >= text
+
+
 def foreign(n: Node, inside: bool) -> bool:
-    """Whether an element is no part of an article, by its tag or by its own word. inside: it stands in a marked article."""
+    """Whether an element is no part of an article, by its tag or by what it is called. inside: it stands in a marked article."""
     if n.tag in DROPPED:
         return True
     header = n.tag == "header"
@@ -162,16 +202,16 @@ def foreign(n: Node, inside: bool) -> bool:
         a = n.get()
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
             return True
-        if n.tag in HOLDERS:
-            whole = {x.lower() for k in ("class", "id", "role") for x in a.get(k, "").split()}
-            if inside or n.tag == "article":
-                if whole & FOREIGN:
-                    return True
-            else:
-                last = {w[-1].lower() for c in a.get("class", "").split() if (w := WORD.findall(c))}
-                if (whole | last) & OTHER:
-                    return True
-                header = header or bool(whole & TITLES)
+        if n.tag in NAMED:
+            names = {x for k in ("class", "role") for x in a.get(k, "").split()}
+            said = set().union(*map(called, names)) if names else set()
+            ids = set().union(*map(called, a.get("id", "").split())) if n.tag in HOLDERS and a.get("id") else set()
+            inside = inside or n.tag == "article"
+            if said & (FOREIGN if n.tag == "article" else STRONG) or ids & (FOREIGN if inside else STRONG):
+                return True
+            if (said | (set() if inside else ids)) & WEAK and n.tag != "article" and furnished(n):
+                return True
+            header = header or not inside and not TITLES.isdisjoint(x.lower() for x in (*names, *a.get("id", "").split()))
     if header:
         return not (inside and any(x.tag in HEADINGS for x in nodes(n)))
     return False
@@ -180,13 +220,11 @@ def foreign(n: Node, inside: bool) -> bool:
 def main_parts(top: Node) -> tuple[list[Node], set[int]]:
     """The elements that hold the text, in page order, and the ids of elements that aren't part of it.
 
-    All outermost articles, and all main parts without one; if neither is marked, the whole page.
+    All main parts, whole, and the outermost articles that stand in none; if neither is marked, the whole page.
     """
     out: set[int] = set()
     found: list[Node] = []
-    mains: set[int] = set()
-    holding: set[int] = set()
-    stack: list[tuple[Node, bool, Node | None]] = [(top, False, None)]
+    stack: list[tuple[Node, bool, bool]] = [(top, False, False)]
     while stack:
         n, inside, main = stack.pop()
         if n.parent is not None and foreign(n, inside):
@@ -195,16 +233,14 @@ def main_parts(top: Node) -> tuple[list[Node], set[int]]:
         if not inside:
             role = n.attributes and n.get()
             if n.tag == "article" or (role and role.get("itemprop") == "articleBody"):
-                found.append(n)
                 inside = True
-                if main:
-                    holding.add(id(main))
-            elif main is None and (n.tag == "main" or (role and role.get("role") == "main")):
+                if not main:
+                    found.append(n)
+            elif not main and (n.tag == "main" or (role and role.get("role") == "main")):
                 found.append(n)
-                mains.add(id(n))
-                main = n
+                main = True
         stack.extend((x, inside, main) for x in reversed(n.inside) if not isinstance(x, str))
-    return [n for n in found if id(n) not in holding] or [top], out
+    return found or [top], out
 
 
 def lines(page: str) -> list[tuple[str, list[int]]]:

@@ -158,7 +158,34 @@ def test_an_article_keeps_what_its_ids_and_classes_call_like_a_part_of_a_site(sp
     body = '<article><h1>T</h1><p>Intro.</p><section id="discussion"><p>A</p></section><section id="related-work"><p>B</p></section><h2 id="menu-costs">C</h2><p class="search-methods">D</p><div id="comments"><p>Nice!</div></article>'
     pages = [body, "<main><p>a</main><main><p>b</main>", "<main><p>a</main><article>b</article><article>c</article>", "<main><p>x<article>c</article></main>", '<div class="site-footer">x</div><p>y<div class="ad">z</div>']
     found = extracted(spark, [(i, f"http://h{i}.org/", p) for i, p in enumerate(pages)]).orderBy("page_id").collect()
-    assert [r.text for r in found] == ["T\nIntro.\nA\nB\nC\nD", "a\nb", "a\nb\nc", "c", "y"]
+    assert [r.text for r in found] == ["T\nIntro.\nA\nB\nC\nD", "a\nb", "a\nb\nc", "x\nc", "y"]
+
+
+PARTS_OF_A_SITE = [
+    '<section class="user-comments"><p>R</p></section>', '<div class="comment-list">R</div>', '<div id="disqus_thread">R</div>', '<div class="ad-slot">R</div>', '<div class="sponsored">R</div>', '<div class="promo">R</div>', '<div class="sidebar">R</div>',
+    '<ul class="menu"><li>R</ul>', '<div class="cookie-notice">R</div>', '<div class="newsletter">R</div>', '<div class="share">R</div>', '<div class="CommentsSection">R</div>', '<div class="ad_unit_2">R</div>', '<p class="advertisement">R</p>',
+    '<div class="social"><a href="/">R</a></div>', '<div class="related-box"><ul><li><a>R</a></ul></div>', '<div class="newsletter-signup"><input>R</div>', "<nav>R</nav>", "<aside>R</aside>", "<form>R</form>", "<footer>R</footer>",
+]
+PARTS_OF_AN_ARTICLE = ["market-share", "social", "public-notice", "film-comment", "ad-hoc", "share-price", "menu-costs", "cookie-recipe", "related", "body", "post-body", "content", "main-section", "commentary", "adagio", "navy"]
+
+
+def test_no_part_of_a_site_stays_in_an_article(spark):
+    pages = [f"<article><h1>T</h1><p>a</p>{part}<p>b</p></article>" for part in PARTS_OF_A_SITE]
+    pages += [f"<body><h1>T</h1><p>a</p>{part}<p>b</p></body>" for part in PARTS_OF_A_SITE]
+    found = extracted(spark, [(i, f"http://h{i}.org/", p) for i, p in enumerate(pages)]).collect()
+    assert [pages[r.page_id] for r in found if r.text != "T\na\nb"] == []
+
+
+def test_prose_stays_whatever_its_class_sounds_like(spark):
+    pages = [page.format(c) for c in PARTS_OF_AN_ARTICLE for page in ("<body><div class='{}'><p>Prose of the page.</p></div></body>", "<article><div class='{}'>Prose of the page.</div></article>", "<body><section id='{}'>Prose of the page.</section></body>")]
+    pages.append("<body>" + "".join(f'<div class="{c}">Prose of the page.</div>' for c in ("market-share", "social", "public-notice", "film-comment")) + "</body>")
+    found = {r.page_id: r.text for r in extracted(spark, [(i, f"http://h{i}.org/", p) for i, p in enumerate(pages)]).collect()}
+    assert [pages[i] for i, t in found.items() if t.split("\n")[0] != "Prose of the page."] == [] and found[len(pages) - 1].count("Prose") == 4
+
+
+def test_a_main_part_keeps_its_own_text_beside_its_articles(spark):
+    (r,) = extracted(spark, [(1, "http://a.org/", "<header>x</header><main><p>Lead</p><article>A</article><div class='sidebar'>S</div><article>B</article><p>Close</p></main><article>C</article>")]).collect()
+    assert r.text == "Lead\nA\nB\nClose\nC"
 
 
 def test_equal_rows_and_mirrors_are_one_page(spark):
