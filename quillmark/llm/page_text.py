@@ -63,14 +63,14 @@ ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "inside", "digest", "depth", "in_p")
+    __slots__ = ("tag", "attributes", "parent", "inside", "digest", "shape", "depth", "in_p")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.depth: int = parent.depth + 1 if parent else 0
         self.in_p: bool = tag == "p" or (parent is not None and parent.in_p)
         self.inside: list[Node | str] = []
-        self.digest = 0
+        self.digest = self.shape = 0
 
     def get(self) -> dict[str, str]:
         return {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(self.attributes)} if self.attributes else {}
@@ -149,17 +149,23 @@ def nodes(top: Node) -> list[Node]:
     return out
 
 
+def hashed(parts: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\x01".join(parts)) - (1 << 63)
+
+
 def digests(all_nodes: list[Node]) -> None:
-    """Hash each subtree: its tag, class, id, role, and what is inside, with white space made alike."""
+    """Hash each subtree: its tag, attributes, and what is inside, with white space made alike; and its shape, which has tags, classes, ids and roles alone."""
     for n in reversed(all_nodes):
         parts = [n.tag, n.attributes]
+        shape = [n.tag, *(f"{k}={v}" for k, v in sorted(n.get().items()) if k in ("class", "id", "role"))]
         for x in n.inside:
             if isinstance(x, str):
                 if x := " ".join(x.split()):
                     parts.append(x)
             else:
                 parts.append(f"\x00{x.digest:x}")
-        n.digest = xxhash.xxh64_intdigest("\x01".join(parts)) - (1 << 63)
+                shape.append(f"\x00{x.shape:x}")
+        n.digest, n.shape = hashed(parts), hashed(["\x02", *shape])
 
 
 def called(name: str) -> set[str]:
@@ -248,7 +254,8 @@ def lines(page: str) -> list[tuple[str, list[int]]]:
 
     Only blocks count, as a word in bold that recurs is part of its sentence. Inside an article a
     plain element (without class, id or role) is the author's and never template, as authors
-    repeat passages; where no article is marked, any is.
+    repeat passages; where no article is marked, any is. A named holder that is mostly links
+    counts by its shape too, as menus and adverts change their words from page to page.
     """
     top = parse(page)
     digests(nodes(top))
@@ -264,22 +271,27 @@ def lines(page: str) -> list[tuple[str, list[int]]]:
         line.clear()
 
     for r in roots:
-        stack: list[Node | str | bool] = [r]
+        stack: list[Node | str | int] = [r]
         while stack:
             n = stack.pop()
-            if isinstance(n, bool):
+            if isinstance(n, int):
                 end()
-                if n:
-                    around.pop()
+                del around[len(around) - n :]
             elif isinstance(n, str):
                 line.append(n)
             elif id(n) not in out:
                 if n.tag in BLOCK or n.tag == "#page":
                     end()
-                    counts = n is not r and n.tag not in ("html", "body", "main") and (not marked or (n.attributes != "" and not {"class", "id", "role"}.isdisjoint(n.get())))
+                    named = n.attributes != "" and not {"class", "id", "role"}.isdisjoint(n.get())
+                    counts = n is not r and n.tag not in ("html", "body", "main") and (not marked or named)
+                    added = 0
                     if counts:
                         around.append(n.digest)
-                    stack.append(counts)
+                        added = 1
+                        if named and n.tag in HOLDERS and furnished(n):
+                            around.append(n.shape)
+                            added = 2
+                    stack.append(added)
                 stack.extend(reversed(n.inside))
         end()
     return found

@@ -188,6 +188,26 @@ def test_a_main_part_keeps_its_own_text_beside_its_articles(spark):
     assert r.text == "Lead\nA\nB\nClose\nC"
 
 
+def test_recurrence_alone_finds_the_template_of_hosts_that_mark_nothing(spark):
+    rng = np.random.default_rng(9)
+    said = lambda n: " ".join(f"w{rng.integers(0, 5000)}" for _ in range(n))
+    rows, want, template = [], {}, 0
+    for i in range(240):
+        h = i % 6
+        menu = "<ul class=q1>" + "".join(f"<li><a href=/{k}>Page {h} {k}</a>" for k in range(6)) + "</ul>"  # the same on all pages of a host
+        advert = f'<div class="z{h}"><a href="/{i}">{said(6)}</a></div>'  # other words on each
+        foot = f"<div class=q9>Host {h} says so.</div>"
+        own = [said(int(rng.integers(3, 30))) for _ in range(int(rng.integers(1, 9)))]
+        body = f"<div class=q3><h1>{own[0]}</h1>" + "".join(f"<p class=k2>{p} <a href=/x{i}>more {i}</a></p>" for p in own[1:]) + "</div>"
+        rows.append((i, f"http://h{h}.org/{i}", f"<body>{menu}{body}{advert}{foot}</body>"))
+        want[i] = [own[0], *(f"{p} more {i}" for p in own[1:])]
+        template += 8
+    found = {r.page_id: r.text.split("\n") for r in extracted(spark, rows).collect()}
+    kept, own = sum(len(x) for x in found.values()), sum(map(len, want.values()))
+    right = sum(len(set(found[i]) & set(want[i])) for i in want)
+    assert right == own and kept - right <= 0.01 * template  # recall and precision of blocks
+
+
 def test_equal_rows_and_mirrors_are_one_page(spark):
     page = "<body><div><p>Own words {}</div><p>more {}</body>"
     rows = [(n, f"http://a.org/{n}", page.format(n, n)) for n in range(2, 8)] + 4 * [(1, "http://a.org/1", page.format(1, 1))]
