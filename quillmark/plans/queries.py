@@ -93,8 +93,8 @@ def io1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "io2_validate_upload",
     O.sql(
-        f"""SELECT paper_id, extension, CASE WHEN extension NOT IN ('.docx', '.pdf', '.txt') THEN 'Unsupported file type: ' || CASE WHEN extension = '' THEN '(no extension)' ELSE extension END || '. Allowed: .docx, .pdf, .txt'
-        WHEN kind <> '' AND kind <> extension THEN 'File content does not match the extension ' || extension || '. Please upload the correct file format.' WHEN kind = '' THEN 'Unable to read file: Unrecognized or unsupported file content' END AS error
+        f"""SELECT paper_id, extension, CASE WHEN extension NOT IN ('.docx', '.pdf', '.txt') THEN 'No reader for files named *' || extension || '; *.docx, *.pdf and *.txt can be read.'
+        WHEN kind <> '' AND kind <> extension THEN 'The bytes aren''t those of a ' || extension || ' file.' WHEN kind = '' THEN 'The bytes are of no known kind.' END AS error
         FROM (SELECT paper_id, {_SUFFIX} AS extension, {_SNIFF} AS kind FROM papers)"""
     ),
 )
@@ -108,10 +108,19 @@ def io5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.papers(spark, sf_dir).select("paper_id", I.decoded(F.concat(text().cast("binary"), F.lit(b"\xff\xfe"))).alias("text"))
 
 
-@query("io7_corpus", f"WITH {O.CORPUS} SELECT item_id, title, corpus, {O.n_tokens('text')}::INTEGER AS words FROM corpus WHERE {O.n_tokens('text')} >= 15")
+@query(
+    "io7_corpus",
+    f"""WITH {O.CORPUS}, l AS (SELECT *, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) + 2 * sum((item_id % 5 = 0)::INTEGER) OVER (PARTITION BY item_id % 4 ORDER BY item_id) AS line FROM corpus)
+    SELECT CASE WHEN item_id % 3 = 0 THEN title ELSE 'Entry ' || line::BIGINT END AS title, trim(text) AS text, corpus FROM l WHERE {O.n_tokens('text')} >= 15""",
+)
 def io7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir).withColumn("words", T.n_tokens(F.col("text")))
-    return rows.where("words >= 15").select("item_id", "title", "corpus", "words")
+    item = F.struct(F.when(F.col("item_id") % 3 == 0, F.col("title")).alias("title"), "text", "corpus")
+    # before each fifth text stand an empty line and a broken one
+    lines = F.when(F.col("item_id") % 5 == 0, F.array(F.lit(" "), F.lit('{"title": "broken'), F.to_json(item))).otherwise(F.array(F.to_json(item)))
+    rows = corpus(spark, sf_dir).select("item_id", (F.col("item_id") % 4).alias("file"), F.posexplode(lines).alias("k", "value"))
+    path = shared_path(spark, "corpus")
+    rows.repartition("file").sortWithinPartitions("file", "item_id", "k").select("file", "value").write.partitionBy("file").text(path)
+    return I.corpus_from_jsonl(spark, path).drop("item_id")
 
 
 @query("io8_retractions", O.sql("SELECT * FROM retractions", O.WORKS_SQL))
@@ -576,9 +585,9 @@ _ASKED = ("What is the overall verdict?", "Show the citation list", "any number
 @query(
     "f9_answers",
     O.full(
-        f"""SELECT question_id, report_id, topic, CASE topic WHEN 'overall' THEN 'Overall research credibility is ' || credibility || '/100.' WHEN 'plagiarism' THEN 'Similarity & Plagiarism score is ' || plagiarism_score || '/100.'
-        WHEN 'ai' THEN 'The AI-written content likelihood score is ' || ai_probability || '/100. This is a likelihood signal, not proof that the text was AI-generated.' WHEN 'citation' THEN 'Citation Authenticity score is ' || citation_score || '/100.'
-        WHEN 'statistics' THEN 'Statistical Integrity score is ' || (100 - statistical_risk) || '/100.' WHEN 'writing' THEN 'Writing & Standards score is ' || writing_score || '/100.' ELSE 'I can only answer questions using information stored in this report''s analysis.' END AS answer
+        f"""SELECT question_id, report_id, topic, CASE topic WHEN 'overall' THEN 'All modules together give the paper ' || credibility || '/100.' WHEN 'plagiarism' THEN 'Overlap with other texts is rated ' || plagiarism_score || '/100.'
+        WHEN 'ai' THEN 'That a machine wrote the text is rated ' || ai_probability || '/100; such a rating is a hint, no proof.' WHEN 'citation' THEN 'The references are rated ' || citation_score || '/100.'
+        WHEN 'statistics' THEN 'The reported numbers are rated ' || (100 - statistical_risk) || '/100.' WHEN 'writing' THEN 'The writing is rated ' || writing_score || '/100.' ELSE 'The report holds nothing about that.' END AS answer
         FROM (SELECT paper_id AS question_id, paper_id AS report_id, c.*, {_TOPIC.replace('q,', 'lower(question),')} AS topic FROM (SELECT *, [{', '.join(O.q(x) for x in _ASKED)}][(paper_id % 7 + 1)::INTEGER] AS question FROM credibility) c)"""
     ),
 )

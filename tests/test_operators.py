@@ -135,7 +135,7 @@ def test_topic(spark, question, topic):
     assert one(spark, question, serving.topic(F.col("t")).alias("x")).x == topic
 
 
-@pytest.mark.parametrize(("name", "content", "error"), [("a.txt", b"plain", None), ("a.pdf", b"plain", "match"), ("a.exe", b"MZ", "Unsupported"), ("a.txt", "é".encode(), "Unable"), ("a.docx", b"PK\x03\x04..", None)])
+@pytest.mark.parametrize(("name", "content", "error"), [("a.txt", b"plain", None), ("a.pdf", b"plain", "aren't those"), ("a.exe", b"MZ", "No reader"), ("a.txt", "é".encode(), "no known kind"), ("a.docx", b"PK\x03\x04..", None)])
 def test_upload(spark, name, content, error):
     r = spark.createDataFrame([(name, bytearray(content))], "f string, c binary").select(papers.upload_error(F.col("f"), F.col("c")).alias("e")).first()
     assert (r.e is None) if error is None else error in r.e
@@ -151,7 +151,7 @@ def test_files_of_each_kind(spark, tmp_path):
     (tmp_path / "d.docx").write_bytes(buffer.getvalue())
     rows = {r.filename: r for r in papers.papers_from_files(spark, str(tmp_path)).collect()}
     assert rows["a.txt"].full_text == "plain text" and rows["d.docx"].full_text == "\nIntro\n\none two"
-    assert rows["b.exe"].error.startswith("Unsupported") and rows["c.docx"].error
+    assert rows["b.exe"].error.startswith("No reader") and rows["c.docx"].error
 
 
 def test_corpus_and_retraction_files(spark, tmp_path):
@@ -240,3 +240,21 @@ def test_score_stream_appends_new_papers_and_gives_memory_back(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.file_hash for r in rows) == sorted({r.file_hash for r in rows}) and len(rows) == 1
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= kept
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    lines = []
+    for i in range(4000):
+        lines.append(["", "  ", "{broken", "[1]", '"text"', f'{{"text": "{long} {i}"}}', f'{{"title": "", "text": "{long} {i}", "corpus": ""}}', f'{{"title": "T{i}", "text": "{long}", "corpus": "c"}}', '{"text": "short"}', '{"title": "x"}', "{'text': 'q'}"][i % 11])
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        found = sorted(map(tuple, papers.corpus_from_jsonl(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(4000 * k + i + 1, f"T{i}" if i % 11 == 7 else f"Entry {i + 1}", long if i % 11 == 7 else f"{long} {i}", "c" if i % 11 == 7 else "arxiv") for k in (0, 1) for i in range(4000) if i % 11 in (5, 6, 7)]
+    assert found == sorted(want)
