@@ -19,7 +19,7 @@ from quillmark.operators import writing as W
 from quillmark.plans import analyze as P
 from quillmark.plans import oracle as O
 from quillmark.sources import papers as I
-from quillmark.sources.store import ResultStore, shared_path
+from quillmark.sources.store import ResultStore, shared_path, written
 from quillmark.streaming import rate_limit, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.section_chunks(parsed(spark, sf_dir)[1])
 
 
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks written once, for queries that read them in several places."""
+    return written(chunked(spark, sf_dir), "chunks")
+
+
 def checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     papers, works = I.papers(spark, sf_dir), I.works(spark, sf_dir)
     return papers, works, C.verified(C.cited(papers), works)
@@ -269,7 +274,7 @@ _TO_HITS = (O.SECTIONS, O.CHUNKS, O.CORPUS, O.TFIDF, O.HITS)
 
 @query("s3_best_match", O.sql("SELECT paper_id, idx, pos::INTEGER AS pos, item_id, title, corpus, score FROM hits", *_TO_HITS))
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.best_match(chunked(spark, sf_dir), corpus(spark, sf_dir))
+    return M.best_match(chunk_table(spark, sf_dir), corpus(spark, sf_dir))
 
 
 per_paper("s4_jaccard", O.jaccard(O.latin("full_text"), O.latin("filename || ' the orders and prices of a study'")) + " AS overlap", overlap=lambda: T.jaccard(F.array_distinct(T.latin_words(text())), T.latin_words(F.concat("filename", F.lit(" the orders and prices of a study")))))
@@ -277,19 +282,19 @@ per_paper("s4_jaccard", O.jaccard(O.latin("full_text"), O.latin("filename || ' t
 
 @query("s5_duplicates", O.sql("SELECT paper_id, idx, pos::INTEGER AS pos, similarity, matched_text FROM duplicates", O.SECTIONS, O.CHUNKS, O.DUPLICATES))
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.duplicates(chunked(spark, sf_dir))
+    return M.duplicates(chunk_table(spark, sf_dir))
 
 
 @query("s6_matches", O.sql("SELECT paper_id, rank, title, corpus, similarity, matched_text FROM matches", *_TO_HITS, O.MATCHES))
 def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunked(spark, sf_dir)
+    chunks = chunk_table(spark, sf_dir)
     return M.matches(M.best_match(chunks, corpus(spark, sf_dir)), chunks)
 
 
 @query("s8_plagiarism", O.sql("SELECT * FROM plagiarism", *_TO_HITS, O.MATCHES, O.DUPLICATES, O.PLAGIARISM))
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secs = parsed(spark, sf_dir)[1]
-    return M.plagiarism(secs, S.section_chunks(secs), corpus(spark, sf_dir))
+    secs = written(parsed(spark, sf_dir)[1], "sections")
+    return M.plagiarism(secs, written(S.section_chunks(secs), "chunks"), corpus(spark, sf_dir))
 
 
 @query("s9_token_overlap", f"SELECT d.doc_id, {O.overlap('d.text', 'b.text')} AS overlap FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)")
