@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,8 @@ APA = r"\([A-Z][a-z]+(?:\s+and\s+[A-Z][a-z]+)?,?\s+\d{4}\)"
 DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
 CHUNK_WORDS = 35
+#: Matches of fewer characters aren't marked in a text.
+LEAST_MARK = 10
 
 
 def word_count(text: Column) -> Column:
@@ -74,28 +77,65 @@ def sections(papers: DataFrame) -> DataFrame:
     return merged.select("paper_id", (F.col("part") - 1).cast("int").alias("idx"), "label", "heading", "text").unionByName(blank)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chunks(text: Column) -> Column:
-    """Groups of sentences (cut at full stops) of CHUNK_WORDS words or more, each starting with the last two of the one before; the rest follows."""
+    """Groups of sentences (cut at full stops) of CHUNK_WORDS words or more, each starting with the last two of the one before; the rest follows.
+
+    Null for a null text. Where a chunk ends depends only on where the one before ended, so each
+    sentence points to the end that would follow it; pointers of 1, 2, 4, ... chunks are made by
+    doubling, and every chunk looks up its own end. No list is copied as it grows.
+    """
     pieces = F.filter(F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\."), T.strip), lambda s: F.length(s) > 8)
-    words = "array<struct<s:string,n:int>>"
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(words).alias("now"), F.lit(0).alias("n"))
+    return bound(pieces, lambda s: F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(bound(F.transform(s, T.n_tokens), lambda n: _grouped(s, n))))
+
+
+def _grouped(s: Column, n: Column) -> Column:
+    """The chunks of sentences s of n words each."""
+    m = F.size(n)
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("taken"))
+
+    def ended(start: Column, after: Column, most: Column) -> Column:
+        """The place, not before `after`, at which sentences from `start` on have words enough; m if they never have."""
+
+        def take(a: Column, x: Column) -> Column:
+            more = a["words"] < CHUNK_WORDS
+            return F.when(more, F.struct((a["words"] + x).alias("words"), (a["taken"] + 1).alias("taken"))).otherwise(a)
+
+        return bound(F.aggregate(F.slice(n, start + 1, most), none, take), lambda a: F.when(a["words"] < CHUNK_WORDS, m).otherwise(F.least(m, F.greatest(after, start + a["taken"] - 1))))
+
+    def doubled(next: Column) -> Column:
+        levels = F.sequence(F.lit(1), F.ceil(F.log2(m + 1)).cast("int"))
+        return F.aggregate(levels, F.array(next), lambda all, _: bound(F.element_at(all, -1), lambda j: F.concat(all, F.array(F.transform(j, lambda x: j[x])))))
+
+    def placed(jumps: Column, first: Column) -> Column:
+        """The ends of all chunks before the rest."""
+        zero = F.struct(first.alias("at"), F.lit(0).alias("k"))
+        levels = F.sequence(F.lit(0), F.size(jumps) - 1)
+
+        def further(a: Column, i: Column) -> Column:
+            return bound(jumps[i][a["at"]], lambda to: F.when(to < m, F.struct(to.alias("at"), (a["k"] + F.pow(F.lit(2), i).cast("int")).alias("k"))).otherwise(a))
+
+        last = F.aggregate(F.reverse(levels), zero, further, lambda a: a["k"])
+        ends = bound(levels, lambda ls: F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(ls, first, lambda at, i: F.when(F.getbit(k, i) == 1, jumps[i][at]).otherwise(at))))
+        return F.when(first >= m, F.array().cast("array<int>")).otherwise(ends)
 
-    def text_of(now: Column) -> Column:
-        return F.concat(F.array_join(F.transform(now, lambda x: x["s"]), ". "), F.lit("."))
+    def cut(ends: Column) -> Column:
+        def piece(end: Column, i: Column) -> Column:
+            start = F.when(i == 0, 0).otherwise(F.greatest(F.get(ends, i - 1) - 1, F.lit(0)))
+            return bound(start, lambda a: F.concat(F.array_join(F.slice(s, a + 1, end - a + 1), ". "), F.lit(".")))
 
-    def step(state: Column, s: Column) -> Column:
-        now = F.concat(state["now"], F.array(s))
-        n = state["n"] + s["n"]
-        tail = F.slice(now, F.greatest(F.size(now) - 1, F.lit(1)), 2)
-        full = n >= CHUNK_WORDS
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(text_of(now)))).otherwise(state["done"]).alias("done"),
-            F.when(full, tail).otherwise(now).alias("now"),
-            F.when(full, F.aggregate(tail, F.lit(0), lambda a, x: a + x["n"])).otherwise(n).alias("n"),
-        )
+        return F.transform(F.concat(ends, F.array(m - 1)), piece)
 
-    counted = F.transform(pieces, lambda s: F.struct(s.alias("s"), T.n_tokens(s).alias("n")))
-    return F.aggregate(counted, empty, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(text_of(a["now"])))).otherwise(a["done"]))
+    # sentences that a chunk can hold, besides the two carried over
+    most = F.greatest(F.lit(3), F.ceil(CHUNK_WORDS / F.greatest(F.array_min(n), F.lit(1))).cast("int") + 1)
+    follow = bound(most, lambda w: F.transform(F.sequence(F.lit(0), m), lambda e: F.when(e >= m - 1, m).otherwise(ended(F.greatest(e - 1, F.lit(0)), e + 1, w))))
+    first = bound(most, lambda w: ended(F.lit(0), F.lit(0), w))
+    ends = bound(follow, lambda next: bound(doubled(next), lambda jumps: bound(first, lambda f: placed(jumps, f))))
+    return bound(ends, cut)
 
 
 def section_chunks(secs: DataFrame) -> DataFrame:
@@ -122,7 +162,53 @@ def report_name(filename: Column, record_id: Column) -> Column:
     return F.concat(F.when(safe == "", "paper").otherwise(safe), F.lit("_"), record_id.cast("string"), F.lit(".pdf"))
 
 
+def literal(match: Column) -> Column:
+    """A pattern that finds a text as it stands, whatever its case."""
+    return F.concat(F.lit("(?iu)"), F.regexp_replace(match, r"([\\.\[\]{}()*+?^$|/-])", r"\\$1"))
+
+
 def highlighted(text: Column, matches: Column) -> Column:
     """Each match of 10 characters or more marked wherever it stands, longest first, whatever its case."""
     order = F.array_sort(matches, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
-    return F.aggregate(F.filter(order, lambda m: F.length(m) >= 10), text, lambda t, m: F.regexp_replace(t, F.concat(F.lit("(?i)("), F.regexp_replace(m, r"([\\.\[\]{}()*+?^$|/-])", r"\\$1"), F.lit(")")), F.lit("<mark>$1</mark>")))
+    return F.aggregate(F.filter(order, lambda m: F.length(m) >= LEAST_MARK), text, lambda t, m: F.regexp_replace(t, F.concat(F.lit("("), literal(m), F.lit(")")), F.lit("<mark>$1</mark>")))
+
+
+def marked_parts(text: Column, matches: Column) -> Column:
+    """The text cut in parts (text, rank): rank of the match that a part is, or null between matches. Put together the parts are the text; a null text has none.
+
+    matches: array of (rank, matched_text), empty or null for none. Longer matches come first,
+    of equal length the smaller rank; what a longer one covers isn't looked at again, so marks
+    neither nest nor cross. Matches shorter than LEAST_MARK characters and null ones mark nothing.
+    """
+    part = "struct<text:string,rank:int>"
+    found = F.filter(matches, lambda m: F.length(m["matched_text"]) >= LEAST_MARK)
+    order = F.transform(F.array_sort(F.transform(found, lambda m: F.struct((-F.length(m["matched_text"])).alias("n"), m["rank"].alias("rank"), m["matched_text"].alias("t")))), lambda m: F.struct(m["rank"].alias("rank"), literal(m["t"]).alias("pattern")))
+
+    def cut(p: Column, m: Column) -> Column:
+        between = F.transform(F.split(p["text"], m["pattern"]), lambda t: F.struct(t.alias("text"), F.lit(None).cast("int").alias("rank")))
+        there = F.transform(F.regexp_extract_all(p["text"], m["pattern"], F.lit(0)), lambda t: F.struct(t.alias("text"), m["rank"].cast("int").alias("rank")))
+        both = F.flatten(F.zip_with(between, there, lambda a, b: F.array(a, b)))  # one more of between, so the last of there is null
+        return F.when(p["rank"].isNotNull(), F.array(p)).otherwise(F.filter(both, lambda x: x["text"] != ""))
+
+    whole = F.when(text.isNotNull(), F.array(F.struct(text.alias("text"), F.lit(None).cast("int").alias("rank")))).cast(f"array<{part}>")
+    return F.aggregate(F.coalesce(order, F.array().cast("array<struct<rank:int,pattern:string>>")), whole, lambda parts, m: F.flatten(F.transform(parts, lambda p: cut(p, m))).cast(f"array<{part}>"))
+
+
+def overlay(papers: DataFrame, matches: DataFrame) -> DataFrame:
+    """(paper_id, marks, marked): each paper's text with its own matches (paper_id, rank, title, similarity, matched_text) marked, and how many marks stand in it.
+
+    A mark names its match: <mark title="Title (similarity%)">. Every paper has a row; a null text
+    is null. Only the matches are grouped; a paper's text stays where it is joined with them.
+    """
+    own = matches.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "title", "similarity", "matched_text"))).alias("m"))
+    cut = papers.join(own, "paper_id", "left").select("paper_id", "m", marked_parts(F.col("full_text"), F.col("m")).alias("parts"))
+    named = F.map_from_entries(F.transform("m", lambda x: F.struct(x["rank"], F.concat(x["title"], F.lit(" ("), x["similarity"].cast("string"), F.lit("%)")))))
+    opened = cut.select("paper_id", "parts", named.alias("names"))
+    shown = F.transform("parts", lambda p: F.when(p["rank"].isNull(), p["text"]).otherwise(F.concat(F.lit('<mark title="'), F.replace(F.coalesce(F.col("names")[p["rank"]], F.lit("")), F.lit('"'), F.lit("&quot;")), F.lit('">'), p["text"], F.lit("</mark>"))))
+    marks = F.size(F.filter("parts", lambda p: p["rank"].isNotNull()))
+    return opened.select("paper_id", F.coalesce(marks, F.lit(0)).alias("marks"), F.when(F.col("parts").isNotNull(), F.array_join(shown, "")).alias("marked"))
+
+
+def machine_overlay(text: Column, probability: Column) -> Column:
+    """Every sentence marked where a machine is likelier than not to have written the text (probability over 50), else the text."""
+    return F.when(probability > 50, F.array_join(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.concat(F.lit("<mark>"), s, F.lit("</mark>"))), " ")).otherwise(text)

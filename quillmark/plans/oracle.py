@@ -381,6 +381,24 @@ hit_text AS (SELECT h.*, c.chunk, {half('round(h.score * 100, 7)', 1)} AS simila
 hit_rank AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY similarity DESC, idx, pos)::INTEGER AS rank FROM hit_text WHERE o = 1),
 matches AS (SELECT paper_id, rank, title, corpus, similarity, substring(chunk, 1, 180) AS matched_text FROM hit_rank WHERE rank <= 6)
 """
+# a paper's matches, longest first, each found by its places in lower case; a place that a chosen one overlaps falls out
+OVERLAY = """
+mark_order AS (SELECT paper_id, title, similarity, lower(matched_text) AS m, row_number() OVER (PARTITION BY paper_id ORDER BY length(matched_text) DESC, rank) AS k FROM matches WHERE length(matched_text) >= 10),
+mark_stretches AS (
+    SELECT paper_id, 0::BIGINT AS k, [{'s': full_text, 'title': NULL::VARCHAR}] AS parts FROM papers
+    UNION ALL
+    SELECT x.paper_id, x.k + 1, flatten(list_transform(x.parts, lambda p: CASE WHEN p.title IS NOT NULL OR NOT contains(lower(p.s), o.m) THEN [p] ELSE
+        flatten(list_transform(range(1, len(string_split(lower(p.s), o.m)) + 1), lambda i: [
+            {'s': substring(p.s, 1 + (i - 1) * length(o.m) + list_sum(list_transform(string_split(lower(p.s), o.m)[1:i - 1] || [''], lambda y: length(y)))::BIGINT, length(string_split(lower(p.s), o.m)[i])), 'title': NULL::VARCHAR},
+            {'s': substring(p.s, 1 + (i - 1) * length(o.m) + list_sum(list_transform(string_split(lower(p.s), o.m)[1:i], lambda y: length(y)))::BIGINT, length(o.m)), 'title': o.title || ' (' || o.similarity || '%)'}]))[:-2] END))
+    FROM mark_stretches x JOIN mark_order o ON o.paper_id = x.paper_id AND o.k = x.k + 1
+),
+overlaid AS (
+    SELECT paper_id, len(list_filter(arg_max(parts, k), lambda p: p.title IS NOT NULL)) AS marks,
+        array_to_string(list_transform(arg_max(parts, k), lambda p: CASE WHEN p.title IS NULL THEN p.s ELSE '<mark title="' || p.title || '">' || p.s || '</mark>' END), '') AS marked
+    FROM mark_stretches GROUP BY paper_id
+)
+"""
 DUPLICATES = f"""
 chunk_sets AS (SELECT paper_id, idx, pos, chunk, list_distinct(regexp_extract_all(lower(chunk), '\\S+')) AS w FROM chunks),
 chunk_words AS (SELECT paper_id, idx, pos, len(w) AS n, unnest(w) AS word FROM chunk_sets WHERE len(w) >= 25),

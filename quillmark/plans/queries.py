@@ -249,6 +249,17 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.papers(spark, sf_dir).select("paper_id", S.highlighted(text(), matches).alias("marked"))
 
 
+@query("p14_overlay", O.sql("SELECT p.paper_id, coalesce(marks, 0)::INTEGER AS marks, coalesce(marked, full_text) AS marked FROM papers p LEFT JOIN overlaid USING (paper_id)", O.SECTIONS, O.CHUNKS, O.CORPUS, O.TFIDF, O.HITS, O.MATCHES, O.OVERLAY).replace("WITH", "WITH RECURSIVE", 1))
+def p14o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk_table(spark, sf_dir)
+    return S.overlay(I.papers(spark, sf_dir), M.matches(M.best_match(chunks, corpus(spark, sf_dir)), chunks))
+
+
+@query("p14_machine_overlay", O.sql(r"SELECT paper_id, CASE WHEN ai_probability > 50 THEN array_to_string(list_transform(string_split(regexp_replace(full_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: '<mark>' || s || '</mark>'), ' ') ELSE full_text END AS marked FROM ai JOIN papers USING (paper_id)", O.AI))
+def p14m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = I.papers(spark, sf_dir)
+    return papers.join(A.detect(papers).select("paper_id", "ai_probability"), "paper_id").select("paper_id", S.machine_overlay(text(), F.col("ai_probability")).alias("marked"))
+
 
 @query("p15_report_name", O.sql(r"SELECT paper_id, CASE WHEN s = '' THEN 'paper' ELSE s END || '_' || paper_id || '.pdf' AS report FROM (SELECT paper_id, substring(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '[^\p{L}\p{N}_.\-]', '', 'g'), 1, 60) AS s FROM papers)"))
 def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
