@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import citations as C
+from quillmark.operators import detector as D
 from quillmark.operators import numeric as N
 from quillmark.operators import provenance as V
 from quillmark.operators import sections as S
@@ -355,6 +356,37 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.detect(I.papers(spark, sf_dir), lr).select("paper_id", "ai_engine", "ai_score")
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), (1 - F.col("quality")).alias("label"))
+
+
+@query("a3_text_detector")
+def a3t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out scores of all labelled papers by the detector that reads raw text."""
+    return D.held_out(D.examples(I.papers(spark, sf_dir), labelled(spark, sf_dir)))
+
+
+def detector(spark: SparkSession, sf_dir: str) -> D.ModelStore:
+    """A store with one version of the detector, trained on all labelled papers."""
+    made = D.ModelStore(spark, shared_path(spark, "detector"))
+    D.train(I.papers(spark, sf_dir), labelled(spark, sf_dir), made)
+    return made
+
+
+@query("a5_trained_engine")
+def a5t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = I.papers(spark, sf_dir)
+    return A.detect(papers, detector(spark, sf_dir).scores(papers)).select("paper_id", "ai_engine", "ai_score", "ai_probability", "ai_confidence")
+
+
+@query("f10_trained_results")
+def f10t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analysis with the trained detector instead of the heuristic."""
+    papers = I.papers(spark, sf_dir)
+    lr = detector(spark, sf_dir).scores(papers)
+    return P.analyze(papers, corpus(spark, sf_dir), I.works(spark, sf_dir), I.retractions(spark, sf_dir), lr).select("paper_id", "ai_engine", "ai_probability", "ai_confidence", "ai_detection", "credibility", "verdict")
+
+
 @query("a6_banding", O.sql("SELECT paper_id, ai_probability, ai_confidence, ai_explanation FROM ai", O.AI))
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.detect(I.papers(spark, sf_dir)).select("paper_id", "ai_probability", "ai_confidence", "ai_explanation")
