@@ -20,6 +20,7 @@ from quillmark.operators import writing as W
 from quillmark.plans import analyze as P
 from quillmark.plans import oracle as O
 from quillmark.sources import papers as I
+from quillmark.sources import search
 from quillmark.sources.store import ResultStore, shared_path, written
 from quillmark.streaming import rate_limit, tasks
 
@@ -154,6 +155,33 @@ def io12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.anchors(I.read(spark, sf_dir, "pages"))
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer of each provider about every text of the corpus; each seventh was refused."""
+    name = F.col("item_id").cast("string")
+    link = lambda url, title: F.concat(F.lit('<a rel="nofollow" href="'), url, F.lit("\" class='result-link'>"), title, F.lit("</a>"))
+    page = F.concat(
+        link(F.lit("https://duckduckgo.com/about"), F.lit("About")), link(F.concat(F.lit("http%3A%2F%2Fitems.example.org%2F"), name), F.concat(F.lit(" <b>Item</b> "), name)),
+        link(F.concat(F.lit("http://items.example.org/"), name), F.lit("Again")), F.lit('<a href="http://plain.example.org">Plain</a>'), link(F.concat(F.lit("http://other.example.org/"), name), F.col("text")),
+    )
+    google = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct(F.concat(F.lit("http://g.example.org/"), i.cast("string")).alias("link"), F.concat(F.lit("Item "), name).alias("title"), F.col("text").alias("snippet"))).alias("items")))
+    brave = F.to_json(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("http://b.example.org/"), name).alias("url"), F.concat(F.lit("Item "), name).alias("title"), F.col("text").alias("description"))).alias("results")).alias("web")))
+    bodies = F.array(*(F.struct(F.lit(k).alias("provider"), v.alias("body")) for k, v in (("google", google), ("brave", brave), ("duckduckgo", page))))
+    status = F.when(F.col("item_id") % 7 == 0, 429).otherwise(200)
+    return I.read(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), name).alias("query"), status.alias("status"), "text", "item_id", F.inline(bodies))
+
+
+@query(
+    "io11_search_results",
+    f"""WITH b AS (SELECT item_id, text, 'item ' || item_id AS query FROM benchmark WHERE item_id % 7 <> 0)
+    SELECT query, 'google' AS provider, r::INTEGER AS rank, 'http://g.example.org/' || r AS url, 'Item ' || item_id AS title, text AS description FROM b CROSS JOIN range(1, 6) AS t(r)
+    UNION ALL SELECT query, 'brave', 1, 'http://b.example.org/' || item_id, 'Item ' || item_id, text FROM b
+    UNION ALL SELECT query, 'duckduckgo', 1, 'http://items.example.org/' || item_id, 'Item ' || item_id, '' FROM b
+    UNION ALL SELECT query, 'duckduckgo', 2, 'http://other.example.org/' || item_id, substring({O.strip("regexp_replace(text, '<[^>]+>', '', 'g')")}, 1, 160), '' FROM b""",
+)
+def io11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.results(answers(spark, sf_dir))
+
+
 @query(
     "io14_report_rows",
     O.full(
@@ -488,8 +516,12 @@ _TO_PROVENANCE = (*_TO_VERDICTS, O.ALIGNMENT, O.VALIDITY, O.RETRACTED, O.CONTAMI
 
 @query("c17_provenance", O.sql("SELECT * FROM provenance", *_TO_PROVENANCE))
 def c17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = I.papers(spark, sf_dir)
-    return V.provenance(c4(spark, sf_dir), c6(spark, sf_dir), c8(spark, sf_dir), c10a(spark, sf_dir), N.fingerprint(papers))
+    papers, works, found = checked(spark, sf_dir)
+    found = written(found, "checked")  # read by every part
+    valid = found.where("valid")
+    tainted = V.contamination(C.retracted(found, works, I.retractions(spark, sf_dir)), papers)
+    aligned = V.alignment(V.verdicts(valid, works, S.citing_sentences(papers, S.sections(papers))), papers)
+    return V.provenance(C.validity(papers, found), tainted, V.graph(valid, works, papers), aligned, N.fingerprint(papers))
 
 
 @query("c18_unreadable", O.sql("SELECT paper_id FROM fingerprint WHERE fingerprint IS NULL", O.FINGERPRINT))
@@ -646,6 +678,27 @@ def f9a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.answers(results, questions).select("question_id", "report_id", "topic", "answer")
 
 
+_SCORE = lambda c: f"({c})::VARCHAR || '/100'"
+
+
+@query(
+    "f9_evidence",
+    O.full(
+        f"""SELECT question_id, topic, array_to_string(CASE topic WHEN 'overall' THEN ['Overall credibility: ' || {_SCORE('credibility')}, 'Verdict: ' || verdict] WHEN 'plagiarism' THEN ['Similarity & Plagiarism score: ' || {_SCORE('plagiarism_score')}]
+        WHEN 'ai' THEN ['AI detection score: ' || {_SCORE('ai_probability')}, 'Confidence: ' || ai_confidence, 'Detection engine: ' || ai_engine]
+        WHEN 'citation' THEN ['Citation validity: ' || {_SCORE('citation_score')}, 'Total DOIs: ' || total_dois, 'Valid DOIs: ' || valid_dois, 'Invalid DOIs: ' || (total_dois - valid_dois)]
+        WHEN 'statistics' THEN ['Statistical integrity: ' || {_SCORE('100 - statistical_risk')}, 'Risk score: ' || {_SCORE('statistical_risk')}] || list_transform(findings[1:3], lambda f: f.category || ': ' || f.severity || ': ' || f.detail)
+        WHEN 'writing' THEN ['Writing quality: ' || {_SCORE('writing_score')}] ELSE [] END, ' | ') AS evidence
+        FROM (SELECT c.paper_id AS question_id, c.*, s.findings AS findings, {_TOPIC.replace('q,', 'lower(question),')} AS topic FROM (SELECT *, [{', '.join(O.q(x) for x in _ASKED)}][(paper_id % 7 + 1)::INTEGER] AS question FROM credibility) c JOIN (SELECT paper_id, findings FROM statistics) s ON s.paper_id = c.paper_id)"""
+    ),
+)
+def f9e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat(e["label"], F.lit(": "), e["value"])), " | ")
+    asked = F.element_at(F.array(*(F.lit(x) for x in _ASKED)), (F.col("paper_id") % 7 + 1).cast("int"))
+    questions = I.papers(spark, sf_dir).select(F.col("paper_id").alias("question_id"), F.col("paper_id").alias("report_id"), asked.alias("question"))
+    return R.answers(analyzed(spark, sf_dir), questions).select("question_id", "topic", shown.alias("evidence"))
+
+
 @query(
     "f10_results",
     O.full("SELECT paper_id, filename, word_count, file_hash, ai_probability, ai_engine, plagiarism_score, n_matches, duplicate_paragraphs, sections, citation_score, total_dois, valid_dois, statistical_risk, writing_score, grade, provenance_score, pcv_failed, credibility, verdict FROM credibility"),
