@@ -7,9 +7,11 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.functions import text as T
 from quillmark.operators import citations, numeric, provenance, scoring, sections, serving, similarity, stylometry, writing
 from quillmark.plans.analyze import analyze, score_stream
 from quillmark.sources import papers
@@ -258,3 +260,26 @@ def test_lines_of_split_files_are_numbered(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     want = [(4000 * k + i + 1, f"T{i}" if i % 11 == 7 else f"Entry {i + 1}", long if i % 11 == 7 else f"{long} {i}", "c" if i % 11 == 7 else "arxiv") for k in (0, 1) for i in range(4000) if i % 11 in (5, 6, 7)]
     assert found == sorted(want)
+
+
+def test_rounding_goes_to_the_even_digit_where_a_double_is_next_to_a_tie(spark):
+    xs = [53.349999999999994, 53.25, 53.35, 26.35, -26.35, 0.049999999999999996, 3.4999999999999996, 2.5, 3.5, 0.0, 100.0, 12.3456]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.half_even(F.col("x"), 1).alias("one"), T.half_even(F.col("x")).alias("none")).collect()
+    con = duckdb.connect()
+    assert {r.x: (r.one, r.none) for r in rows} == {x: con.execute("SELECT round_even(?::DOUBLE, 1), round_even(?::DOUBLE, 0)", [x, x]).fetchone() for x in xs}
+    assert rows[0].one == 53.4
+
+
+def test_a_papers_patterns_are_searched_for_once(spark):
+    papers = spark.createDataFrame([(1, "p = 0.05, 100% of 1.25")], "paper_id long, full_text string")
+    plan = numeric.statistics(papers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4  # two for p-values, decimals, percentages
+    plan = numeric.fingerprint(papers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 8  # counting is finding, too
+
+
+def test_findings_are_not_made_again_to_filter_them(spark):
+    from quillmark.plans import queries
+
+    plan = queries.QUERIES["t5_digit_preference"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4
