@@ -95,6 +95,15 @@ def test_a_word_of_nearly_every_text_joins_nothing(spark):
     assert S.best_match(*tables(spark, chunks, corpus)).count() > 50
 
 
+def test_no_text_of_a_chunk_is_shuffled_to_look_it_up(spark):
+    chunks, corpus = made(6, 20, 40)
+    rows, items = tables(spark, chunks, corpus)
+    own, other = S.weights_of(rows, items)
+    plan = S.met(own, other)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) == 1 and "hashpartitioning(key" in moved[0]  # only the counts of known terms, by key
+
+
 def test_no_chunks_or_no_corpus(spark):
     chunks, corpus = made(5, 10, 10)
     assert S.best_match(*tables(spark, [], corpus)).collect() == []
