@@ -283,3 +283,10 @@ def test_findings_are_not_made_again_to_filter_them(spark):
 
     plan = queries.QUERIES["t5_digit_preference"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 4
+
+
+def test_the_batch_analysis_holds_no_text_in_a_cache(spark):
+    from quillmark.plans import queries
+
+    out = queries.analyzed(spark, "/root/testdata/sf0.001")
+    assert "InMemoryTableScan" not in out._jdf.queryExecution().executedPlan().toString() and out.count() > 0
