@@ -52,13 +52,18 @@ def matrix(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(x: np.ndarray) -> bytes:
-    return b"w" + " ".join(map(str, x.ravel().tolist())).encode() if x.dtype == object else b"n" + x.tobytes()
+    """The numbers after a letter that names their type, the narrowest that holds all: they are copied for every group of blocks."""
+    if x.dtype == object:
+        return b"w" + " ".join(map(str, x.ravel().tolist())).encode()
+    low, high = x.min(initial=0), x.max(initial=0)
+    kind = next(k for k in "bhiq" if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return kind.encode() + x.astype(kind).tobytes()
 
 
 def unpacked(data: bytes, rows: int, dims: int) -> np.ndarray:
     if data[:1] == b"w":
         return np.array([int(c) for c in data[1:].split()], dtype=object).reshape(rows, dims)
-    return np.frombuffer(data, dtype=np.int64, offset=1).reshape(rows, dims)
+    return np.frombuffer(data, dtype=data[:1].decode(), offset=1).reshape(rows, dims).astype(np.int64)
 
 
 class Block:
@@ -248,7 +253,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
         if found:
             yield pd.DataFrame(dict(zip(COLUMNS, found, strict=True)))
 
-    pairs = shared.join(asked, ["lane", "part"]).select("lane", "part", "block", "ids", "low", "dims", "width", "slices", "q_ids", "q_dims", "q")
+    # Spark's estimates know nothing of the copies that explode makes, so it would send all of them through the driver
+    pairs = shared.join(asked.hint("merge"), ["lane", "part"]).select("lane", "part", "block", "ids", "low", "dims", "width", "slices", "q_ids", "q_dims", "q")
     best = pairs.mapInPandas(answer, "query_id long, vec_id long, score long, below boolean")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     score = F.when(F.col("below"), F.raise_error(F.lit("an inner product is no 64-bit number")).cast("long")).otherwise(F.col("score"))

@@ -152,3 +152,17 @@ def test_empty_and_lonely(spark, search):
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
     assert search(vectors(spark, np.ones((1, 2)))).count() == 0
     assert search(spark.createDataFrame(ODD, SCHEMA).where("vec_id is null or vec_id <> 4")).count() == 0
+
+
+def test_no_query_or_block_goes_through_the_driver(spark):
+    found = bitsliced.search(vectors(spark, np.random.default_rng(2).standard_normal((600, 16)) / 4))
+    assert len(found.collect()) == 12 * 5
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [3, 200, 40_000, 1 << 40])
+def test_queries_are_packed_narrowly_and_whole(most):
+    x = np.array([[-most, 0, most - 1]], dtype=np.int64)
+    data = bitsliced.packed(x)
+    assert len(data) < 1 + x.nbytes or most > 1 << 31
+    assert (bitsliced.unpacked(data, 1, 3) == x).all()
