@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import citations, numeric, provenance, scoring, sections, serving, similarity, stylometry, writing
+from quillmark.plans import queries
 from quillmark.plans.analyze import analyze, score_stream
 from quillmark.sources import papers
 from quillmark.streaming import rate_limit
+from tests.oracle import DATA, duck_rows, spark_rows
 
 PAPER = """A title of a paper
 
@@ -371,3 +373,10 @@ def test_a_paper_of_very_many_chunks_is_done_as_rows(spark, monkeypatch):
     want = sorted(map(str, similarity.repeated(lists).collect()))
     monkeypatch.setattr(similarity, "MANY", 4)
     assert sorted(map(str, similarity.repeated(lists).collect())) == want and len(want) == 2
+
+
+@pytest.mark.parametrize(("name", "idle"), [("f5_flags", ((provenance, "provenance"), (writing, "checked"), (similarity, "repeated"))), ("f12_bands", ((provenance, "provenance"),))])
+def test_what_no_wanted_column_comes_from_is_not_computed(spark, monkeypatch, name, idle):
+    for module, part in idle:
+        monkeypatch.setattr(module, part, None)
+    assert spark_rows(queries.QUERIES[name](spark, DATA)) == duck_rows(queries.ORACLE_SQL[name])
