@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillmark.operators import similarity as S
 
 
@@ -119,3 +122,19 @@ def test_a_large_corpus_gives_the_same_matches(spark, monkeypatch):
     sent = found()
     monkeypatch.setattr(S, "SENT", 0)
     assert found() == sent and sent
+
+
+def test_chunks_are_scored_in_their_own_rows(spark, monkeypatch):
+    texts = ["Größe déjà_vu x²y naïve ﬁne", "İstanbul — größe déjà_vu", "größe’s déjà_vu\tx²y the naïve ﬁne", "a b größe déjà_vu x²y naïve", "日本 größe\x00déjà_vu", ""] * 2
+    corpus = ["größe déjà_vu x²y naïve", "größe déjà_vu istanbul", "naïve ﬁne 日本 x²y", "größe déjà_vu x²y naïve", "other istanbul 日本"]
+    chunks, items = tables(spark, [*((i, i, t) for i, t in enumerate(texts)), (99, 0, None)], corpus)
+    with monkeypatch.context() as m:
+        m.setattr(S, "looked_up", None)  # no chunk's terms are shuffled
+        made = S.best_match(chunks, items)
+    # as by the terms that Spark finds
+    known, other, vocabulary = S.corpus_weights(items)
+    own = S.chunk_weights(S.looked_up(chunks.where("chunk is not null"), vocabulary), known)
+    near = own.join(other.select("term", "item_id", F.col("weight").alias("w")), "term").groupBy("key", "item_id").agg(F.sum(F.col("weight") * F.col("w")).alias("s")).where(F.round("s", 9) >= S.MATCH)
+    best = {r.key: (-r.b.i, round(r.b.r, 9)) for r in near.groupBy("key").agg(F.max(F.struct(F.round("s", 9).alias("r"), (-F.col("item_id")).alias("i"))).alias("b")).collect()}
+    want = {i: best[k] for i, t in enumerate(texts) if (k := hashlib.md5(t.encode()).hexdigest()) in best}
+    assert {r.paper_id: (r.item_id, round(r.score, 9)) for r in made.collect()} == want and len(want) >= 6
